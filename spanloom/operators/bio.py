@@ -101,6 +101,13 @@ def explode_lines(docs: DataFrame) -> DataFrame:
             .select("doc_id", (F.col("_pos") + 1).alias("line_no"), "_line.token", "_line.tag"))
 
 
+def span_texts(notes: DataFrame, spans: DataFrame) -> DataFrame:
+    """``doc_id, ann_id, surface``: the characters each span covers."""
+    return (spans.join(notes.select("doc_id", "text"), "doc_id")
+            .select("doc_id", "ann_id", substring_span(F.col("text"), F.col("begin"), F.col("end"))
+                    .alias("surface")))
+
+
 def oversize_docs(labelled: DataFrame, max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
     """``doc_id`` of notes whose spans must not be gathered into one row."""
     return (labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -138,16 +145,23 @@ def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
                     "_line.token", "_line.tag"))
 
 
-def bio_lines(notes: DataFrame, labelled: DataFrame,
-              max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
-    """Flat lines of all notes; notes beyond ``max_spans`` take the ungathered way.
+def split_oversize(notes: DataFrame, labelled: DataFrame, max_spans: int = MAX_SPANS_PER_ROW
+                   ) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Notes and spans that may be gathered per note, and those that may not (None if there are none).
 
-    The list of oversize notes is usually empty, and adaptive execution then
-    drops that branch at run time.
+    Runs one small job: the span counts per note, reading only ``doc_id``.
     """
     big = oversize_docs(labelled, max_spans)
-    usual = explode_lines(bio_docs(notes.join(big, "doc_id", "left_anti"),
-                                   labelled.join(big, "doc_id", "left_anti")))
-    rest = bio_lines_unbounded(notes.join(big, "doc_id", "left_semi"),
-                               labelled.join(big, "doc_id", "left_semi"))
-    return usual.unionByName(rest)
+    if big.isEmpty():
+        return (notes, labelled), None
+    usual, rest = ((notes.join(big, "doc_id", how), labelled.join(big, "doc_id", how))
+                   for how in ("left_anti", "left_semi"))
+    return usual, rest
+
+
+def bio_lines(notes: DataFrame, labelled: DataFrame,
+              max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
+    """Flat lines of all notes; notes beyond ``max_spans`` take the ungathered way."""
+    usual, rest = split_oversize(notes, labelled, max_spans)
+    lines = explode_lines(bio_docs(*usual))
+    return lines if rest is None else lines.unionByName(bio_lines_unbounded(*rest))

@@ -290,10 +290,12 @@ def muc_by_sentence(tagged: DataFrame) -> DataFrame:
     grades = F.transform(F.zip_with(side("gold"), side("pred"), _pair), lambda x: grade(
         x["entity_type_gold"], x["surface_string_gold"], x["entity_type_pred"], x["surface_string_pred"]))
 
+    def count_of(bound: Column, mode: str, value: str) -> Column:
+        return F.size(F.filter(bound, lambda x: x[mode] == value)).alias(value)
+
     def counted(bound: Column) -> Column:
-        return F.array(*[F.struct(F.lit(m).alias("mode"), *[
-            F.size(F.filter(bound, lambda x, m=m, g=g: x[m] == g)).alias(g) for g in vocab.GRADES])
-            for m in vocab.MODES])
+        return F.array(*[F.struct(F.lit(m).alias("mode"), *[count_of(bound, m, g) for g in vocab.GRADES])
+                         for m in vocab.MODES])
 
     return tagged.select("doc_id", "sent_id", F.inline(let(grades, counted)))
 

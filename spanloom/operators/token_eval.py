@@ -70,11 +70,12 @@ def pairs_by_position(gold: DataFrame, pred: DataFrame,
     return gold.select(*keys, "token", "true").join(pred.select(*keys, "pred"), list(keys), "full")
 
 
-def pairs_in_rows(tagged: DataFrame) -> DataFrame:
+def pairs_in_rows(tagged: DataFrame, *carry: str) -> DataFrame:
     """The same from sentence rows that hold ``tokens``, ``gold`` and ``pred`` arrays: no shuffle."""
-    return (tagged.select("doc_id", "sent_id", F.posexplode(F.arrays_zip("tokens", "gold", "pred"))
+    keys = (*carry, "doc_id", "sent_id")
+    return (tagged.select(*keys, F.posexplode(F.arrays_zip("tokens", "gold", "pred"))
                           .alias("tok_idx", "_x"))
-            .select("doc_id", "sent_id", "tok_idx", F.col("_x.tokens").alias("token"),
+            .select(*keys, "tok_idx", F.col("_x.tokens").alias("token"),
                     F.col("_x.gold").alias("true"), F.col("_x.pred").alias("pred")))
 
 
@@ -92,8 +93,8 @@ def pair_counts(pairs: DataFrame, *by: str) -> DataFrame:
 def confusion(counts: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """``true, pred, n`` for every pair of ``labels``, zeros included; other tags are ignored."""
     grid = (counts.sparkSession.range(1)
-            .select(F.explode(F.array(*map(F.lit, labels))).alias("true"))
-            .select("true", F.explode(F.array(*map(F.lit, labels))).alias("pred"))
+            .select(F.explode(vocab.literal_array(labels)).alias("true"))
+            .select("true", F.explode(vocab.literal_array(labels)).alias("pred"))
             .withColumn("n", F.lit(0).cast("bigint")))
     listed = counts.where(F.col("true").isin(*labels) & F.col("pred").isin(*labels))
     return (listed.select("true", "pred", "n").unionByName(grid)
@@ -127,7 +128,7 @@ def class_scores(counts: DataFrame, labels: tuple[str, ...] | None = None,
     rows = counts.select(*by, F.inline(sides)).where(F.col("tag").isNotNull())
     if labels is not None:
         listed = counts.sparkSession.range(1).select(
-            F.explode(F.array(*map(F.lit, labels))).alias("tag"),
+            F.explode(vocab.literal_array(labels)).alias("tag"),
             zero.alias("tp"), zero.alias("predicted"), zero.alias("support"))
         rows = rows.where(F.col("tag").isin(*labels))
         rows = rows.unionByName(listed) if not by else rows

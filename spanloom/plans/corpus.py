@@ -6,36 +6,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.bio import (MAX_SPANS_PER_ROW, bio_docs, bio_lines_unbounded, explode_lines,
-                                    label_spans, oversize_docs)
-from spanloom.operators.lines import (WINDOW_SIZE, dedupe_docs, dedupe_lines_chain, fixed_windows,
-                                      window_docs)
+                                    label_spans, split_oversize)
+from spanloom.operators.lines import (LOOK_BACK_PASSES, WINDOW_SIZE, dedupe_docs, dedupe_lines_chain,
+                                      fixed_windows, window_docs)
+from spanloom.operators.predict import assemble_sentences
 from spanloom.operators.split import assign_split, split_map
 
 
-def prepared_docs(notes: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc_id, lines`` after labelling, tagging and both de-duplication passes."""
-    return dedupe_docs(bio_docs(notes, label_spans(spans)))
+def _cleaned(notes: DataFrame, labelled: DataFrame, passes: tuple[int, ...]) -> DataFrame:
+    """``doc_id, lines``: tagged and de-duplicated inside the document row."""
+    return dedupe_docs(bio_docs(notes, labelled), passes)
 
 
-def prepared_lines(notes: DataFrame, spans: DataFrame,
+def _cleaned_unbounded(notes: DataFrame, labelled: DataFrame, passes: tuple[int, ...]) -> DataFrame:
+    """The same lines as flat rows, for notes whose spans must not be gathered."""
+    return dedupe_lines_chain(bio_lines_unbounded(notes, labelled), passes)
+
+
+def prepared_lines(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES,
                    max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
-    """``doc_id, line_no, token, tag, window_id`` for notes with any number of spans.
+    """``doc_id, line_no, token, tag`` after labelling, tagging and the de-duplication passes.
 
-    Notes up to ``max_spans`` stay one row until the very end; the others run
+    Notes up to ``max_spans`` stay one row until the very end; larger ones run
     through the flat operators, which give the same lines.
     """
-    labelled = label_spans(spans)
-    big = oversize_docs(labelled, max_spans)
-    usual = explode_lines(dedupe_docs(bio_docs(notes.join(big, "doc_id", "left_anti"),
-                                               labelled.join(big, "doc_id", "left_anti"))))
-    rest = dedupe_lines_chain(bio_lines_unbounded(notes.join(big, "doc_id", "left_semi"),
-                                                  labelled.join(big, "doc_id", "left_semi")))
-    return fixed_windows(usual.unionByName(rest.select(*usual.columns)), WINDOW_SIZE)
+    usual, rest = split_oversize(notes, label_spans(spans), max_spans)
+    lines = explode_lines(_cleaned(*usual, passes))
+    return lines if rest is None else lines.unionByName(_cleaned_unbounded(*rest, passes))
 
 
-def prepared_sentences(notes: DataFrame, spans: DataFrame) -> DataFrame:
+def prepared_sentences(notes: DataFrame, spans: DataFrame,
+                       max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
     """``doc_id, sent_id, items``: the windows of every document as rows."""
-    return window_docs(prepared_docs(notes, spans))
+    usual, rest = split_oversize(notes, label_spans(spans), max_spans)
+    rows = window_docs(_cleaned(*usual, LOOK_BACK_PASSES))
+    if rest is None:
+        return rows
+    windows = (fixed_windows(_cleaned_unbounded(*rest, LOOK_BACK_PASSES), WINDOW_SIZE)
+               .withColumnsRenamed({"window_id": "sent_id", "line_no": "tok_idx"}))
+    return rows.unionByName(assemble_sentences(windows))
 
 
 def split_sentences(notes: DataFrame, spans: DataFrame, split: str,

@@ -37,7 +37,7 @@ def note_tokens(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, ann_id, begin, end, concept``: spans of 1 to 6 tokens that sometimes overlap."""
     doc = F.col("doc_id")
-    table = F.array(*map(F.lit, CONCEPTS))
+    table = vocab.literal_array(CONCEPTS)
 
     def pick(tokens: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1),
@@ -59,7 +59,7 @@ def spans(docs: DataFrame) -> DataFrame:
 def _gold(doc: Column, pos: Column) -> Column:
     k = (doc * 5 + F.floor(pos / 3) * 11) % 20
     outside = (k >= len(_CLASS_BY_K)) | ((pos % 3 == 2) & (F.floor(pos / 6) % 2 == 0))
-    name = F.get(F.array(*map(F.lit, _CLASS_BY_K)), k.cast("int"))
+    name = F.get(vocab.literal_array(_CLASS_BY_K), k.cast("int"))
     return F.when(outside, vocab.OUTSIDE).otherwise(
         F.concat(F.when(pos % 3 == 0, F.lit("B-")).otherwise(F.lit("I-")), name))
 
@@ -71,6 +71,12 @@ def _pred(doc: Column, pos: Column, gold: Column, variant: int) -> Column:
             .when(error == 3, "B-TIM").otherwise(gold))
 
 
+def predicted(gold: Column, variant: int) -> Column:
+    """Predicted tags of a model variant for the ``gold`` tags of a sentence row."""
+    first = F.col("sent_id") * SENTENCE_TOKENS
+    return F.transform(gold, lambda g, i: _pred(F.col("doc_id"), first + i, g, variant))
+
+
 def tagged(docs: DataFrame, variant: int = 0) -> DataFrame:
     """``doc_id, sent_id, tokens, gold, pred``: sentences of 50 tokens with tags from a formula."""
     doc = F.col("doc_id")
@@ -83,5 +89,5 @@ def tagged(docs: DataFrame, variant: int = 0) -> DataFrame:
                          F.slice("_tokens", F.col("_start") + 1, F.lit(SENTENCE_TOKENS)).alias("tokens")))
     return (sentences
             .withColumn("gold", F.transform("tokens", lambda t, i: _gold(doc, F.col("_start") + i)))
-            .withColumn("pred", F.transform("gold", lambda g, i: _pred(doc, F.col("_start") + i, g, variant)))
+            .withColumn("pred", predicted(F.col("gold"), variant))
             .select("doc_id", "sent_id", "tokens", "gold", "pred"))

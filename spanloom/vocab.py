@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Concept -> label.
@@ -106,10 +106,22 @@ GRADES = ("COR", "INC", "PAR", "MIS", "SPU")
 MODES = ("type", "partial", "exact", "strict")
 
 
+def literal(value: str | None) -> str:
+    """A SQL string literal."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values) -> Column:
+    """A constant string array, built in one call."""
+    return F.expr(f"array({', '.join(map(literal, values))})")
+
+
 def _literal_rows(spark: SparkSession, names: tuple[str, ...], rows) -> DataFrame:
     """A constant table that lives in the plan (no data shipped by Python workers)."""
-    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    values = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in names)})")
 
 
 def concept_table(spark: SparkSession) -> DataFrame:
