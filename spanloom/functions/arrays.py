@@ -12,9 +12,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a lambda variable, so ``body`` can use it often yet it is computed once.
 
     Needed because an expression captured by an array lambda is otherwise
-    evaluated again for every element.
+    evaluated again for every element.  A fold over nothing hands the value to
+    its finishing lambda as is, whereas ``transform`` would copy the result.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def running_total(values: Column) -> Column:
@@ -49,15 +50,18 @@ def run_starts(items: Column, is_start: Callable[[Column, Column], Column]) -> C
         lambda x, i: F.when((i == 0) | is_start(F.get(items, i - 1), x), i)))
 
 
-def per_run(items: Column, is_start: Callable[[Column, Column], Column],
-            body: Callable[[Column], Column]) -> Column:
-    """Cut ``items`` into runs and concatenate ``body(run)`` over them.
+def run_lengths(items: Column, is_start: Callable[[Column, Column], Column],
+                body: Callable[[Column, Column], Column] | None = None) -> Column:
+    """An ``array<int>`` aligned with ``items``: the run length where a run begins, 0 inside it.
 
+    ``body(first index, length)`` may give another array of that length for a run.
     ``items`` must be a bound lambda variable or a plain column.
     """
-    def cut(starts: Column) -> Column:
-        return F.flatten(F.transform(starts, lambda s, p: let(
-            F.slice(items, s + 1, F.coalesce(F.get(starts, p + 1), F.size(items)) - s),
-            body)))
+    def plain(_: Column, length: Column) -> Column:
+        return F.concat(F.array(length), F.array_repeat(F.lit(0), length - 1))
 
-    return let(run_starts(items, is_start), cut)
+    def lengths(starts: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda s, p: (body or plain)(
+            s, F.coalesce(F.get(starts, p + 1), F.size(items)) - s)))
+
+    return let(run_starts(items, is_start), lengths)

@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.arrays import let, running_total
 
-# The characters a Unicode-aware whitespace split separates on.
-WHITESPACE_CODES = (
-    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0,
-    0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007,
-    0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+# First and last code points of the characters that a Unicode-aware
+# whitespace split separates on.
+WHITESPACE_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
 )
-WHITESPACE = "".join(map(chr, WHITESPACE_CODES))
-_WS = "".join(f"\\x{{{code:x}}}" for code in WHITESPACE_CODES)
-WORD_PATTERN = f"[^{_WS}]+"
-WORD_AND_GAP_PATTERN = f"[^{_WS}]+[{_WS}]*"
-LEADING_GAP_PATTERN = f"^[{_WS}]*"
+WHITESPACE = "".join(chr(c) for first, last in WHITESPACE_RANGES for c in range(first, last + 1))
+
+
+def _class(ranges: tuple[tuple[int, int], ...]) -> str:
+    """The inside of a character class; single characters stay single, they match faster."""
+    return "".join(f"\\x{{{first:x}}}" + (f"-\\x{{{last:x}}}" if last > first else "")
+                   for first, last in ranges)
+
+
+_WS = _class(WHITESPACE_RANGES)
+# Whitespace that ``\s`` does not match by default.
+_RARE = f"[{_class(((0x1C, 0x1F), *WHITESPACE_RANGES[2:]))}]"
 
 _DIGITS = r"\p{Nd}(?:_?\p{Nd})*"
 # The grammar of a decimal floating point literal with optional surrounding
@@ -43,25 +50,39 @@ def is_blank(text: Column) -> Column:
     return trim_all(text) == ""
 
 
+def plain_spaces(text: Column) -> Column:
+    """Turn rare whitespace characters into spaces, one for one, so offsets stay valid.
+
+    Matching words against the full whitespace class is several times slower
+    than against the default one; most texts only pay for the test here.
+    """
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(_RARE)), F.regexp_replace(t, _RARE, " "))
+               .otherwise(t))
+
+
+def plain_words(text: Column) -> Column:
+    """``words`` of a text that went through ``plain_spaces``."""
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words as an array."""
-    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    return plain_words(plain_spaces(text))
 
 
 def words_with_offsets(text: Column) -> Column:
     """``array<struct<token, begin>>``; ``begin`` counts characters from 0."""
-    chunks = F.regexp_extract_all(text, F.lit(WORD_AND_GAP_PATTERN), F.lit(0))
-    lead = F.length(F.regexp_extract(text, LEADING_GAP_PATTERN, 0))
-
-    def locate(parts: Column) -> Column:
+    def locate(parts: Column, lead: Column) -> Column:
         ends = running_total(F.transform(parts, lambda c: F.length(c).cast("bigint")))
         return let(lead, lambda first: let(ends, lambda end: F.transform(
             parts,
             lambda c, i: F.struct(
-                F.rtrim(c, F.lit(WHITESPACE)).alias("token"),
+                F.rtrim(c, F.lit(" \t\n\x0b\f\r")).alias("token"),
                 (first + F.coalesce(F.get(end, i - 1), F.lit(0))).cast("int").alias("begin")))))
 
-    return let(chunks, locate)
+    return let(plain_spaces(text), lambda t: let(
+        F.regexp_extract_all(t, F.lit(r"\S+\s*"), F.lit(0)),
+        lambda parts: locate(parts, F.length(F.regexp_extract(t, r"^\s*", 0)))))
 
 
 def pieces(text: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom import vocab
 from spanloom.functions.arrays import let
-from spanloom.functions.text import cut, is_number, pieces, substring_span, words
+from spanloom.functions.text import (cut, is_number, pieces, plain_spaces, plain_words, substring_span,
+                                     words)
 from spanloom.operators.ordered import running_before, value_before
 
 # A note with more spans than this is not gathered into one row.
@@ -42,12 +43,12 @@ def concept_parents(spans: DataFrame) -> DataFrame:
     return spans.join(table.select("concept", "parent"), "concept", "left")
 
 
-def tag_words(tokens: Column, label: Column) -> Column:
-    """``array<struct<token, tag>>``: O without a label, else B- for the first word and I- after."""
-    return F.transform(tokens, lambda w, i: F.struct(
-        w.alias("token"),
-        F.when(label.isNull(), F.lit(vocab.OUTSIDE))
-        .otherwise(F.concat(F.when(i == 0, F.lit("B-")).otherwise(F.lit("I-")), label)).alias("tag")))
+def segment_tags(count: Column, label: Column) -> Column:
+    """Tags of ``count`` words: O without a label, else B- for the first word and I- after."""
+    return (F.when(label.isNull(), F.array_repeat(F.lit(vocab.OUTSIDE), count))
+            .when(count == 0, F.array().cast("array<string>"))
+            .otherwise(F.concat(F.array(F.concat(F.lit("B-"), label)),
+                                F.array_repeat(F.concat(F.lit("I-"), label), count - 1))))
 
 
 def _segment(begin: Column, end: Column, label: Column) -> Column:
@@ -68,11 +69,22 @@ def segments(spans: Column, length: Column) -> Column:
     return F.concat(inner, F.array(_segment(last, length, none)))
 
 
-def line_array(text: Column, spans: Column) -> Column:
-    """All lines of a note from its text and its sorted spans; linear in the text length."""
-    return let(pieces(text), lambda parts: let(spans, lambda ss: F.flatten(F.transform(
-        segments(ss, F.length(text)),
-        lambda g: tag_words(words(cut(parts, g["b"], g["e"])), g["l"])))))
+def line_arrays(text: Column, spans: Column) -> Column:
+    """``struct<tokens, tags>``: all lines of a note from its text and its sorted spans.
+
+    Linear in the text length.  Lines are kept as two parallel arrays: array
+    lambdas are interpreted, and building a struct per line costs more than all
+    the rest.
+    """
+    def lines(segs: Column, seg_words: Column) -> Column:
+        return F.struct(
+            F.flatten(seg_words).alias("tokens"),
+            F.flatten(F.zip_with(seg_words, segs, lambda w, g: segment_tags(F.size(w), g["l"]))).alias("tags"))
+
+    return let(pieces(plain_spaces(text)), lambda parts: let(
+        let(spans, lambda bound: segments(bound, F.length(text))), lambda segs: let(
+            F.transform(segs, lambda g: plain_words(cut(parts, g["b"], g["e"]))),
+            lambda seg_words: lines(segs, seg_words))))
 
 
 def gather_spans(labelled: DataFrame) -> DataFrame:
@@ -82,7 +94,7 @@ def gather_spans(labelled: DataFrame) -> DataFrame:
 
 
 def bio_docs(notes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``doc_id, lines``: one row per note, notes without spans included.
+    """``doc_id, tokens, tags``: one row per note, notes without spans included.
 
     Only the narrow span rows are grouped; the text meets them in a one-to-one
     join and everything after that stays inside the row.
@@ -91,14 +103,16 @@ def bio_docs(notes: DataFrame, labelled: DataFrame) -> DataFrame:
     narrow = labelled.select("doc_id", F.col("begin").cast("int"), F.col("end").cast("int"),
                              F.col("ann_id").cast("bigint"), "label")
     return (notes.join(gather_spans(narrow), "doc_id", "left")
-            .select("doc_id", line_array(F.coalesce("text", F.lit("")),
-                                         F.coalesce("spans", empty)).alias("lines")))
+            .select("doc_id", line_arrays(F.coalesce("text", F.lit("")),
+                                          F.coalesce("spans", empty)).alias("_lines"))
+            .select("doc_id", "_lines.*"))
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, token, tag``; ``line_no`` counts from 1 in document order."""
-    return (docs.select("doc_id", F.posexplode("lines").alias("_pos", "_line"))
-            .select("doc_id", (F.col("_pos") + 1).alias("line_no"), "_line.token", "_line.tag"))
+    return (docs.select("doc_id", "tags", F.posexplode("tokens").alias("_pos", "token"))
+            .select("doc_id", (F.col("_pos") + 1).alias("line_no"), "token",
+                    F.get("tags", F.col("_pos")).alias("tag")))
 
 
 def span_texts(notes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -135,14 +149,15 @@ def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
             .select("doc_id", "_last.*", F.lit(2).alias("part"),
                     _segment(F.col("_last.end"), F.lit(2147483647), none).alias("seg")))
     cuts = (inner.unionByName(tail).join(notes.select("doc_id", "text"), "doc_id")
-            .select("doc_id", *order, "part", tag_words(
-                words(substring_span(F.col("text"), F.col("seg.b"), F.col("seg.e"))),
-                F.col("seg.l")).alias("lines")))
+            .select("doc_id", *order, "part", F.col("seg.l").alias("label"),
+                    words(substring_span(F.col("text"), F.col("seg.b"), F.col("seg.e"))).alias("tokens")))
     numbered = running_before(cuts, "doc_id", F.floor(F.col("begin") / _CHARS_PER_CHUNK),
-                              [*order, "part"], F.size("lines"), "_offset")
-    return (numbered.select("doc_id", "_offset", F.posexplode("lines").alias("_pos", "_line"))
+                              [*order, "part"], F.size("tokens"), "_offset")
+    tag = F.when(F.col("label").isNull(), F.lit(vocab.OUTSIDE)).otherwise(
+        F.concat(F.when(F.col("_pos") == 0, F.lit("B-")).otherwise(F.lit("I-")), F.col("label")))
+    return (numbered.select("doc_id", "_offset", "label", F.posexplode("tokens").alias("_pos", "token"))
             .select("doc_id", (F.col("_offset") + F.col("_pos") + 1).cast("int").alias("line_no"),
-                    "_line.token", "_line.tag"))
+                    "token", tag.alias("tag")))
 
 
 def split_oversize(notes: DataFrame, labelled: DataFrame, max_spans: int = MAX_SPANS_PER_ROW

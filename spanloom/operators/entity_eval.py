@@ -12,58 +12,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import let, per_run, run_starts
+from spanloom.functions.arrays import let, run_lengths, run_starts
 from spanloom.functions.tags import (either_contains, has_run_suffix, repair_label, run_key,
                                      same_ignoring_case)
 
 
-def _entity(entity_type: Column, surface: Column) -> Column:
-    return F.struct(entity_type.alias("entity_type"), surface.alias("surface_string"))
-
-
-def _no_entity() -> Column:
-    return _entity(F.lit(None).cast("string"), F.lit(None).cast("string"))
-
-
 def as_entities(tokens: Column, tags: Column) -> Column:
     """Token and tag arrays -> ``array<struct<entity_type, surface_string>>``."""
-    return F.zip_with(tags, tokens, _entity)
+    return F.zip_with(tags, tokens, lambda t, w: F.struct(t.alias("entity_type"), w.alias("surface_string")))
 
 
-def _joined(run: Column) -> Column:
-    return F.array_join(F.transform(run, lambda x: x["surface_string"]), " ")
+def _continues(previous: Column, current: Column) -> Column:
+    """``current`` is an inside tag of the class of the tag before it."""
+    return (current.startswith("I-") & (previous != vocab.OUTSIDE)
+            & (F.substr(previous, F.lit(3)) == F.substr(current, F.lit(3))))
 
 
-def _merged(entity_type: Column, run: Column) -> Column:
-    """One entity at the place of the first row, nothing at the others."""
-    return F.concat(F.array(_entity(entity_type, _joined(run))),
-                    F.array_repeat(_no_entity(), F.size(run) - 1))
+def _runs(types: Column, surfaces: Column, lengths: Column, merged_type, kept) -> Column:
+    """``struct<types, surfaces>`` from run lengths: > 0 begins a run, 0 is swallowed, -1 stands alone.
 
+    Parallel arrays keep the interpreted array lambdas free of struct building.
+    """
+    def build(ws: Column, ns: Column, ts: Column) -> Column:
+        joined = F.transform(ws, lambda w, i: F.when(F.get(ns, i) == 1, w)
+                             .when(F.get(ns, i) > 1, F.array_join(F.slice(ws, i + 1, F.get(ns, i)), " "))
+                             .when((F.get(ns, i) < 0) & kept(F.get(ts, i)), w))
+        named = F.zip_with(ts, ns, lambda t, n: F.when(n > 0, merged_type(t)).when((n < 0) & kept(t), t))
+        return F.struct(named.alias("types"), joined.alias("surfaces"))
 
-def _suffix_run(run: Column) -> Column:
-    """Rows with the same last three characters, merged from the first listed type on."""
-    def pass_through(x: Column) -> Column:
-        inside = x["entity_type"].startswith("I-")
-        return _entity(F.when(~inside, x["entity_type"]), F.when(~inside, x["surface_string"]))
+    return let(surfaces, lambda ws: let(lengths, lambda ns: let(types, lambda ts: build(ws, ns, ts))))
 
-    def from_first(first: Column) -> Column:
-        rest = F.slice(run, first, F.size(run))
-        return F.when(first == 0, F.transform(run, pass_through)).otherwise(
-            F.concat(F.transform(F.slice(run, F.lit(1), first - 1), pass_through),
-                     _merged(run_key(F.get(run, 0)["entity_type"]), rest)))
 
-    return let(F.array_position(F.transform(run, lambda x: has_run_suffix(x["entity_type"])),
-                                True).cast("int"), from_first)
+def _suffix_lengths(types: Column) -> Column:
+    """Runs of types with the same last three characters, from the first listed type on."""
+    def lengths(keys: Column, ts: Column) -> Column:
+        def of_run(start: Column, n: Column) -> Column:
+            listed = F.transform(F.slice(ts, start + 1, n), has_run_suffix)
+            first = F.array_position(listed, True).cast("int")
+            return let(first, lambda f: F.when(f == 0, F.array_repeat(F.lit(-1), n)).otherwise(
+                F.flatten(F.array(F.array_repeat(F.lit(-1), f - 1), F.array(n - f + 1),
+                                  F.array_repeat(F.lit(0), n - f)))))
 
+        return run_lengths(keys, lambda before, now: ~before.eqNullSafe(now), of_run)
 
-def _continues(previous: Column, current: Column) -> Column:
-    """``current`` is an inside tag of the class of the tag before it."""
-    return (current.startswith("I-") & (previous != vocab.OUTSIDE)
-            & (F.substr(previous, F.lit(3)) == F.substr(current, F.lit(3))))
+    return let(types, lambda ts: let(F.transform(ts, run_key), lambda keys: lengths(keys, ts)))
 
 
-def merge_runs(entities: Column, mode: str = "suffix") -> Column:
-    """Merge token rows into entities; the result is aligned with the input.
+def merge_runs(types: Column, surfaces: Column, mode: str = "suffix") -> Column:
+    """Merge token rows into entities: ``struct<types, surfaces>``, aligned with the input.
 
     ``suffix``: neighbours whose types share the last three characters merge when
     the type has a listed ending, whatever their prefixes; the merged type is
@@ -72,21 +68,26 @@ def merge_runs(entities: Column, mode: str = "suffix") -> Column:
     fitting predecessor begins one.
     """
     if mode == "suffix":
-        def changes(before: Column, now: Column) -> Column:
-            return ~run_key(before["entity_type"]).eqNullSafe(run_key(now["entity_type"]))
-
-        return let(entities, lambda e: per_run(e, changes, _suffix_run))
+        return let(types, lambda ts: _runs(ts, surfaces, _suffix_lengths(ts), run_key,
+                                           lambda t: ~t.startswith("I-")))
     if mode == "bio":
-        def begins(before: Column, now: Column) -> Column:
-            return ~_continues(before["entity_type"], now["entity_type"])
+        def name(t: Column) -> Column:
+            return F.when(t.startswith("B-") | t.startswith("I-"), F.substr(t, F.lit(3))).otherwise(t)
 
-        def merged(run: Column) -> Column:
-            return _merged(F.regexp_replace(F.get(run, 0)["entity_type"], "^[BI]-", ""), run)
-
-        return let(entities, lambda e: per_run(e, begins, merged))
+        return let(types, lambda ts: _runs(
+            ts, surfaces, run_lengths(ts, lambda before, now: ~_continues(before, now)), name,
+            lambda t: F.lit(True)))
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def explode_runs(merged: DataFrame) -> DataFrame:
+    """``doc_id, sent_id, pos, entity_type, surface_string`` from a ``runs`` column."""
+    return (merged.select("doc_id", "sent_id", "runs.*")
+            .select("doc_id", "sent_id", "surfaces", F.posexplode("types").alias("pos", "entity_type"))
+            .select("doc_id", "sent_id", "pos", "entity_type",
+                    F.get("surfaces", F.col("pos")).alias("surface_string")))
+
+
 def grade(gold_type: Column, gold: Column, pred_type: Column, pred: Column) -> Column:
     """``struct<type, partial, exact, strict>`` of one aligned pair."""
     no_gold = gold_type.isNull() & gold.isNull()
@@ -109,35 +110,36 @@ def grade(gold_type: Column, gold: Column, pred_type: Column, pred: Column) -> C
                     verdict("COR", "INC", "INC", "INC").alias("strict"))
 
 
-def _pair(gold: Column, pred: Column) -> Column:
-    return F.struct(gold["entity_type"].alias("entity_type_gold"),
-                    gold["surface_string"].alias("surface_string_gold"),
-                    pred["entity_type"].alias("entity_type_pred"),
-                    pred["surface_string"].alias("surface_string_pred"))
-
-
-def align(gold: Column, pred: Column) -> Column:
-    """Pair by position; predicted rows beyond the gold length are dropped."""
-    return let(gold, lambda g: F.zip_with(g, F.slice(pred, F.lit(1), F.size(g)), _pair))
-
-
 def join_sentences(gold: DataFrame, pred: DataFrame,
                    keys: tuple[str, ...] = ("doc_id", "sent_id")) -> DataFrame:
-    """Gold sentences with the predicted ones of the same key, empty where missing."""
-    none = F.array().cast("array<struct<entity_type:string,surface_string:string>>")
-    return (gold.select(*keys, F.col("entities").alias("gold_entities"))
-            .join(pred.select(*keys, F.col("entities").alias("pred_entities")), list(keys), "left")
-            .withColumn("pred_entities", F.coalesce("pred_entities", none)))
+    """Gold sentences with the predicted ones of the same key; missing ones have no entities.
+
+    Both sides hold ``entities``; the result has the four parallel arrays of ``aligned_pairs``.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.col("entities.entity_type").alias(f"{name}_types"),
+                         F.col("entities.surface_string").alias(f"{name}_surfaces"))
+
+    none = F.array().cast("array<string>")
+    return side(gold, "gold").join(side(pred, "pred"), list(keys), "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("pred_types", "pred_surfaces")})
 
 
 def aligned_pairs(sentences: DataFrame, mode: str = "suffix") -> DataFrame:
-    """``doc_id, sent_id, pos`` and the four pair columns.
+    """``doc_id, sent_id, pos`` and the four pair columns, paired by position.
 
-    ``sentences`` has ``gold_entities`` and ``pred_entities`` arrays of token rows.
+    ``sentences`` has ``gold_types, gold_surfaces, pred_types, pred_surfaces``.
+    Predicted rows beyond the gold length are dropped.
     """
-    pairs = align(merge_runs(F.col("gold_entities"), mode), merge_runs(F.col("pred_entities"), mode))
-    return (sentences.select("doc_id", "sent_id", F.posexplode(pairs).alias("pos", "_pair"))
-            .select("doc_id", "sent_id", "pos", "_pair.*"))
+    merged = sentences.select(
+        "doc_id", "sent_id", merge_runs(F.col("gold_types"), F.col("gold_surfaces"), mode).alias("g"),
+        merge_runs(F.col("pred_types"), F.col("pred_surfaces"), mode).alias("p"))
+    at = F.col("pos")
+    return (merged.select("doc_id", "sent_id", "g", "p", F.posexplode("g.types").alias("pos", "entity_type_gold"))
+            .select("doc_id", "sent_id", "pos", "entity_type_gold",
+                    F.get("g.surfaces", at).alias("surface_string_gold"),
+                    F.get("p.types", at).alias("entity_type_pred"),
+                    F.get("p.surfaces", at).alias("surface_string_pred")))
 
 
 def graded_pairs(pairs: DataFrame) -> DataFrame:
@@ -274,21 +276,25 @@ def span_scores(tagged: DataFrame) -> DataFrame:
             .withColumn("f1", _f1("precision", "recall")).drop("_total"))
 
 
-def _entities_only(entities: Column) -> Column:
-    return F.transform(entities, lambda x: F.when(x["entity_type"] == vocab.OUTSIDE, _no_entity()).otherwise(x))
-
-
 def muc_by_sentence(tagged: DataFrame) -> DataFrame:
     """Grade counts of each sentence and mode: ``doc_id, sent_id, mode`` and one column per grade.
 
     Entities are merged by their BIO tags and aligned on their first token, with
     unmatched ones of either side kept.
     """
-    def side(tags: str) -> Column:
-        return _entities_only(merge_runs(as_entities(F.col("tokens"), F.col(tags)), "bio"))
+    merged = tagged.select("doc_id", "sent_id", *[
+        merge_runs(F.col(c), F.col("tokens"), "bio").alias(a) for c, a in (("gold", "g"), ("pred", "p"))])
+
+    def entity(side: str, i: Column) -> tuple[Column, Column]:
+        kind = F.get(F.col(side)["types"], i)
+        inside = kind != vocab.OUTSIDE
+        return F.when(inside, kind), F.when(inside, F.get(F.col(side)["surfaces"], i))
 
-    grades = F.transform(F.zip_with(side("gold"), side("pred"), _pair), lambda x: grade(
-        x["entity_type_gold"], x["surface_string_gold"], x["entity_type_pred"], x["surface_string_pred"]))
+    # Only positions where either side begins an entity are graded.
+    begins = F.filter(F.sequence(F.lit(0), F.size("g.types") - 1), lambda i: F.coalesce(
+        F.get("g.types", i) != vocab.OUTSIDE, F.lit(False)) | F.coalesce(
+        F.get("p.types", i) != vocab.OUTSIDE, F.lit(False)))
+    grades = F.transform(begins, lambda i: grade(*entity("g", i), *entity("p", i)))
 
     def count_of(bound: Column, mode: str, value: str) -> Column:
         return F.size(F.filter(bound, lambda x: x[mode] == value)).alias(value)
@@ -297,7 +303,8 @@ def muc_by_sentence(tagged: DataFrame) -> DataFrame:
         return F.array(*[F.struct(F.lit(m).alias("mode"), *[count_of(bound, m, g) for g in vocab.GRADES])
                          for m in vocab.MODES])
 
-    return tagged.select("doc_id", "sent_id", F.inline(let(grades, counted)))
+    return (merged.where(F.size("g.types") > 0)
+            .select("doc_id", "sent_id", F.inline(let(grades, counted))))
 
 
 def muc_scores(by_sentence: DataFrame) -> DataFrame:

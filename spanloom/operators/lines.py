@@ -23,31 +23,36 @@ def _watched(slot: Column | int) -> Column | bool:
     return (slot % 4 == 0) | (slot % 4 == 3)
 
 
-def dedupe_array(lines: Column, look_back: int) -> Column:
-    """Drop labelled lines that repeat the token of a labelled line at a watched slot.
+def kept_lines(tokens: Column, tags: Column, look_back: int) -> Column:
+    """``array<boolean>``: false for labelled lines that repeat the token of a labelled line at a
+    watched slot.
 
     The buffer holds the last ``look_back`` input lines of the document (fewer at
     its start), dropped ones included.
     """
     slots = [j for j in range(look_back) if _watched(j)]
 
-    def keep(all_lines: Column, line: Column, i: Column) -> Column:
+    def repeats(ws: Column, ts: Column, i: Column) -> Column:
         base = F.greatest(i - look_back, F.lit(0))
+        hits = [(base + j < i) & (F.get(ts, base + j) != vocab.OUTSIDE) & (F.get(ws, base + j) == F.get(ws, i))
+                for j in slots]
+        return reduce(lambda a, b: a | b, hits)
 
-        def repeats(slot: int) -> Column:
-            earlier = F.get(all_lines, base + slot)
-            return ((base + slot < i) & (earlier["token"] == line["token"])
-                    & (earlier["tag"] != vocab.OUTSIDE))
+    return let(tokens, lambda ws: let(tags, lambda ts: F.transform(
+        ts, lambda t, i: F.when(t == vocab.OUTSIDE, F.lit(True)).otherwise(
+            ~F.coalesce(repeats(ws, ts, i), F.lit(False))))))
 
-        repeated = reduce(lambda a, b: a | b, map(repeats, slots), F.lit(False))
-        return ~((line["tag"] != vocab.OUTSIDE) & F.coalesce(repeated, F.lit(False)))
 
-    return let(lines, lambda bound: F.filter(bound, lambda x, i: keep(bound, x, i)))
+def dedupe_docs(docs: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES) -> DataFrame:
+    """Apply the passes to ``doc_id, tokens, tags`` rows, each on the output of the one before."""
+    def apply(df: DataFrame, look_back: int) -> DataFrame:
+        def kept(column: str) -> Column:
+            return let(F.col("_keep"), lambda keep: F.filter(column, lambda _, i: F.get(keep, i)))
 
+        flagged = df.withColumn("_keep", kept_lines(F.col("tokens"), F.col("tags"), look_back))
+        return flagged.withColumns({"tokens": kept("tokens"), "tags": kept("tags")}).drop("_keep")
 
-def dedupe_docs(docs: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES) -> DataFrame:
-    """Apply the passes to ``doc_id, lines`` rows, each on the output of the one before."""
-    return docs.withColumn("lines", reduce(dedupe_array, passes, F.col("lines")))
+    return reduce(apply, passes, docs)
 
 
 def renumber(lines: DataFrame, chunk: int = CHUNK_LINES) -> DataFrame:
@@ -58,7 +63,7 @@ def renumber(lines: DataFrame, chunk: int = CHUNK_LINES) -> DataFrame:
 
 
 def dedupe_lines(lines: DataFrame, look_back: int, chunk: int = CHUNK_LINES) -> DataFrame:
-    """``dedupe_array`` on flat ``doc_id, line_no, token, tag`` rows of any document length.
+    """``kept_lines`` on flat ``doc_id, line_no, token, tag`` rows of any document length.
 
     ``line_no`` must count 1, 2, 3, … per document.
     """
@@ -103,14 +108,13 @@ def sliding_windows(lines: DataFrame, size: int, step: int) -> DataFrame:
 
 
 def window_docs(docs: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP) -> DataFrame:
-    """``doc_id, sent_id, items``: windows cut inside the document row, no shuffle."""
-    n = F.size("lines")
+    """``doc_id, sent_id, tokens, tags``: windows cut inside the document row, no shuffle."""
+    n = F.size("tokens")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(
         F.array().cast("array<int>"))
-    return (docs.select(
-        "*", F.posexplode(starts).alias("sent_id", "_start"))
-        .withColumn("items", F.slice("lines", F.col("_start") + 1, F.lit(size)))
-        .drop("lines", "_start"))
+    window = {c: F.slice(c, F.col("_start") + 1, F.lit(size)) for c in ("tokens", "tags")}
+    return (docs.select("doc_id", "tokens", "tags", F.posexplode(starts).alias("sent_id", "_start"))
+            .select("doc_id", "sent_id", *[v.alias(c) for c, v in window.items()]))
 
 
 def collapse_blank_array(raw: Column) -> Column:

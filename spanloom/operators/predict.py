@@ -14,30 +14,28 @@ _KEYS = ("doc_id", "sent_id")
 
 
 def describe_sentences(sentences: DataFrame) -> DataFrame:
-    """``doc_id, sent_id, text, tags, pairs`` from sentence rows (``items`` of token, tag)."""
+    """``doc_id, sent_id, text, tags, pairs`` from sentence rows (``tokens`` and ``tags``)."""
     return sentences.select(
-        *_KEYS,
-        F.array_join(F.transform("items", lambda x: x["token"]), " ").alias("text"),
-        F.transform("items", lambda x: x["tag"]).alias("tags"),
-        F.transform("items", lambda x: F.struct(x["tag"], x["token"])).alias("pairs"))
+        *_KEYS, F.array_join("tokens", " ").alias("text"), "tags",
+        F.zip_with("tags", "tokens", lambda t, w: F.struct(t.alias("tag"), w.alias("token"))).alias("pairs"))
 
 
 def assemble_sentences(lines: DataFrame, keys: tuple[str, ...] = _KEYS,
                        order: str = "tok_idx") -> DataFrame:
-    """Flat token rows -> one row per sentence with ordered ``items``.
+    """Flat token rows -> one row per sentence with ordered ``tokens`` and ``tags``.
 
     The result is one row per sentence by definition, so sentences must be of a
     size that fits a row (windows are); ``window_docs`` needs no shuffle at all.
     """
     ordered = F.array_sort(F.collect_list(F.struct(order, "token", "tag")))
-    return lines.groupBy(*keys).agg(
-        F.transform(ordered, lambda x: F.struct(x["token"], x["tag"])).alias("items"))
+    return (lines.groupBy(*keys).agg(ordered.alias("_x"))
+            .select(*keys, F.col("_x.token").alias("tokens"), F.col("_x.tag").alias("tags")))
 
 
 def explode_sentences(sentences: DataFrame) -> DataFrame:
     """``doc_id, sent_id, tok_idx, token, tag``."""
-    return (sentences.select(*_KEYS, F.posexplode("items").alias("tok_idx", "_item"))
-            .select(*_KEYS, "tok_idx", "_item.token", "_item.tag"))
+    return (sentences.select(*_KEYS, "tags", F.posexplode("tokens").alias("tok_idx", "token"))
+            .select(*_KEYS, "tok_idx", "token", F.get("tags", F.col("tok_idx")).alias("tag")))
 
 
 def tag_sentences(sentences: DataFrame,

@@ -73,10 +73,9 @@ def pairs_by_position(gold: DataFrame, pred: DataFrame,
 def pairs_in_rows(tagged: DataFrame, *carry: str) -> DataFrame:
     """The same from sentence rows that hold ``tokens``, ``gold`` and ``pred`` arrays: no shuffle."""
     keys = (*carry, "doc_id", "sent_id")
-    return (tagged.select(*keys, F.posexplode(F.arrays_zip("tokens", "gold", "pred"))
-                          .alias("tok_idx", "_x"))
-            .select(*keys, "tok_idx", F.col("_x.tokens").alias("token"),
-                    F.col("_x.gold").alias("true"), F.col("_x.pred").alias("pred")))
+    at = F.col("tok_idx")
+    return (tagged.select(*keys, "gold", "pred", F.posexplode("tokens").alias("tok_idx", "token"))
+            .select(*keys, "tok_idx", "token", F.get("gold", at).alias("true"), F.get("pred", at).alias("pred")))
 
 
 def strip_pairs(pairs: DataFrame, mode: str = "all") -> DataFrame:

@@ -14,7 +14,7 @@ from spanloom.operators.split import assign_split, split_map
 
 
 def _cleaned(notes: DataFrame, labelled: DataFrame, passes: tuple[int, ...]) -> DataFrame:
-    """``doc_id, lines``: tagged and de-duplicated inside the document row."""
+    """``doc_id, tokens, tags``: tagged and de-duplicated inside the document row."""
     return dedupe_docs(bio_docs(notes, labelled), passes)
 
 
@@ -37,7 +37,7 @@ def prepared_lines(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] =
 
 def prepared_sentences(notes: DataFrame, spans: DataFrame,
                        max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
-    """``doc_id, sent_id, items``: the windows of every document as rows."""
+    """``doc_id, sent_id, tokens, tags``: the windows of every document as rows."""
     usual, rest = split_oversize(notes, label_spans(spans), max_spans)
     rows = window_docs(_cleaned(*usual, LOOK_BACK_PASSES))
     if rest is None:

@@ -71,6 +71,16 @@ def _pred(doc: Column, pos: Column, gold: Column, variant: int) -> Column:
             .when(error == 3, "B-TIM").otherwise(gold))
 
 
+def tagged_tokens(docs: DataFrame, variant: int = 0) -> DataFrame:
+    """The rows of ``tagged`` as ``doc_id, sent_id, tok_idx, token, true, pred``."""
+    doc, pos = F.col("doc_id"), F.col("_pos")
+    return (docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("_pos", "token"))
+            .withColumn("true", _gold(doc, pos))
+            .select("doc_id", F.floor(pos / SENTENCE_TOKENS).cast("int").alias("sent_id"),
+                    (pos % SENTENCE_TOKENS).alias("tok_idx"), "token", "true",
+                    _pred(doc, pos, F.col("true"), variant).alias("pred")))
+
+
 def predicted(gold: Column, variant: int) -> Column:
     """Predicted tags of a model variant for the ``gold`` tags of a sentence row."""
     first = F.col("sent_id") * SENTENCE_TOKENS

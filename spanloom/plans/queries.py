@@ -49,7 +49,7 @@ def _tagged(spark: SparkSession, sf: str, variant: int = 0) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return token_eval.pairs_in_rows(_tagged(spark, sf))
+    return fixtures.tagged_tokens(fixtures.notes(spark, sf))
 
 
 def _token_side(spark: SparkSession, sf: str, side: str) -> DataFrame:
@@ -226,8 +226,7 @@ def flatten_predictions(spark, sf):
 
 
 def flatten_gold(spark, sf):
-    items = F.zip_with("tokens", "gold", lambda w, t: F.struct(w.alias("token"), t.alias("tag")))
-    rows = _tagged(spark, sf).select("doc_id", "sent_id", items.alias("items"))
+    rows = _tagged(spark, sf).select("doc_id", "sent_id", "tokens", F.col("gold").alias("tags"))
     return predict.flatten_gold(rows).withColumnRenamed("true", "true_tag")
 
 
@@ -338,9 +337,8 @@ def prf_wide(spark, sf):
 # --- entity scores -----------------------------------------------------------
 
 def _runs(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    merged = entity_eval.merge_runs(entity_eval.as_entities(F.col("tokens"), F.col("gold")), mode)
-    return (_tagged(spark, sf).select("doc_id", "sent_id", F.posexplode(merged).alias("pos", "_x"))
-            .select("doc_id", "sent_id", "pos", "_x.*"))
+    merged = entity_eval.merge_runs(F.col("gold"), F.col("tokens"), mode)
+    return entity_eval.explode_runs(_tagged(spark, sf).select("doc_id", "sent_id", merged.alias("runs")))
 
 
 def entity_runs(spark, sf):

@@ -42,7 +42,7 @@ def check(spark: SparkSession, notes: DataFrame, spans: DataFrame) -> DataFrame:
     read = readers.read_sentences(spark, text)
 
     entities = sentences.select("doc_id", "sent_id", as_entities(
-        F.col("items.token"), F.col("items.tag")).alias("entities"))
+        F.col("tokens"), F.col("tags")).alias("entities"))
     json = staging_path(spark, "entities")
     sinks.write_entity_lines(entities, json)
 
@@ -53,10 +53,10 @@ def check(spark: SparkSession, notes: DataFrame, spans: DataFrame) -> DataFrame:
     table = "tag string, n bigint"
 
     return reduce(DataFrame.unionByName, (
-        _compare("sentence text", sentences, read, "items"),
+        _compare("sentence text", sentences, read, "tokens", "tags"),
         _compare("entity json", entities, readers.read_entity_lines(spark, json),
                  "doc_id", "sent_id", "entities"),
         _compare("csv", counts, spark.read.schema(table).option("header", "true").csv(csv), "tag", "n"),
         _compare("tsv", counts, spark.read.schema(table).option("header", "true")
                  .option("sep", "\t").csv(tsv), "tag", "n"),
-        _compare("parquet", prepared, rows, "doc_id", "sent_id", "items")))
+        _compare("parquet", prepared, rows, "doc_id", "sent_id", "tokens", "tags")))
