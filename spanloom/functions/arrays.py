@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,18 +50,41 @@ def run_starts(items: Column, is_start: Callable[[Column, Column], Column]) -> C
         lambda x, i: F.when((i == 0) | is_start(F.get(items, i - 1), x), i)))
 
 
+def one_run(length: Column) -> Column:
+    """``length`` at the first place of a run, 0 at the others."""
+    return F.concat(F.array(length), F.array_repeat(F.lit(0), length - 1))
+
+
 def run_lengths(items: Column, is_start: Callable[[Column, Column], Column],
-                body: Callable[[Column, Column], Column] | None = None) -> Column:
-    """An ``array<int>`` aligned with ``items``: the run length where a run begins, 0 inside it.
+                body: Callable[[Column, Column], Column]) -> Column:
+    """An array aligned with ``items``, made of ``body(first index, length)`` for each run.
 
-    ``body(first index, length)`` may give another array of that length for a run.
     ``items`` must be a bound lambda variable or a plain column.
     """
-    def plain(_: Column, length: Column) -> Column:
-        return F.concat(F.array(length), F.array_repeat(F.lit(0), length - 1))
-
     def lengths(starts: Column) -> Column:
-        return F.flatten(F.transform(starts, lambda s, p: (body or plain)(
+        return F.flatten(F.transform(starts, lambda s, p: body(
             s, F.coalesce(F.get(starts, p + 1), F.size(items)) - s)))
 
     return let(run_starts(items, is_start), lengths)
+
+
+def explode_at(df: DataFrame, columns: list[str] | tuple[str, ...], array: Column | str, position: str,
+               value: str) -> DataFrame:
+    """``columns`` plus position and value of every array element.
+
+    For a plain explode the optimizer adds a filter "array is not empty" and
+    pushes it below the projection that builds the array, which then is built
+    twice.  The outer variant with the empty rows removed afterwards is not
+    subject to that.
+    """
+    return (df.select(*columns, F.posexplode_outer(array).alias(position, value))
+            .where(F.col(position).isNotNull()))
+
+
+def inline_rows(df: DataFrame, columns: list[str] | tuple[str, ...], array: Column,
+                never_null: str) -> DataFrame:
+    """``columns`` plus the fields of every struct in ``array``; see ``explode_at``.
+
+    ``never_null`` names a struct field that has a value in every element.
+    """
+    return df.select(*columns, F.inline_outer(array)).where(F.col(never_null).isNotNull())

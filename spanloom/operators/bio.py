@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import let
+from spanloom.functions.arrays import explode_at, let
 from spanloom.functions.text import (cut, is_number, pieces, plain_spaces, plain_words, substring_span,
                                      words)
 from spanloom.operators.ordered import running_before, value_before
@@ -110,7 +110,7 @@ def bio_docs(notes: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def explode_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, token, tag``; ``line_no`` counts from 1 in document order."""
-    return (docs.select("doc_id", "tags", F.posexplode("tokens").alias("_pos", "token"))
+    return (explode_at(docs, ["doc_id", "tags"], "tokens", "_pos", "token")
             .select("doc_id", (F.col("_pos") + 1).alias("line_no"), "token",
                     F.get("tags", F.col("_pos")).alias("tag")))
 
@@ -155,7 +155,7 @@ def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
                               [*order, "part"], F.size("tokens"), "_offset")
     tag = F.when(F.col("label").isNull(), F.lit(vocab.OUTSIDE)).otherwise(
         F.concat(F.when(F.col("_pos") == 0, F.lit("B-")).otherwise(F.lit("I-")), F.col("label")))
-    return (numbered.select("doc_id", "_offset", "label", F.posexplode("tokens").alias("_pos", "token"))
+    return (explode_at(numbered, ["doc_id", "_offset", "label"], "tokens", "_pos", "token")
             .select("doc_id", (F.col("_offset") + F.col("_pos") + 1).cast("int").alias("line_no"),
                     "token", tag.alias("tag")))
 

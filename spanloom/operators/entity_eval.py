@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import let, run_lengths, run_starts
+from spanloom.functions.arrays import explode_at, inline_rows, let, one_run, run_lengths, run_starts
 from spanloom.functions.tags import (either_contains, has_run_suffix, repair_label, run_key,
                                      same_ignoring_case)
 
@@ -45,19 +45,36 @@ def _runs(types: Column, surfaces: Column, lengths: Column, merged_type, kept) -
 
 def _suffix_lengths(types: Column) -> Column:
     """Runs of types with the same last three characters, from the first listed type on."""
+    whole = [x for x in vocab.RUN_SUFFIXES if len(x) == 3]
+
     def lengths(keys: Column, ts: Column) -> Column:
-        def of_run(start: Column, n: Column) -> Column:
+        def from_first(start: Column, n: Column) -> Column:
             listed = F.transform(F.slice(ts, start + 1, n), has_run_suffix)
-            first = F.array_position(listed, True).cast("int")
-            return let(first, lambda f: F.when(f == 0, F.array_repeat(F.lit(-1), n)).otherwise(
-                F.flatten(F.array(F.array_repeat(F.lit(-1), f - 1), F.array(n - f + 1),
-                                  F.array_repeat(F.lit(0), n - f)))))
+            return let(F.array_position(listed, True).cast("int"), lambda first: F.when(
+                first == 0, F.array_repeat(F.lit(-1), n)).otherwise(
+                F.concat(F.array_repeat(F.lit(-1), first - 1), one_run(n - first + 1))))
+
+        def of_run(start: Column, n: Column) -> Column:
+            key = F.get(keys, start)
+            # A three-letter ending is the key itself; only a longer one needs a look at each type.
+            return (F.when(key.isin(*whole), one_run(n))
+                    .when(key.isin(*{x[-3:] for x in vocab.RUN_SUFFIXES}), from_first(start, n))
+                    .otherwise(F.array_repeat(F.lit(-1), n)))
 
         return run_lengths(keys, lambda before, now: ~before.eqNullSafe(now), of_run)
 
     return let(types, lambda ts: let(F.transform(ts, run_key), lambda keys: lengths(keys, ts)))
 
 
+def _bio_lengths(types: Column) -> Column:
+    """Runs of a begin tag with its inside tags; outside tags stand alone."""
+    def starts(before: Column, now: Column) -> Column:
+        return ~(_continues(before, now) | ((before == vocab.OUTSIDE) & (now == vocab.OUTSIDE)))
+
+    return let(types, lambda ts: run_lengths(ts, starts, lambda start, n: F.when(
+        F.get(ts, start) == vocab.OUTSIDE, F.array_repeat(F.lit(-1), n)).otherwise(one_run(n))))
+
+
 def merge_runs(types: Column, surfaces: Column, mode: str = "suffix") -> Column:
     """Merge token rows into entities: ``struct<types, surfaces>``, aligned with the input.
 
@@ -74,16 +91,14 @@ def merge_runs(types: Column, surfaces: Column, mode: str = "suffix") -> Column:
         def name(t: Column) -> Column:
             return F.when(t.startswith("B-") | t.startswith("I-"), F.substr(t, F.lit(3))).otherwise(t)
 
-        return let(types, lambda ts: _runs(
-            ts, surfaces, run_lengths(ts, lambda before, now: ~_continues(before, now)), name,
-            lambda t: F.lit(True)))
+        return let(types, lambda ts: _runs(ts, surfaces, _bio_lengths(ts), name, lambda t: F.lit(True)))
     raise ValueError(f"unknown mode {mode!r}")
 
 
 def explode_runs(merged: DataFrame) -> DataFrame:
     """``doc_id, sent_id, pos, entity_type, surface_string`` from a ``runs`` column."""
-    return (merged.select("doc_id", "sent_id", "runs.*")
-            .select("doc_id", "sent_id", "surfaces", F.posexplode("types").alias("pos", "entity_type"))
+    runs = merged.select("doc_id", "sent_id", "runs.*")
+    return (explode_at(runs, ["doc_id", "sent_id", "surfaces"], "types", "pos", "entity_type")
             .select("doc_id", "sent_id", "pos", "entity_type",
                     F.get("surfaces", F.col("pos")).alias("surface_string")))
 
@@ -135,7 +150,7 @@ def aligned_pairs(sentences: DataFrame, mode: str = "suffix") -> DataFrame:
         "doc_id", "sent_id", merge_runs(F.col("gold_types"), F.col("gold_surfaces"), mode).alias("g"),
         merge_runs(F.col("pred_types"), F.col("pred_surfaces"), mode).alias("p"))
     at = F.col("pos")
-    return (merged.select("doc_id", "sent_id", "g", "p", F.posexplode("g.types").alias("pos", "entity_type_gold"))
+    return (explode_at(merged, ["doc_id", "sent_id", "g", "p"], "g.types", "pos", "entity_type_gold")
             .select("doc_id", "sent_id", "pos", "entity_type_gold",
                     F.get("g.surfaces", at).alias("surface_string_gold"),
                     F.get("p.types", at).alias("entity_type_pred"),
@@ -247,7 +262,7 @@ def span_array(tokens: Column, tags: Column) -> Column:
 
 def bio_spans(sentences: DataFrame, tags: str) -> DataFrame:
     """``doc_id, sent_id, start, end, label, text`` from ``tokens`` and a tag array column."""
-    return sentences.select("doc_id", "sent_id", F.inline(span_array(F.col("tokens"), F.col(tags))))
+    return inline_rows(sentences, ["doc_id", "sent_id"], span_array(F.col("tokens"), F.col(tags)), "start")
 
 
 def span_scores(tagged: DataFrame) -> DataFrame:
@@ -266,8 +281,8 @@ def span_scores(tagged: DataFrame) -> DataFrame:
 
     both = tagged.select(keys(span_array(F.col("tokens"), F.col("gold"))).alias("g"),
                          keys(span_array(F.col("tokens"), F.col("pred"))).alias("p"))
-    rows = both.select(F.inline(F.concat(flagged(F.col("g"), "support"), flagged(F.col("p"), "predicted"),
-                                         flagged(F.array_intersect("g", "p"), "tp"))))
+    rows = inline_rows(both, [], F.concat(flagged(F.col("g"), "support"), flagged(F.col("p"), "predicted"),
+                                          flagged(F.array_intersect("g", "p"), "tp")), "label")
     sums = rows.rollup("label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")],
                                     F.grouping("label").alias("_total"))
     return (sums.withColumn("label", F.when(F.col("_total") == 1, "Overall").otherwise(F.col("label")))
@@ -291,7 +306,8 @@ def muc_by_sentence(tagged: DataFrame) -> DataFrame:
         return F.when(inside, kind), F.when(inside, F.get(F.col(side)["surfaces"], i))
 
     # Only positions where either side begins an entity are graded.
-    begins = F.filter(F.sequence(F.lit(0), F.size("g.types") - 1), lambda i: F.coalesce(
+    positions = F.transform("g.types", lambda _, i: i)
+    begins = F.filter(positions, lambda i: F.coalesce(
         F.get("g.types", i) != vocab.OUTSIDE, F.lit(False)) | F.coalesce(
         F.get("p.types", i) != vocab.OUTSIDE, F.lit(False)))
     grades = F.transform(begins, lambda i: grade(*entity("g", i), *entity("p", i)))
@@ -303,8 +319,7 @@ def muc_by_sentence(tagged: DataFrame) -> DataFrame:
         return F.array(*[F.struct(F.lit(m).alias("mode"), *[count_of(bound, m, g) for g in vocab.GRADES])
                          for m in vocab.MODES])
 
-    return (merged.where(F.size("g.types") > 0)
-            .select("doc_id", "sent_id", F.inline(let(grades, counted))))
+    return inline_rows(merged, ["doc_id", "sent_id"], let(grades, counted), "mode")
 
 
 def muc_scores(by_sentence: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import let
+from spanloom.functions.arrays import explode_at, let
 from spanloom.functions.text import entity_and_tag, is_blank
 from spanloom.operators.ordered import CHUNK_LINES, chunk_of, running_before, with_halo
 
@@ -113,7 +113,7 @@ def window_docs(docs: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STE
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(
         F.array().cast("array<int>"))
     window = {c: F.slice(c, F.col("_start") + 1, F.lit(size)) for c in ("tokens", "tags")}
-    return (docs.select("doc_id", "tokens", "tags", F.posexplode(starts).alias("sent_id", "_start"))
+    return (explode_at(docs, ["doc_id", "tokens", "tags"], starts, "sent_id", "_start")
             .select("doc_id", "sent_id", *[v.alias(c) for c, v in window.items()]))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
+from spanloom.functions.arrays import explode_at
 
 _KEYS = ("doc_id", "sent_id")
 
@@ -34,7 +35,7 @@ def assemble_sentences(lines: DataFrame, keys: tuple[str, ...] = _KEYS,
 
 def explode_sentences(sentences: DataFrame) -> DataFrame:
     """``doc_id, sent_id, tok_idx, token, tag``."""
-    return (sentences.select(*_KEYS, "tags", F.posexplode("tokens").alias("tok_idx", "token"))
+    return (explode_at(sentences, [*_KEYS, "tags"], "tokens", "tok_idx", "token")
             .select(*_KEYS, "tok_idx", "token", F.get("tags", F.col("tok_idx")).alias("tag")))
 
 
@@ -60,7 +61,7 @@ def tag_sentences(sentences: DataFrame,
 
 def flatten_predictions(predictions: DataFrame) -> DataFrame:
     """``doc_id, sent_id, tok_idx, token, pred`` from nested predictions."""
-    return (predictions.select(*_KEYS, F.posexplode("prediction").alias("tok_idx", "_map"))
+    return (explode_at(predictions, _KEYS, "prediction", "tok_idx", "_map")
             .select(*_KEYS, "tok_idx", F.explode("_map").alias("token", "pred")))
 
 

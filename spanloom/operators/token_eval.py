@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
+from spanloom.functions.arrays import explode_at
 from spanloom.functions.tags import strip_prefix
 
 
@@ -74,7 +75,7 @@ def pairs_in_rows(tagged: DataFrame, *carry: str) -> DataFrame:
     """The same from sentence rows that hold ``tokens``, ``gold`` and ``pred`` arrays: no shuffle."""
     keys = (*carry, "doc_id", "sent_id")
     at = F.col("tok_idx")
-    return (tagged.select(*keys, "gold", "pred", F.posexplode("tokens").alias("tok_idx", "token"))
+    return (explode_at(tagged, [*keys, "gold", "pred"], "tokens", "tok_idx", "token")
             .select(*keys, "tok_idx", "token", F.get("gold", at).alias("true"), F.get("pred", at).alias("pred")))
 
 

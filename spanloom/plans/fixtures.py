@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import let
+from spanloom.functions.arrays import explode_at, inline_rows, let
 from spanloom.functions.text import words, words_with_offsets
 from spanloom.session import fan_out
 
@@ -30,7 +30,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_tokens(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, token, begin``."""
-    return (docs.select("doc_id", F.posexplode(words_with_offsets(F.col("text"))).alias("pos", "_t"))
+    return (explode_at(docs, ["doc_id"], words_with_offsets(F.col("text")), "pos", "_t")
             .select("doc_id", "pos", "_t.token", "_t.begin"))
 
 
@@ -50,8 +50,8 @@ def spans(docs: DataFrame) -> DataFrame:
                 (end["begin"] + F.length(end["token"])).alias("end"),
                 ((doc * 7 + p) % len(CONCEPTS)).cast("int").alias("concept_ix"))))
 
-    return (docs.where(doc % 10 != 9)
-            .select("doc_id", F.inline(let(words_with_offsets(F.col("text")), pick)))
+    return (inline_rows(docs.where(doc % 10 != 9), ["doc_id"],
+                        let(words_with_offsets(F.col("text")), pick), "ann_id")
             .select("doc_id", "ann_id", "begin", "end",
                     F.element_at(table, F.col("concept_ix") + 1).alias("concept")))
 
@@ -74,7 +74,7 @@ def _pred(doc: Column, pos: Column, gold: Column, variant: int) -> Column:
 def tagged_tokens(docs: DataFrame, variant: int = 0) -> DataFrame:
     """The rows of ``tagged`` as ``doc_id, sent_id, tok_idx, token, true, pred``."""
     doc, pos = F.col("doc_id"), F.col("_pos")
-    return (docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("_pos", "token"))
+    return (explode_at(docs, ["doc_id"], words(F.col("text")), "_pos", "token")
             .withColumn("true", _gold(doc, pos))
             .select("doc_id", F.floor(pos / SENTENCE_TOKENS).cast("int").alias("sent_id"),
                     (pos % SENTENCE_TOKENS).alias("tok_idx"), "token", "true",
@@ -93,8 +93,8 @@ def tagged(docs: DataFrame, variant: int = 0) -> DataFrame:
     n = F.size("_tokens")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(SENTENCE_TOKENS))).otherwise(
         F.array().cast("array<int>"))
-    sentences = (docs.select("doc_id", words(F.col("text")).alias("_tokens"))
-                 .select("doc_id", "_tokens", F.posexplode(starts).alias("sent_id", "_start"))
+    split = docs.select("doc_id", words(F.col("text")).alias("_tokens"))
+    sentences = (explode_at(split, ["doc_id", "_tokens"], starts, "sent_id", "_start")
                  .select("doc_id", "sent_id", "_start",
                          F.slice("_tokens", F.col("_start") + 1, F.lit(SENTENCE_TOKENS)).alias("tokens")))
     return (sentences

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom import vocab
 from spanloom.functions import tags as tagfn
+from spanloom.functions.arrays import explode_at
 from spanloom.functions.text import clean_name, last_bracketed
 from spanloom.operators import bio, entity_eval, lines, predict, profile, split, token_eval
 from spanloom.plans import corpus, fixtures, scoring
@@ -125,7 +126,7 @@ def windows_sliding(spark, sf):
 def blank_collapse(spark, sf):
     docs = fixtures.notes(spark, sf)
     kept = lines.collapse_blank_array(F.split("text", "\n"))
-    return (docs.select("doc_id", F.posexplode(kept).alias("pos", "line")))
+    return explode_at(docs, ["doc_id"], kept, "pos", "line")
 
 
 def sentences(spark, sf):
