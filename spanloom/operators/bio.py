@@ -160,12 +160,15 @@ def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
                     "token", tag.alias("tag")))
 
 
-def split_oversize(notes: DataFrame, labelled: DataFrame, max_spans: int = MAX_SPANS_PER_ROW
+def split_oversize(notes: DataFrame, labelled: DataFrame, max_spans: int | None = MAX_SPANS_PER_ROW
                    ) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
     """Notes and spans that may be gathered per note, and those that may not (None if there are none).
 
-    Runs one small job: the span counts per note, reading only ``doc_id``.
+    Runs one small job: the span counts per note, reading only ``doc_id``.  With
+    ``max_spans=None`` the caller vouches that every note fits, and nothing is counted.
     """
+    if max_spans is None:
+        return (notes, labelled), None
     big = oversize_docs(labelled, max_spans)
     if big.isEmpty():
         return (notes, labelled), None
@@ -175,7 +178,7 @@ def split_oversize(notes: DataFrame, labelled: DataFrame, max_spans: int = MAX_S
 
 
 def bio_lines(notes: DataFrame, labelled: DataFrame,
-              max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
+              max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
     """Flat lines of all notes; notes beyond ``max_spans`` take the ungathered way."""
     usual, rest = split_oversize(notes, labelled, max_spans)
     lines = explode_lines(bio_docs(*usual))

@@ -24,7 +24,7 @@ def _cleaned_unbounded(notes: DataFrame, labelled: DataFrame, passes: tuple[int,
 
 
 def prepared_lines(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES,
-                   max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
+                   max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
     """``doc_id, line_no, token, tag`` after labelling, tagging and the de-duplication passes.
 
     Notes up to ``max_spans`` stay one row until the very end; larger ones run
@@ -36,7 +36,7 @@ def prepared_lines(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] =
 
 
 def prepared_sentences(notes: DataFrame, spans: DataFrame,
-                       max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
+                       max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
     """``doc_id, sent_id, tokens, tags``: the windows of every document as rows."""
     usual, rest = split_oversize(notes, label_spans(spans), max_spans)
     rows = window_docs(_cleaned(*usual, LOOK_BACK_PASSES))
@@ -48,9 +48,10 @@ def prepared_sentences(notes: DataFrame, spans: DataFrame,
 
 
 def split_sentences(notes: DataFrame, spans: DataFrame, split: str,
-                    mapping: DataFrame | None = None) -> DataFrame:
+                    mapping: DataFrame | None = None,
+                    max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
     """Sentences of one split; documents of other splits are dropped before any text work."""
     mapping = split_map(notes) if mapping is None else mapping
     chosen = assign_split(notes, mapping).where(F.col("split") == split).drop("split")
     ids = mapping.where(F.col("split") == split).select("doc_id")
-    return prepared_sentences(chosen, spans.join(ids, "doc_id", "left_semi"))
+    return prepared_sentences(chosen, spans.join(ids, "doc_id", "left_semi"), max_spans)
