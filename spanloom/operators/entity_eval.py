@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import explode_at, inline_rows, let, one_run, run_lengths, run_starts
+from spanloom.functions.arrays import (explode_at, inline_rows, let, one_run, run_lengths,
+                                      run_starts)
 from spanloom.functions.tags import (either_contains, has_run_suffix, repair_label, run_key,
                                      same_ignoring_case)
 
@@ -265,64 +266,60 @@ def bio_spans(sentences: DataFrame, tags: str) -> DataFrame:
     return inline_rows(sentences, ["doc_id", "sent_id"], span_array(F.col("tokens"), F.col(tags)), "start")
 
 
-def span_scores(tagged: DataFrame) -> DataFrame:
+def graded_entities(tagged: DataFrame) -> DataFrame:
+    """Graded pairs of the BIO entities of a sentence, aligned on their first token.
+
+    ``tagged`` has ``tokens, gold, pred``; outside rows count as no entity, and
+    unmatched entities of either side are kept.
+    """
+    pairs = aligned_pairs(tagged.select(
+        "doc_id", "sent_id", F.col("gold").alias("gold_types"), F.col("tokens").alias("gold_surfaces"),
+        F.col("pred").alias("pred_types"), F.col("tokens").alias("pred_surfaces")), "bio")
+
+    def entity_only(side: str) -> dict[str, Column]:
+        inside = F.col(f"entity_type_{side}") != vocab.OUTSIDE
+        return {f"{c}_{side}": F.when(inside, F.col(f"{c}_{side}")) for c in ("surface_string", "entity_type")}
+
+    return graded_pairs(pairs.withColumns({**entity_only("gold"), **entity_only("pred")}))
+
+
+def span_scores(graded: DataFrame) -> DataFrame:
     """``label, tp, predicted, support, precision, recall, f1`` on exact spans, and ``Overall``.
 
-    A span is right when start, end and label agree; the match is a hash
-    intersection inside the sentence row.
+    ``graded`` is ``graded_entities``: both sides share the sentence's tokens, so
+    spans agree in start, end and label exactly when the strict grade is COR.
     """
-    def keys(spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"], s["label"]))
-
-    def flagged(values: Column, name: str) -> Column:
-        flags = {n: F.lit(int(n == name)).cast("bigint") for n in ("tp", "predicted", "support")}
-        return F.transform(values, lambda v: F.struct(
-            F.substring_index(v, ":", -1).alias("label"), *[x.alias(n) for n, x in flags.items()]))
-
-    both = tagged.select(keys(span_array(F.col("tokens"), F.col("gold"))).alias("g"),
-                         keys(span_array(F.col("tokens"), F.col("pred"))).alias("p"))
-    rows = inline_rows(both, [], F.concat(flagged(F.col("g"), "support"), flagged(F.col("p"), "predicted"),
-                                          flagged(F.array_intersect("g", "p"), "tp")), "label")
-    sums = rows.rollup("label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")],
-                                    F.grouping("label").alias("_total"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    hit = F.when(F.col("strict") == "COR", one).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("entity_type_gold").alias("label"), hit.alias("tp"), zero.alias("predicted"),
+                 one.alias("support")),
+        F.struct(F.col("entity_type_pred").alias("label"), zero.alias("tp"), one.alias("predicted"),
+                 zero.alias("support")))
+    rows = graded.where(F.col("strict").isNotNull()).select(F.inline(sides)).where(F.col("label").isNotNull())
+    per_label = rows.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")])
+    sums = per_label.rollup("label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")],
+                                         F.grouping("label").alias("_total"))
     return (sums.withColumn("label", F.when(F.col("_total") == 1, "Overall").otherwise(F.col("label")))
             .withColumn("precision", _ratio(F.col("tp").cast("double"), F.col("predicted")))
             .withColumn("recall", _ratio(F.col("tp").cast("double"), F.col("support")))
             .withColumn("f1", _f1("precision", "recall")).drop("_total"))
 
 
-def muc_by_sentence(tagged: DataFrame) -> DataFrame:
-    """Grade counts of each sentence and mode: ``doc_id, sent_id, mode`` and one column per grade.
-
-    Entities are merged by their BIO tags and aligned on their first token, with
-    unmatched ones of either side kept.
-    """
-    merged = tagged.select("doc_id", "sent_id", *[
-        merge_runs(F.col(c), F.col("tokens"), "bio").alias(a) for c, a in (("gold", "g"), ("pred", "p"))])
-
-    def entity(side: str, i: Column) -> tuple[Column, Column]:
-        kind = F.get(F.col(side)["types"], i)
-        inside = kind != vocab.OUTSIDE
-        return F.when(inside, kind), F.when(inside, F.get(F.col(side)["surfaces"], i))
-
-    # Only positions where either side begins an entity are graded.
-    positions = F.transform("g.types", lambda _, i: i)
-    begins = F.filter(positions, lambda i: F.coalesce(
-        F.get("g.types", i) != vocab.OUTSIDE, F.lit(False)) | F.coalesce(
-        F.get("p.types", i) != vocab.OUTSIDE, F.lit(False)))
-    grades = F.transform(begins, lambda i: grade(*entity("g", i), *entity("p", i)))
-
-    def count_of(bound: Column, mode: str, value: str) -> Column:
-        return F.size(F.filter(bound, lambda x: x[mode] == value)).alias(value)
+def _count_modes(graded: DataFrame, *keys: str) -> DataFrame:
+    """``keys, mode`` and one column per grade; twenty counters in one pass."""
+    wide = graded.groupBy(*keys).agg(*[F.count_if(F.col(m) == g).alias(f"{g}_{m}")
+                                       for g in vocab.GRADES for m in vocab.MODES])
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), *[F.col(f"{g}_{m}").alias(g) for g in vocab.GRADES])
+                      for m in vocab.MODES])
+    return wide.select(*keys, F.inline(modes))
 
-    def counted(bound: Column) -> Column:
-        return F.array(*[F.struct(F.lit(m).alias("mode"), *[count_of(bound, m, g) for g in vocab.GRADES])
-                         for m in vocab.MODES])
 
-    return inline_rows(merged, ["doc_id", "sent_id"], let(grades, counted), "mode")
+def muc_by_sentence(graded: DataFrame) -> DataFrame:
+    """``doc_id, sent_id, mode`` and one column per grade from ``graded_entities``."""
+    return _count_modes(graded, "doc_id", "sent_id")
 
 
-def muc_scores(by_sentence: DataFrame) -> DataFrame:
+def muc_scores(graded: DataFrame) -> DataFrame:
     """``mode, COR…SPU, precision, recall, f1`` pooled over all sentences."""
-    sums = by_sentence.groupBy("mode").agg(*[F.sum(g).alias(g) for g in vocab.GRADES])
-    return _mode_scores(sums, "mode", *vocab.GRADES)
+    return _mode_scores(_count_modes(graded), "mode", *vocab.GRADES)

@@ -79,19 +79,27 @@ def learn_frequent_tags(lines: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("tag"))
 
 
-def apply_frequent_tags(lines: DataFrame, model: DataFrame, spread: int = 16,
+def apply_frequent_tags(lines: DataFrame, model: DataFrame, hot_share: int = 1000,
                         default: str = vocab.OUTSIDE) -> DataFrame:
     """Add ``pred`` to token rows by looking the token up, ``default`` if unknown.
 
-    The model grows with the vocabulary, so it gets no broadcast hint (Spark
-    broadcasts it below its own size threshold).  In a shuffled join a frequent
-    token would fill one task: rows of a token are spread over ``spread`` salts
-    and the model is repeated for each.
+    The model grows with the vocabulary, so it is joined without a broadcast
+    hint.  Tokens that make up more than 1/``hot_share`` of the rows would fill
+    single tasks of that join; there are fewer than ``hot_share`` of them
+    whatever the data, so these are broadcast, and their rows go through the
+    shuffle under keys that spread evenly.
     """
+    counts = lines.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()
+    hot = counts.where(F.col("_n") * hot_share > total).select("token")
+    known_hot = model.join(F.broadcast(hot), "token").select("token", F.col("tag").alias("_tag"))
+    hot_tags = hot.join(F.broadcast(known_hot), "token", "left").select(
+        "token", F.coalesce("_tag", F.lit(default)).alias("_hot"))
+
     order: list[Column] = [F.col(c) for c in ("doc_id", "sent_id", "tok_idx") if c in lines.columns]
-    salted = lines.withColumn("_salt", F.pmod(F.hash(*order), F.lit(spread)))
-    repeated = model.select("token", F.col("tag").alias("_known"), F.explode(
-        F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt"))
-    return (salted.join(repeated, ["token", "_salt"], "left")
-            .withColumn("pred", F.coalesce("_known", F.lit(default)))
-            .drop("_known", "_salt"))
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*order).cast("string"))
+    marked = (lines.join(F.broadcast(hot_tags), "token", "left")
+              .withColumn("_key", F.when(F.col("_hot").isNull(), F.col("token")).otherwise(spread)))
+    return (marked.join(model.select(F.col("token").alias("_key"), F.col("tag").alias("_cold")), "_key", "left")
+            .withColumn("pred", F.coalesce("_hot", "_cold", F.lit(default)))
+            .drop("_key", "_hot", "_cold"))

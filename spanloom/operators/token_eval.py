@@ -36,13 +36,12 @@ def pairs_by_token(gold: DataFrame, pred: DataFrame, order: str = "at") -> DataF
 
 
 def drop_outside(df: DataFrame, tag: str, every_column: bool = True) -> DataFrame:
-    """Rows left after replacing ``O`` by null and dropping rows with a null.
+    """Rows left when ``O`` counts as missing and rows with a missing value are dropped.
 
     With ``every_column`` a token that is spelled ``O`` is dropped as well.
     """
-    columns = ["token", tag] if every_column else [tag]
-    return (df.replace(vocab.OUTSIDE, None, subset=columns)
-            .na.drop("any", subset=["token", tag]))
+    present = (F.col(tag) != vocab.OUTSIDE) & F.col("token").isNotNull()
+    return df.where(present & (F.col("token") != vocab.OUTSIDE) if every_column else present)
 
 
 def pairs_by_token_no_outside(gold: DataFrame, pred: DataFrame, order: str = "at",

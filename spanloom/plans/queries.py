@@ -405,17 +405,22 @@ def bio_spans(spark, sf):
             .withColumnsRenamed({"start": "first_tok", "end": "end_tok"}))
 
 
+def _graded_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return entity_eval.graded_entities(_tagged(spark, sf))
+
+
 def span_prf(spark, sf):
-    return _rounded(entity_eval.span_scores(_tagged(spark, sf)), "precision", "recall", "f1")
+    return _rounded(entity_eval.span_scores(_graded_entities(spark, sf)), "precision", "recall", "f1")
 
 
 def muc_by_sentence(spark, sf):
-    return (entity_eval.muc_by_sentence(_tagged(spark, sf)).withColumnRenamed("mode", "grading")
-            .withColumnsRenamed({g: g.lower() for g in vocab.GRADES}))
+    counts = entity_eval.muc_by_sentence(_graded_entities(spark, sf))
+    return counts.select("doc_id", "sent_id", F.col("mode").alias("grading"),
+                         *[F.col(g).cast("int").alias(g.lower()) for g in vocab.GRADES])
 
 
 def muc_scores(spark, sf):
-    scores = entity_eval.muc_scores(entity_eval.muc_by_sentence(_tagged(spark, sf)))
+    scores = entity_eval.muc_scores(_graded_entities(spark, sf))
     return _rounded(scores.withColumnRenamed("mode", "grading")
                     .withColumnsRenamed({g: g.lower() for g in vocab.GRADES}),
                     "precision", "recall", "f1")

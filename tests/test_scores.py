@@ -140,6 +140,7 @@ def test_tagger_with_hot_tokens_and_unknown_words(spark):
         [("a", "B-SUB")] * 2 + [("a", "O")] * 2 + [("b", "I-TIM")], "token string, tag string"))
     rows = spark.createDataFrame([(0, 0, i, "a") for i in range(50)] + [(0, 1, 0, "b"), (0, 1, 1, "c")],
                                  "doc_id bigint, sent_id int, tok_idx int, token string")
-    got = predict.apply_frequent_tags(rows, model, spread=4).collect()
+    got = predict.apply_frequent_tags(rows, model, hot_share=4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, predict.apply_frequent_tags(rows, model).collect()))
     assert len(got) == 52
     assert {(r.token, r.pred) for r in got} == {("a", "B-SUB"), ("b", "I-TIM"), ("c", "O")}
