@@ -5,6 +5,7 @@ import zipfile
 
 from spanloom.operators import bio, lines
 from spanloom.sources import readers, sinks
+from spanloom.streaming.folders import clean_folder
 
 
 def test_notes_spans_and_listings(spark, tmp_path):
@@ -75,3 +76,19 @@ def test_entity_json(spark, tmp_path):
     path.write_text(json.dumps([[["B-TIM", "a"], ["O", "b"]], []]), encoding="utf-8")
     rows = readers.read_entity_json(spark, str(path)).orderBy("sent_id").collect()
     assert [[tuple(e) for e in r.entities] for r in rows] == [[("B-TIM", "a"), ("O", "b")], []]
+
+
+def test_new_files_are_cleaned_once(spark, tmp_path):
+    source, target, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    source.mkdir()
+
+    def run():
+        clean_folder(spark, str(source), str(target), str(state)).awaitTermination(120)
+        rows = spark.read.text(str(target)).select("doc_id", "value").collect()
+        return sorted((str(r.doc_id), r.value) for r in rows)
+
+    (source / "d1.txt").write_text("a B-SUB\na B-TIM\nb O\n", encoding="utf-8")
+    first = run()
+    assert first == [("d1", "a B-SUB"), ("d1", "b O")]
+    (source / "d2.txt").write_text("c O\n", encoding="utf-8")
+    assert run() == first + [("d2", "c O")]
