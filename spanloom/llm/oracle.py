@@ -65,4 +65,26 @@ select p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') as verdic
 from part p left join best b using (page_id)
 """
 
-ORACLE: dict[str, str] = {"op1_license_scan": _LICENCES, "op10_url_filters": _URLS}
+_REPEATS = r"""
+with cut as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from documents),
+start as (
+  select doc_id, words, unnest(range(1, len(words) - 48)) as p from cut where len(words) >= 50),
+windows as (
+  select doc_id, p, sha256(array_to_string(list_slice(words, p, p + 49), ' ')) as body from start),
+first_seen as (
+  select body, min(doc_id) as first_doc from windows group by body having count(distinct doc_id) > 1),
+covered as (
+  select distinct w.doc_id, unnest(range(w.p, w.p + 50)) as p
+  from windows w join first_seen f on f.body = w.body and f.first_doc < w.doc_id),
+gone as (
+  select doc_id, list(p) as places, count(*) as n from covered group by doc_id)
+select c.doc_id, len(words)::bigint as n_words, coalesce(g.n, 0)::bigint as n_removed,
+       sha256(case when g.n is null then array_to_string(words, ' ')
+              else coalesce(array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)),
+                   lambda x: not list_contains(g.places, x[2])), lambda x: x[1]), ' '), '') end) as kept_sha256
+from cut c left join gone g using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_license_scan": _LICENCES, "op5_substring_dedup": _REPEATS, "op10_url_filters": _URLS}

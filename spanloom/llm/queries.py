@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import licences, simhash, urls
+from spanloom.llm import licences, simhash, substrings, urls
 from spanloom.llm.common import table
 from spanloom.llm.oracle import ORACLE as ORACLE
 
@@ -23,10 +23,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_simhash_near_dedup, op10_url_filters)}
+    f.__name__: f for f in (op1_license_scan, op3_simhash_near_dedup, op5_substring_dedup, op10_url_filters)}
