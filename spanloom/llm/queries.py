@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, licences, packing, simhash, substrings, urls
+from spanloom.llm import decontam, licences, packing, rules, simhash, substrings, urls
 from spanloom.llm.common import table
 from spanloom.llm.oracle import ORACLE as ORACLE
 
@@ -32,6 +32,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,4 +48,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op3_simhash_near_dedup, op4_packing, op5_substring_dedup,
-                            op7_benchmark_decontamination, op10_url_filters)}
+                            op6_quality_rules, op7_benchmark_decontamination, op10_url_filters)}
