@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, licences, packing, rules, simhash, substrings, urls
+from spanloom.llm import decontam, langid, licences, packing, quality, rules, simhash, substrings, urls
 from spanloom.llm.common import table
 from spanloom.llm.oracle import ORACLE as ORACLE
 
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), licences.known_digests(spark))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,11 +45,16 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_simhash_near_dedup, op4_packing, op5_substring_dedup,
-                            op6_quality_rules, op7_benchmark_decontamination, op10_url_filters)}
+    f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_simhash_near_dedup, op4_packing,
+                            op5_substring_dedup, op6_quality_rules, op7_benchmark_decontamination,
+                            op8_language_id, op10_url_filters)}
