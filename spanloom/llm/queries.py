@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, langid, licences, packing, quality, rules, simhash, substrings, urls
+from spanloom.llm import decontam, langid, licences, lm, packing, quality, rules, simhash, substrings, urls
 from spanloom.llm.common import table
 from spanloom.llm.oracle import ORACLE as ORACLE
 
@@ -49,6 +49,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -57,4 +61,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_simhash_near_dedup, op4_packing,
                             op5_substring_dedup, op6_quality_rules, op7_benchmark_decontamination,
-                            op8_language_id, op10_url_filters)}
+                            op8_language_id, op9_lm_scoring, op10_url_filters)}
