@@ -23,6 +23,13 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def spread(df: DataFrame) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

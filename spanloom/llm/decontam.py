@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import string
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -108,6 +108,16 @@ def _scan(docs: DataFrame, rows: list[tuple[object, str]], item_type: pa.DataTyp
     return docs.mapInArrow(run, kinds)
 
 
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[object, str]], pa.DataType]]:
+    """Folded items in blocks of about ``BLOCK_CHARS`` characters, one at a time on the driver."""
+    wanted = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    blocks = (wanted.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
+    for block in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toArrow()
+        yield ([(k, f) for k, t in zip(part["item"].to_pylist(), part["text"].to_pylist()) if (f := folded(t))],
+               part.schema.field("item").type)
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id",
           text_col: str = "text") -> DataFrame:
     """``id_col, item_col, distance, match_end`` for each document and test item found in it.
@@ -120,24 +130,26 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: s
     not carried.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wanted = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = total // BLOCK_CHARS + 1
-    kinds = (f"id {source.schema['id'].dataType.simpleString()}, item {wanted.schema['item'].dataType.simpleString()}, "
+    kinds = (f"id {source.schema['id'].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, "
              "distance int, end bigint")
-    scans = []
-    for block in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toArrow()
-        rows = [(k, f) for k, t in zip(part["item"].to_pylist(), part["text"].to_pylist()) if (f := folded(t))]
-        scans.append(_scan(source, rows, part.schema.field("item").type, kinds))
+    scans = [_scan(source, rows, kind, kinds) for rows, kind in _blocks(items, item_col, text_col)]
     return (reduce(DataFrame.unionByName, scans)
             .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance",
                     F.col("end").alias("match_end")))
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in which no test item is found; all columns, null ids stay unless their text leaks."""
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
-    found = leaks(keyed.select("_key", F.col(text_col).alias("text")), items.withColumnRenamed(text_col, "text"),
-                  "_key", "item_id", "text").select(F.col("_key").alias("_found")).distinct()
-    return keyed.join(found, F.col("_key").eqNullSafe(F.col("_found")), "left_anti").drop("_key")
+def drop_leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` in which no test item is found, all columns, without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def without(rows: list[tuple[object, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Items(rows)
+            for batch in batches:
+                clean = [next(found.found_in(folded(t.as_py())), None) is None for t in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+        return run
+
+    for rows, _ in _blocks(items, item_col, text_col):
+        docs = docs.mapInArrow(without(rows), docs.schema)
+    return docs
