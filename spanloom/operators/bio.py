@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import explode_at, let
+from spanloom.functions.arrays import explode_at, inline_rows, let
 from spanloom.functions.text import (cut, is_number, pieces, plain_spaces, plain_words, substring_span,
                                      words)
 from spanloom.operators.ordered import running_before, value_before
 
-# A note with more spans than this is not gathered into one row.
-MAX_SPANS_PER_ROW = 100_000
 _CHARS_PER_CHUNK = 1 << 16
 
 
@@ -37,6 +35,11 @@ def null_concepts(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("concept").isNull())
 
 
+def broken_spans(spans: DataFrame) -> DataFrame:
+    """Spans without a begin or an end; they place no text."""
+    return spans.where(F.col("begin").isNull() | F.col("end").isNull())
+
+
 def concept_parents(spans: DataFrame) -> DataFrame:
     """Add ``parent``, null for concepts outside the vocabulary."""
     table = F.broadcast(vocab.concept_table(spans.sparkSession))
@@ -88,8 +91,12 @@ def line_arrays(text: Column, spans: Column) -> Column:
 
 
 def gather_spans(labelled: DataFrame) -> DataFrame:
-    """``doc_id, spans``: the sorted spans of each note, without the note text."""
-    return labelled.groupBy("doc_id").agg(
+    """``doc_id, spans``: the sorted spans of each note, without the note text.
+
+    Spans without both offsets are left out, see ``broken_spans``.
+    """
+    placed = labelled.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
+    return placed.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("begin", "end", "ann_id", "label"))).alias("spans"))
 
 
@@ -117,15 +124,11 @@ def explode_lines(docs: DataFrame) -> DataFrame:
 
 def span_texts(notes: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, ann_id, surface``: the characters each span covers."""
-    return (spans.join(notes.select("doc_id", "text"), "doc_id")
-            .select("doc_id", "ann_id", substring_span(F.col("text"), F.col("begin"), F.col("end"))
-                    .alias("surface")))
-
-
-def oversize_docs(labelled: DataFrame, max_spans: int = MAX_SPANS_PER_ROW) -> DataFrame:
-    """``doc_id`` of notes whose spans must not be gathered into one row."""
-    return (labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > max_spans).select("doc_id"))
+    places = spans.groupBy("doc_id").agg(F.collect_list(F.struct("ann_id", "begin", "end")).alias("_spans"))
+    texts = notes.join(places, "doc_id").select("doc_id", "_spans", pieces(F.col("text")).alias("_parts"))
+    cuts = F.transform("_spans", lambda s: F.struct(s["ann_id"].alias("ann_id"), F.lit(True).alias("_is"),
+                                                    cut(F.col("_parts"), s["begin"], s["end"]).alias("surface")))
+    return inline_rows(texts, ["doc_id"], cuts, "_is").drop("_is")
 
 
 def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -137,7 +140,8 @@ def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
     that have spans are returned.
     """
     order = ["begin", "end", "ann_id"]
-    spans = labelled.select("doc_id", "begin", "end", "ann_id", "label")
+    spans = (labelled.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
+             .select("doc_id", "begin", "end", "ann_id", "label"))
     spans = value_before(spans, "doc_id", F.floor(F.col("begin") / _CHARS_PER_CHUNK), order,
                          "end", "before")
     none = F.lit(None).cast("string")
@@ -160,26 +164,6 @@ def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
                     "token", tag.alias("tag")))
 
 
-def split_oversize(notes: DataFrame, labelled: DataFrame, max_spans: int | None = MAX_SPANS_PER_ROW
-                   ) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
-    """Notes and spans that may be gathered per note, and those that may not (None if there are none).
-
-    Runs one small job: the span counts per note, reading only ``doc_id``.  With
-    ``max_spans=None`` the caller vouches that every note fits, and nothing is counted.
-    """
-    if max_spans is None:
-        return (notes, labelled), None
-    big = oversize_docs(labelled, max_spans)
-    if big.isEmpty():
-        return (notes, labelled), None
-    usual, rest = ((notes.join(big, "doc_id", how), labelled.join(big, "doc_id", how))
-                   for how in ("left_anti", "left_semi"))
-    return usual, rest
-
-
-def bio_lines(notes: DataFrame, labelled: DataFrame,
-              max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
-    """Flat lines of all notes; notes beyond ``max_spans`` take the ungathered way."""
-    usual, rest = split_oversize(notes, labelled, max_spans)
-    lines = explode_lines(bio_docs(*usual))
-    return lines if rest is None else lines.unionByName(bio_lines_unbounded(*rest))
+def bio_lines(notes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Flat lines of all notes whose spans fit a row; see ``bio_lines_unbounded`` for others."""
+    return explode_lines(bio_docs(notes, labelled))

@@ -165,12 +165,13 @@ def graded_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def grade_counts(graded: DataFrame, count_spurious: bool = False,
-                 include_outside: bool = True) -> DataFrame:
+                 include_outside: bool = True, mode: str = "suffix") -> DataFrame:
     """``Measure, Type, Partial, Exact, Strict, entity_type``, one row per type and grade.
 
     By default a row belongs to its gold type, so spurious rows belong to none
     and SPU stays 0; ``count_spurious`` puts them under the predicted type.
-    All twenty counters come from one pass with map-side partial sums.
+    All twenty counters come from one pass with map-side partial sums.  Names are
+    repaired only in ``suffix`` mode, which is what cuts them.
     """
     owner = (F.coalesce("entity_type_gold", "entity_type_pred") if count_spurious
              else F.col("entity_type_gold"))
@@ -182,7 +183,8 @@ def grade_counts(graded: DataFrame, count_spurious: bool = False,
     measures = F.array(*[F.struct(F.lit(g).alias("Measure"),
                                   *[F.col(f"{g}_{m}").alias(m.capitalize()) for m in vocab.MODES])
                          for g in vocab.GRADES])
-    return wide.select(F.inline(measures), repair_label(F.col("entity_type")).alias("entity_type"))
+    name = F.col("entity_type")
+    return wide.select(F.inline(measures), (repair_label(name) if mode == "suffix" else name).alias("entity_type"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -315,9 +317,28 @@ def _count_modes(graded: DataFrame, *keys: str) -> DataFrame:
     return wide.select(*keys, F.inline(modes))
 
 
-def muc_by_sentence(graded: DataFrame) -> DataFrame:
-    """``doc_id, sent_id, mode`` and one column per grade from ``graded_entities``."""
-    return _count_modes(graded, "doc_id", "sent_id")
+def muc_by_sentence(tagged: DataFrame) -> DataFrame:
+    """``doc_id, sent_id, mode`` and one column per grade, counted inside the sentence row.
+
+    ``tagged`` has ``tokens, gold, pred``; pairs are those of ``graded_entities``.
+    """
+    def inside(side: Column, i: Column) -> tuple[Column, Column]:
+        kind = F.get(side["types"], i)
+        return F.when(kind != vocab.OUTSIDE, kind), F.when(kind != vocab.OUTSIDE, F.get(side["surfaces"], i))
+
+    def grades(gold: Column, pred: Column) -> Column:
+        return F.transform(gold["types"], lambda _, i: grade(*inside(gold, i), *inside(pred, i)))
+
+    def count(bound: Column, mode: str, name: str) -> Column:
+        return F.size(F.filter(bound, lambda x: x[mode] == name)).alias(name)
+
+    def counts(bound: Column) -> Column:
+        return F.array(*[F.struct(F.lit(m).alias("mode"), *[count(bound, m, g) for g in vocab.GRADES])
+                         for m in vocab.MODES])
+
+    both = let(merge_runs(F.col("gold"), F.col("tokens"), "bio"), lambda g: let(
+        merge_runs(F.col("pred"), F.col("tokens"), "bio"), lambda p: let(grades(g, p), counts)))
+    return inline_rows(tagged, ["doc_id", "sent_id"], both, "mode")
 
 
 def muc_scores(graded: DataFrame) -> DataFrame:

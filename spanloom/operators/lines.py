@@ -128,6 +128,6 @@ def parse_raw_array(raw: Column) -> Column:
     return F.transform(F.filter(raw, lambda x: ~is_blank(x)), entity_and_tag)
 
 
-def first_seen(df: DataFrame, value: str, order: Column) -> DataFrame:
-    """``value, first_at``: distinct values with the order key of their first occurrence."""
-    return df.groupBy(value).agg(F.min(order).alias("first_at"))
+def first_seen(df: DataFrame, value: str, *order: str) -> DataFrame:
+    """``value`` and the ``order`` columns of its first occurrence, for each distinct value."""
+    return df.groupBy(value).agg(F.min(F.struct(*order)).alias("_first")).select(value, "_first.*")

@@ -40,23 +40,26 @@ def explode_sentences(sentences: DataFrame) -> DataFrame:
 
 
 def tag_sentences(sentences: DataFrame,
-                  load: Callable[[], Callable[[list[str]], list[list[str]]]]) -> DataFrame:
+                  load: Callable[[], Callable[[list[list[str]]], list[list[str]]]]) -> DataFrame:
     """``doc_id, sent_id, prediction ARRAY<MAP<token, tag>>`` from a caller's tagger.
 
-    ``load()`` runs once per task and returns ``fn(texts) -> tags per text``, one
-    tag per space-separated token.  Only text goes to Python; Arrow batches
+    ``load()`` runs once per task and returns ``fn(sentences) -> tags per sentence``, one tag per
+    token of ``tokens``; another number of tags is an error.  Arrow batches
     (``spark.sql.execution.arrow.maxRecordsPerBatch``) are the model batches.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = load()
         for batch in batches:
-            yield batch.assign(tags=fn(batch["text"].tolist()))
+            tokens = [list(t) for t in batch["tokens"]]
+            tags = fn(tokens)
+            if list(map(len, tags)) != list(map(len, tokens)):
+                raise ValueError("the tagger must return one tag per token")
+            yield batch.assign(tags=tags)
 
     fields = {f.name: f.dataType.simpleString() for f in sentences.schema}
-    schema = ", ".join(f"{k} {fields[k]}" for k in _KEYS) + ", text string, tags array<string>"
-    return (sentences.select(*_KEYS, "text").mapInPandas(run, schema)
-            .select(*_KEYS, F.zip_with(F.split("text", " "), "tags",
-                                       lambda w, t: F.create_map(w, t)).alias("prediction")))
+    schema = ", ".join(f"{k} {fields[k]}" for k in _KEYS) + ", tokens array<string>, tags array<string>"
+    return (sentences.select(*_KEYS, "tokens").mapInPandas(run, schema)
+            .select(*_KEYS, F.zip_with("tokens", "tags", lambda w, t: F.create_map(w, t)).alias("prediction")))
 
 
 def flatten_predictions(predictions: DataFrame) -> DataFrame:

@@ -23,13 +23,14 @@ def shuffle_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), doc_id.cast("string")))
 
 
-def split_map(docs: DataFrame, train: float = TRAIN_RATIO, validation: float = VALIDATION_RATIO,
-              test: float = TEST_RATIO, seed: int = SEED) -> DataFrame:
-    """``doc_id, split`` with exact sizes ``int(n * ratio)``, the remainder to TEST.
+def split_cuts(docs: DataFrame, train: float = TRAIN_RATIO, validation: float = VALIDATION_RATIO,
+               test: float = TEST_RATIO, seed: int = SEED) -> DataFrame:
+    """One row ``train, validation``: the last (key, id) of the first two splits, of exact size.
 
-    The rank over all documents is the rank inside a hash bucket plus the number
-    of documents in smaller buckets.  Buckets are even (the hash is uniform over
-    distinct ids) and their table has at most 4096 rows, so it is broadcast.
+    Sizes are ``int(n * ratio)``, the remainder goes to TEST.  The rank over all documents is the
+    rank inside a hash bucket plus the number of documents in smaller buckets.  Buckets are
+    even (the hash is uniform over distinct ids) and their table has at most 4096 rows, so it
+    is broadcast.  Only ids are read.
     """
     _check(train, validation, test)
     ids = (docs.select("doc_id").distinct()
@@ -47,11 +48,24 @@ def split_map(docs: DataFrame, train: float = TRAIN_RATIO, validation: float = V
     rank = F.col("_before") + F.row_number().over(inside)
     cut_train = F.floor(F.col("_all") * F.lit(train))
     cut_validation = cut_train + F.floor(F.col("_all") * F.lit(validation))
-    return (ids.join(F.broadcast(offsets), "_bucket")
-            .withColumn("_rank", rank)
-            .select("doc_id", F.when(F.col("_rank") <= cut_train, SPLITS[0])
-                    .when(F.col("_rank") <= cut_validation, SPLITS[1])
-                    .otherwise(SPLITS[2]).alias("split")))
+    place = F.struct("_key", "doc_id")
+    return (ids.join(F.broadcast(offsets), "_bucket").withColumn("_rank", rank)
+            .agg(F.max(F.when(F.col("_rank") <= cut_train, place)).alias("train"),
+                 F.max(F.when(F.col("_rank") <= cut_validation, place)).alias("validation")))
+
+
+def split_of(doc_id: Column, cuts: DataFrame, seed: int = SEED) -> Column:
+    """The split of a document id, from ``split_cuts`` as scalar subqueries: no join, no shuffle."""
+    place = F.struct(shuffle_key(doc_id, seed).alias("_key"), doc_id.alias("doc_id"))
+    return (F.when(place <= cuts.select("train").scalar(), SPLITS[0])
+            .when(place <= cuts.select("validation").scalar(), SPLITS[1]).otherwise(SPLITS[2]))
+
+
+def split_map(docs: DataFrame, train: float = TRAIN_RATIO, validation: float = VALIDATION_RATIO,
+              test: float = TEST_RATIO, seed: int = SEED) -> DataFrame:
+    """``doc_id, split`` of every document, sizes as in ``split_cuts``."""
+    cuts = split_cuts(docs, train, validation, test, seed)
+    return docs.select("doc_id").distinct().select("doc_id", split_of(F.col("doc_id"), cuts, seed).alias("split"))
 
 
 def split_by_hash(docs: DataFrame, train: float = TRAIN_RATIO,

@@ -10,16 +10,11 @@ from spanloom.functions.arrays import explode_at
 from spanloom.functions.tags import strip_prefix
 
 
-def position_key(doc_id: Column, position: Column) -> Column:
-    """Corpus order as one bigint, for ids below 2^32 and positions below 2^31."""
-    return F.shiftleft(doc_id.cast("bigint"), 31) + position
-
-
 def last_per_token(df: DataFrame, tag: str, order: str) -> DataFrame:
     """``token, tag``: the tag at the highest ``order`` of each token.
 
-    The first step reduces to (token, tag) with a hash aggregate on both sides
-    of the shuffle; only that small result is sorted for the second.
+    ``order`` is any comparable column, so a struct of keys of any type and size gives corpus
+    order.  The first step reduces to (token, tag) before and after the shuffle.
     """
     latest = df.groupBy("token", tag).agg(F.max(order).alias("_at"))
     return latest.groupBy("token").agg(F.max_by(tag, "_at").alias(tag))
@@ -64,10 +59,44 @@ def pair_counts_by_token(gold: DataFrame, pred: DataFrame) -> DataFrame:
         "token", "true", "pred", (F.coalesce("_g", F.lit(1)) * F.col("_p")).alias("n_pairs"))
 
 
+def pair_counts_in_rows(rows: DataFrame) -> DataFrame:
+    """``pair_counts_by_token`` for rows that hold both tags: one pass, no join.
+
+    A token has at most as many counts as there are tags, so they fit its row.
+    """
+    side = F.inline(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("tag")) for c in ("true", "pred")]))
+    counts = rows.select("token", side).groupBy("token", "side", "tag").agg(F.count(F.lit(1)).alias("n"))
+    lists = counts.groupBy("token").agg(*[
+        F.collect_list(F.when(F.col("side") == c, F.struct(F.col("tag").alias(c), F.col("n").alias(f"n_{c}")))).alias(c)
+        for c in ("true", "pred")])
+    return (lists.select("token", "pred", F.inline("true")).select("token", "true", "n_true", F.inline("pred"))
+            .select("token", "true", "pred", (F.col("n_true") * F.col("n_pred")).alias("n_pairs")))
+
+
 def pairs_by_position(gold: DataFrame, pred: DataFrame,
                       keys: tuple[str, ...] = ("doc_id", "sent_id", "tok_idx")) -> DataFrame:
-    """Gold and predicted tag of the same token, from two token tables."""
-    return gold.select(*keys, "token", "true").join(pred.select(*keys, "pred"), list(keys), "full")
+    """Gold and predicted tag of the same token, from two token tables; rows of either side stay."""
+    sides = (gold.select(*keys, F.col("token").alias("_gold_token"), "true"),
+             pred.select(*keys, F.col("token").alias("_pred_token"), "pred"))
+    return sides[0].join(sides[1], list(keys), "full").select(
+        *keys, F.coalesce("_gold_token", "_pred_token").alias("token"), "true", "pred")
+
+
+def last_pairs(rows: DataFrame, order: str = "at", outside: bool = True) -> DataFrame:
+    """``token, true, pred`` of ``pairs_by_token`` for rows that hold both tags, in one pass.
+
+    Without ``outside`` it equals ``pairs_by_token_no_outside``: outside tags, and tokens spelled
+    like one, count as missing, and tokens without both tags are left out.
+    """
+    side = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("tag")) for c in ("true", "pred")]))
+    tags = rows.select("token", order, side.alias("_x")).select("token", order, "_x.*")
+    if not outside:
+        tags = tags.where((F.col("tag") != vocab.OUTSIDE) & (F.col("token") != vocab.OUTSIDE))
+    latest = tags.groupBy("token", "side", "tag").agg(F.max(order).alias("_at"))
+    both = latest.groupBy("token").agg(*[
+        F.max_by(F.when(F.col("side") == c, F.col("tag")), F.when(F.col("side") == c, F.col("_at"))).alias(c)
+        for c in ("true", "pred")])
+    return both if outside else both.dropna(subset=["true", "pred"])
 
 
 def pairs_in_rows(tagged: DataFrame, *carry: str) -> DataFrame:
@@ -129,8 +158,10 @@ def class_scores(counts: DataFrame, labels: tuple[str, ...] | None = None,
         listed = counts.sparkSession.range(1).select(
             F.explode(vocab.literal_array(labels)).alias("tag"),
             zero.alias("tp"), zero.alias("predicted"), zero.alias("support"))
-        rows = rows.where(F.col("tag").isin(*labels))
-        rows = rows.unionByName(listed) if not by else rows
+        if by:  # every value of ``by`` gets every label
+            listed = counts.select(*by).distinct().select(*by, F.explode(vocab.literal_array(labels)).alias("tag"),
+                                                          *[zero.alias(c) for c in ("tp", "predicted", "support")])
+        rows = rows.where(F.col("tag").isin(*labels)).unionByName(listed)
     sums = rows.groupBy(*by, "tag").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")])
     scored = (sums.withColumn("precision", _ratio(F.col("tp"), F.col("predicted")))
               .withColumn("recall", _ratio(F.col("tp"), F.col("support"))))

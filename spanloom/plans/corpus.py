@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.bio import (MAX_SPANS_PER_ROW, bio_docs, bio_lines_unbounded, explode_lines,
-                                    label_spans, split_oversize)
-from spanloom.operators.lines import (LOOK_BACK_PASSES, WINDOW_SIZE, dedupe_docs, dedupe_lines_chain,
-                                      fixed_windows, window_docs)
-from spanloom.operators.predict import assemble_sentences
-from spanloom.operators.split import assign_split, split_map
+from spanloom.operators.bio import bio_docs, bio_lines_unbounded, explode_lines, label_spans
+from spanloom.operators.lines import LOOK_BACK_PASSES, dedupe_docs, dedupe_lines_chain, window_docs
+from spanloom.operators.split import split_cuts, split_of
 
 
 def _cleaned(notes: DataFrame, labelled: DataFrame, passes: tuple[int, ...]) -> DataFrame:
@@ -18,40 +15,33 @@ def _cleaned(notes: DataFrame, labelled: DataFrame, passes: tuple[int, ...]) ->
     return dedupe_docs(bio_docs(notes, labelled), passes)
 
 
-def _cleaned_unbounded(notes: DataFrame, labelled: DataFrame, passes: tuple[int, ...]) -> DataFrame:
-    """The same lines as flat rows, for notes whose spans must not be gathered."""
-    return dedupe_lines_chain(bio_lines_unbounded(notes, labelled), passes)
-
-
-def prepared_lines(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES,
-                   max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
+def prepared_lines(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES) -> DataFrame:
     """``doc_id, line_no, token, tag`` after labelling, tagging and the de-duplication passes.
 
-    Notes up to ``max_spans`` stay one row until the very end; larger ones run
-    through the flat operators, which give the same lines.
+    A note stays one row until the very end, with its text, its spans and its lines.
     """
-    usual, rest = split_oversize(notes, label_spans(spans), max_spans)
-    lines = explode_lines(_cleaned(*usual, passes))
-    return lines if rest is None else lines.unionByName(_cleaned_unbounded(*rest, passes))
+    return explode_lines(_cleaned(notes, label_spans(spans), passes))
+
+
+def prepared_lines_unbounded(notes: DataFrame, spans: DataFrame,
+                             passes: tuple[int, ...] = LOOK_BACK_PASSES) -> DataFrame:
+    """The same lines without gathering the spans of a note, for notes that have spans too many for a row."""
+    return dedupe_lines_chain(bio_lines_unbounded(notes, label_spans(spans)), passes)
 
 
-def prepared_sentences(notes: DataFrame, spans: DataFrame,
-                       max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
+def prepared_sentences(notes: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, sent_id, tokens, tags``: the windows of every document as rows."""
-    usual, rest = split_oversize(notes, label_spans(spans), max_spans)
-    rows = window_docs(_cleaned(*usual, LOOK_BACK_PASSES))
-    if rest is None:
-        return rows
-    windows = (fixed_windows(_cleaned_unbounded(*rest, LOOK_BACK_PASSES), WINDOW_SIZE)
-               .withColumnsRenamed({"window_id": "sent_id", "line_no": "tok_idx"}))
-    return rows.unionByName(assemble_sentences(windows))
-
-
-def split_sentences(notes: DataFrame, spans: DataFrame, split: str,
-                    mapping: DataFrame | None = None,
-                    max_spans: int | None = MAX_SPANS_PER_ROW) -> DataFrame:
-    """Sentences of one split; documents of other splits are dropped before any text work."""
-    mapping = split_map(notes) if mapping is None else mapping
-    chosen = assign_split(notes, mapping).where(F.col("split") == split).drop("split")
-    ids = mapping.where(F.col("split") == split).select("doc_id")
-    return prepared_sentences(chosen, spans.join(ids, "doc_id", "left_semi"), max_spans)
+    return window_docs(_cleaned(notes, label_spans(spans), LOOK_BACK_PASSES))
+
+
+def split_sentences(notes: DataFrame, spans: DataFrame, *splits: str,
+                    cuts: DataFrame | None = None) -> DataFrame:
+    """``split`` and the sentences of the given splits.
+
+    The split follows from the document id and two cut keys, so documents and spans of other
+    splits are left out where they are read, before any text moves.
+    """
+    cuts = split_cuts(notes) if cuts is None else cuts
+    wanted = split_of(F.col("doc_id"), cuts).isin(*splits)
+    rows = prepared_sentences(notes.where(wanted), spans.where(wanted))
+    return rows.select(split_of(F.col("doc_id"), cuts).alias("split"), "*")

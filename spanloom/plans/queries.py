@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import vocab
@@ -13,7 +13,6 @@ from spanloom.functions.arrays import explode_at
 from spanloom.functions.text import clean_name, last_bracketed
 from spanloom.operators import bio, entity_eval, lines, predict, profile, split, token_eval
 from spanloom.plans import corpus, fixtures, scoring
-from spanloom.session import fan_out
 from spanloom.sources import roundtrip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,14 +52,9 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.tagged_tokens(fixtures.notes(spark, sf))
 
 
-def _token_side(spark: SparkSession, sf: str, side: str) -> DataFrame:
-    """``token, <side>, at`` for the by-token joins."""
-    position = F.col("sent_id") * fixtures.SENTENCE_TOKENS + F.col("tok_idx")
-    return _pairs(spark, sf).select("token", side, token_eval.position_key(F.col("doc_id"), position).alias("at"))
-
-
-def _pairs_by_token(spark: SparkSession, sf: str) -> DataFrame:
-    return token_eval.pairs_by_token(_token_side(spark, sf, "true"), _token_side(spark, sf, "pred"))
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Token pairs with their place in the corpus, for the by-token scores."""
+    return _pairs(spark, sf).withColumn("at", F.struct("doc_id", "sent_id", "tok_idx"))
 
 
 def _tag_names(df: DataFrame) -> DataFrame:
@@ -103,6 +97,7 @@ def bio_lines(spark, sf):
 
 def bio_unannotated(spark, sf):
     docs, labelled = _labelled(spark, sf)
+    labelled = labelled.where("doc_id % 10 <> 9")  # every tenth note is left without annotations
     bare = docs.join(labelled, "doc_id", "left_anti")
     return bio.explode_lines(bio.bio_docs(bare, labelled.limit(0)))
 
@@ -177,8 +172,7 @@ def tag_set_counts(spark, sf):
 
 
 def first_seen_labels(spark, sf):
-    position = token_eval.position_key(F.col("doc_id"), F.col("ann_id"))
-    return lines.first_seen(_labelled(spark, sf)[1], "label", position)
+    return lines.first_seen(_labelled(spark, sf)[1], "label", "doc_id", "ann_id")
 
 
 # --- split -------------------------------------------------------------------
@@ -232,14 +226,13 @@ def flatten_gold(spark, sf):
 
 
 def _digit_tagger():
-    def tag(texts: list[str]) -> list[list[str]]:
-        return [["B-DEC" if w.isascii() and w.isdigit() else "O" for w in t.split(" ")] for t in texts]
+    def tag(sentences: list[list[str]]) -> list[list[str]]:
+        return [["B-DEC" if w.isascii() and w.isdigit() else "O" for w in tokens] for tokens in sentences]
     return tag
 
 
 def user_tagger(spark, sf):
-    texts = _tagged(spark, sf).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("text"))
-    return (predict.flatten_predictions(predict.tag_sentences(texts, _digit_tagger))
+    return (predict.flatten_predictions(predict.tag_sentences(_tagged(spark, sf), _digit_tagger))
             .withColumnRenamed("pred", "pred_tag"))
 
 
@@ -250,31 +243,42 @@ def mft_tagger(spark, sf):
     return predict.apply_frequent_tags(tokens, model).withColumnRenamed("pred", "pred_tag")
 
 
-def model_compare(spark, sf):
+def _model_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of (gold, predicted) per model, the one pass over the data."""
     docs = fixtures.notes(spark, sf)
     base = fixtures.tagged(docs)
     variants = F.array(*[F.struct(F.lit(f"model{v + 1}").alias("model"),
                                   fixtures.predicted(F.col("gold"), v).alias("pred")) for v in range(3)])
     rows = base.select("doc_id", "sent_id", "tokens", "gold", F.inline(variants))
-    counts = token_eval.pair_counts(token_eval.pairs_in_rows(rows, "model"), "model")
-    scores = token_eval.class_scores(counts, by=("model",))
+    return token_eval.pair_counts(token_eval.pairs_in_rows(rows, "model"), "model")
+
+
+def model_class_scores(spark, sf):
+    return _rounded(token_eval.class_scores(_model_counts(spark, sf), vocab.SCORED_TAGS, by=("model",)),
+                    "precision", "recall", "f1")
+
+
+def model_confusion(spark, sf):
+    return _tag_names(_model_counts(spark, sf))
+
+
+def model_compare(spark, sf):
+    scores = token_eval.class_scores(_model_counts(spark, sf), by=("model",))
     return _rounded(token_eval.average_scores(scores, by=("model",)), "precision", "recall", "f1")
 
 
 # --- token scores ------------------------------------------------------------
 
 def pairs_by_token(spark, sf):
-    return _tag_names(_pairs_by_token(spark, sf))
+    return _tag_names(token_eval.last_pairs(_placed(spark, sf)))
 
 
 def pairs_by_token_no_outside(spark, sf):
-    return _tag_names(token_eval.pairs_by_token_no_outside(_token_side(spark, sf, "true"),
-                                                           _token_side(spark, sf, "pred")))
+    return _tag_names(token_eval.last_pairs(_placed(spark, sf), outside=False))
 
 
 def pair_counts_by_token(spark, sf):
-    return _tag_names(token_eval.pair_counts_by_token(_token_side(spark, sf, "true"),
-                                                      _token_side(spark, sf, "pred")))
+    return _tag_names(token_eval.pair_counts_in_rows(_pairs(spark, sf)))
 
 
 def pairs_by_position(spark, sf):
@@ -327,7 +331,7 @@ def prf_averages_no_bio(spark, sf):
 
 
 def prf_by_token(spark, sf):
-    return _averages(token_eval.pair_counts(_pairs_by_token(spark, sf)))
+    return _averages(token_eval.pair_counts(token_eval.last_pairs(_placed(spark, sf))))
 
 
 def prf_wide(spark, sf):
@@ -395,6 +399,12 @@ def entity_metrics(spark, sf):
     return report.withColumnsRenamed({c: c.lower() for c in report.columns})
 
 
+def entity_metrics_bio(spark, sf):
+    report = scoring.entity_report(_tagged(spark, sf), mode="bio")
+    report = _rounded(report, *[c for c in report.columns if c != "entity_type"])
+    return report.withColumnsRenamed({c: c.lower() for c in report.columns})
+
+
 def mode_metrics(spark, sf):
     return _rounded(entity_eval.mode_metrics(entity_eval.grade_counts(_graded(spark, sf)))
                     .withColumnRenamed("mode", "grading"), "precision", "recall", "f1")
@@ -414,7 +424,7 @@ def span_prf(spark, sf):
 
 
 def muc_by_sentence(spark, sf):
-    counts = entity_eval.muc_by_sentence(_graded_entities(spark, sf))
+    counts = entity_eval.muc_by_sentence(_tagged(spark, sf))
     return counts.select("doc_id", "sent_id", F.col("mode").alias("grading"),
                          *[F.col(g).cast("int").alias(g.lower()) for g in vocab.GRADES])
 
@@ -444,10 +454,10 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     blank_collapse, sentences, label_counts, tag_counts, tag_chars, parent_rollup, class_weights,
     distinct_labels, concept_usage, tag_set_counts, first_seen_labels, split_map, split_counts,
     tag_rename, tag_strip_listed, tag_strip_all, flatten_predictions, flatten_gold, user_tagger,
-    mft_tagger, model_compare, pairs_by_token, pairs_by_token_no_outside, pair_counts_by_token,
+    mft_tagger, model_compare, model_class_scores, model_confusion, pairs_by_token, pairs_by_token_no_outside, pair_counts_by_token,
     pairs_by_position, confusion, confusion_classes, confusion_wide, prf_by_class, prf_no_bio,
     prf_averages, prf_averages_no_bio, prf_by_token, prf_wide, entity_runs, entity_runs_bio,
     aligned_pairs, graded_pairs, graded_preview, grade_counts, grade_counts_spurious,
-    entity_metrics, mode_metrics, bio_spans, span_prf, muc_by_sentence, muc_scores, tagger_report,
+    entity_metrics, entity_metrics_bio, mode_metrics, bio_spans, span_prf, muc_by_sentence, muc_scores, tagger_report,
     io_roundtrip,
 )}

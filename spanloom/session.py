@@ -1,4 +1,4 @@
-"""Session helpers: settings, shared staging folder, fan-out of small inputs."""
+"""Session helpers: settings and the shared staging folder."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs below this many bytes per core may sit in too few row groups to keep
-# every core busy; above it the scan itself yields enough tasks.
-SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
-
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "spanloom") -> SparkSession:
@@ -29,12 +25,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a temporary folder is set.
+    A local session that names none gets a temporary folder; on a cluster that is an error,
+    since each executor would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -50,18 +49,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a small input over the cores before row-heavy work.
-
-    A file with one row group is read by one task whatever its split size.  For
-    inputs that are large by the planner's own size estimate this is a no-op,
-    so no text is shuffled at scale.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > cores * SMALL_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, *keys)

@@ -18,7 +18,7 @@ from spanloom.sources import readers, sinks
 def _digest(df: DataFrame, *columns: str) -> DataFrame:
     """Row count and an order-free checksum."""
     return df.agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.pmod(F.xxhash64(*columns), F.lit(1_000_003))).alias("checksum"))
+                  F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).alias("checksum"))
 
 
 def _compare(name: str, before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _compare(name: str, before: DataFrame, after: DataFrame, *columns: str) -> D
 def check(spark: SparkSession, notes: DataFrame, spans: DataFrame) -> DataFrame:
     """``format, n_written, n_read, same`` for the text, JSON, CSV, TSV and Parquet paths."""
     prepared = corpus.prepared_sentences(notes, spans)
-    rows = stage(prepared, "sentences")
+    rows = stage(prepared, "sentences")  # computed once; the formats are compared with what was staged
     sentences = split.assign_split(rows, split.split_map(rows))
 
     text = staging_path(spark, "split-text")
@@ -51,12 +51,14 @@ def check(spark: SparkSession, notes: DataFrame, spans: DataFrame) -> DataFrame:
     sinks.write_table(counts, csv)
     sinks.write_table(counts, tsv, "\t")
     table = "tag string, n bigint"
+    parquet = staging_path(spark, "sentences-parquet")
+    rows.write.parquet(parquet)
 
     return reduce(DataFrame.unionByName, (
         _compare("sentence text", sentences, read, "tokens", "tags"),
-        _compare("entity json", entities, readers.read_entity_lines(spark, json),
+        _compare("entity json", entities, readers.read_entity_lines(spark, json, "bigint"),
                  "doc_id", "sent_id", "entities"),
         _compare("csv", counts, spark.read.schema(table).option("header", "true").csv(csv), "tag", "n"),
         _compare("tsv", counts, spark.read.schema(table).option("header", "true")
                  .option("sep", "\t").csv(tsv), "tag", "n"),
-        _compare("parquet", prepared, rows, "doc_id", "sent_id", "tokens", "tags")))
+        _compare("parquet", rows, spark.read.parquet(parquet), "doc_id", "sent_id", "tokens", "tags")))

@@ -9,23 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.operators.lines import LOOK_BACK_PASSES, dedupe_docs
-from spanloom.session import staging_path
 from spanloom.sources.readers import parse_line_docs
 from spanloom.sources.sinks import line_text
 
 
 def stream_line_docs(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, tokens, tags`` of the ``.txt`` token files that arrive in ``folder``."""
-    return parse_line_docs(spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True))
+    return parse_line_docs(spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True), folder)
 
 
-def clean_folder(spark: SparkSession, source: str, target: str, checkpoint: str | None = None,
+def clean_folder(spark: SparkSession, source: str, target: str, checkpoint: str,
                  passes: tuple[int, ...] = LOOK_BACK_PASSES) -> StreamingQuery:
     """Start a query that writes the cleaned lines of all files not yet processed, then stops.
 
-    Pass the same ``checkpoint`` again to go on where the last run ended.
+    ``checkpoint`` remembers what has been processed; it belongs to ``target``, so pass the same
+    one for every run.
     """
     lines = dedupe_docs(stream_line_docs(spark, source), passes).select("doc_id", line_text().alias("value"))
     return (lines.writeStream.format("text").partitionBy("doc_id").outputMode("append")
-            .option("checkpointLocation", checkpoint or staging_path(spark, "clean-folder"))
+            .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start(target))

@@ -3,7 +3,10 @@
 import json
 import zipfile
 
+import pytest
+
 from spanloom.operators import bio, lines
+from spanloom.plans import scoring
 from spanloom.sources import readers, sinks
 from spanloom.streaming.folders import clean_folder
 
@@ -56,9 +59,10 @@ def test_token_files(spark, tmp_path):
     (tmp_path / "raw" / "d9.txt").write_text("New York B-SUB\n\n\n\nx O\n", encoding="utf-8")
     row = readers.read_line_docs(spark, str(tmp_path / "raw")).first()
     assert (row.doc_id, row.tokens, row.tags) == ("d9", ["New York", "x"], ["B-SUB", "O"])
-    (tmp_path / "s.conll").write_text("a O\nb B-SUB\n\nc O", encoding="utf-8")
-    got = readers.read_sentences(spark, str(tmp_path / "s.conll")).collect()
-    assert [(r.tokens, r.tags) for r in got] == [(["a", "b"], ["O", "B-SUB"]), (["c"], ["O"])]
+    for text in ("a O\nb B-SUB\n\nc O", "a O\r\nb B-SUB\r\n\r\nc O\r\n", "\na O\nb B-SUB\n \t\n\nc O\n\n"):
+        (tmp_path / "s.conll").write_bytes(text.encode())
+        got = readers.read_sentences(spark, str(tmp_path / "s.conll")).orderBy("sent_id").collect()
+        assert [(r.sent_id, r.tokens, r.tags) for r in got] == [(0, ["a", "b"], ["O", "B-SUB"]), (1, ["c"], ["O"])]
 
 
 def test_blank_collapse_and_strict_parse(spark):
@@ -92,3 +96,56 @@ def test_new_files_are_cleaned_once(spark, tmp_path):
     assert first == [("d1", "a B-SUB"), ("d1", "b O")]
     (source / "d2.txt").write_text("c O\n", encoding="utf-8")
     assert run() == first + [("d2", "c O")]
+
+
+def test_listings_keep_inner_folders_and_empty_files(spark, tmp_path):
+    root = tmp_path / "q"
+    (root / "b" / "q" / "x y").mkdir(parents=True)
+    (root / "b" / "q" / "x y" / "empty.txt").write_text("")
+    (root / "a+b").mkdir()
+    (root / "a+b" / "n.txt").write_text("text")
+    folders = {r.folder for r in readers.list_folders(spark, str(root)).collect()}
+    assert folders == {"b", "b/q", "b/q/x y", "a+b"}
+    sizes = {r.file_name: r.length for r in readers.list_files(spark, str(root), recursive=True).collect()}
+    assert sizes == {"empty.txt": 0, "n.txt": 4}
+    assert {r.doc_id: r.text for r in readers.read_notes(spark, str(root)).collect()} == {"xy": "", "ab": "text"}
+
+
+def test_folders_with_one_cleaned_name_are_an_error(spark, tmp_path):
+    for name in ("A/doc 1", "B/doc1"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "t.txt").write_text(name)
+    with pytest.raises(Exception, match="doc1"):
+        readers.read_notes(spark, str(tmp_path)).collect()
+
+
+def test_equal_names_in_two_folders_are_two_documents(spark, tmp_path):
+    for name in ("A", "B"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "d.txt").write_text(f"{name} O\n")
+    got = {r.doc_id: r.tokens for r in readers.read_line_docs(spark, str(tmp_path)).collect()}
+    assert got == {"A/d": ["A"], "B/d": ["B"]}
+
+
+def test_text_ids_of_entity_lines(spark, tmp_path):
+    rows = spark.createDataFrame([("n1", 0, [("TIM", "a")])],
+                                 "doc_id string, sent_id int, entities array<struct<entity_type:string,surface_string:string>>")
+    sinks.write_entity_lines(rows, str(tmp_path / "e"))
+    assert [r.doc_id for r in readers.read_entity_lines(spark, str(tmp_path / "e")).collect()] == ["n1"]
+
+
+def test_two_json_files_are_scored(spark, tmp_path):
+    for side, sentences in (("gold", [[["B-TIM", "a"], ["O", "b"]], [["B-SUB", "c"]]]), ("pred", [[["B-TIM", "a"], ["O", "b"]]])):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "test.json").write_text(json.dumps(sentences))
+    report = scoring.json_entity_report(spark, str(tmp_path / "gold"), str(tmp_path / "pred")).collect()
+    got = {r.entity_type: (r.POS, r.Exact_Recall) for r in report}
+    assert got["TIM"] == (1, 1) and got["SUB"] == (1, 0) and got["Overall"][0] == 3
+
+
+def test_token_file_is_tagged_and_scored(spark, tmp_path):
+    (tmp_path / "t.conll").write_text("a B-SUB\nb I-SUB\n\nc O\nd B-TIM\n")
+    tokens, spans = scoring.conll_report(
+        spark, str(tmp_path / "t.conll"), lambda: lambda s: [["B-SUB", "I-SUB"] if len(t) == 2 and t[0] == "a" else ["O", "O"] for t in s])
+    assert {r.tag: (r.tp, r.support) for r in tokens.collect()} == {"B-SUB": (1, 1), "I-SUB": (1, 1), "O": (1, 1), "B-TIM": (0, 1)}
+    assert {r.label: (r.tp, r.support) for r in spans.collect()} == {"SUB": (1, 1), "TIM": (0, 1), "Overall": (1, 2)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom import vocab
 from spanloom.functions.text import is_number, last_bracketed, plain_spaces, words, words_with_offsets
 from spanloom.operators import bio, lines, profile, split
-from spanloom.plans.corpus import prepared_lines, prepared_sentences
+from spanloom.plans.corpus import prepared_lines, prepared_lines_unbounded, prepared_sentences
 
 LABELS = ["SUB", "TIM", "DEC"]
 WORDS = ["a", "bb", "ยาน้ำ", "x😀y", "mg", "O"]
@@ -77,8 +77,21 @@ def test_lines_match_the_loop(corpus):
     assert _by_doc(bio.bio_lines(corpus[2], corpus[3])) == _expected(corpus)
 
 
-def test_oversize_notes_give_the_same_lines(corpus):
-    assert _by_doc(bio.bio_lines(corpus[2], corpus[3], max_spans=5)) == _expected(corpus)
+def test_ungathered_notes_give_the_same_lines(corpus):
+    annotated = corpus[2].join(corpus[3], "doc_id", "left_semi")
+    expected = _expected(corpus)
+    with_spans = {r.doc_id for r in annotated.collect()}
+    assert _by_doc(bio.bio_lines_unbounded(corpus[2], corpus[3])) == {d: x for d, x in expected.items() if d in with_spans}
+
+
+def test_spans_without_offsets_place_no_text(spark):
+    notes = spark.createDataFrame([(1, "aa bb cc")], "doc_id bigint, text string")
+    spans = spark.createDataFrame([(1, 0, 0, 2, "SUB"), (1, 1, 2, None, "TIM"), (1, 2, None, 4, "TIM")],
+                                  "doc_id bigint, ann_id bigint, begin int, end int, label string")
+    want = [("aa", "B-SUB"), ("bb", "O"), ("cc", "O")]
+    assert _by_doc(bio.bio_lines(notes, spans)) == {1: want}
+    assert _by_doc(bio.bio_lines_unbounded(notes, spans)) == {1: want}
+    assert bio.broken_spans(spans).count() == 2
 
 
 @pytest.mark.parametrize("passes", [(5,), (4,), (5, 4), (8,)])
@@ -93,11 +106,12 @@ def test_dedupe_flat_over_chunk_borders(corpus, passes):
     assert _by_doc(lines.dedupe_lines_chain(flat, passes, chunk=16)) == _expected(corpus, *passes)
 
 
-def test_prepared_lines_and_sentences_with_oversize_notes(corpus):
+def test_prepared_lines_and_sentences_agree(corpus):
     spans = corpus[3].withColumnRenamed("label", "concept")
     usual = _by_doc(prepared_lines(corpus[2], spans))
-    assert _by_doc(prepared_lines(corpus[2], spans, max_spans=3)) == usual
-    sentences = prepared_sentences(corpus[2], spans, max_spans=3).toPandas()
+    flat = _by_doc(prepared_lines_unbounded(corpus[2], spans))
+    assert flat == {d: usual[d] for d in flat} and flat
+    sentences = prepared_sentences(corpus[2], spans).toPandas()
     for d, g in sentences.sort_values(["doc_id", "sent_id"]).groupby("doc_id"):
         joined = [p for w, t in zip(g["tokens"], g["tags"]) for p in zip(w, t)]
         assert joined == usual[d]

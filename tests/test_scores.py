@@ -1,12 +1,15 @@
 """Entity and token scores against plain loops and hand-written rows."""
 
 import random
+from itertools import groupby
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.operators import entity_eval, predict, token_eval
+from spanloom.operators import entity_eval, lines, predict, token_eval
+from spanloom.plans import scoring
 
 TAGS = list(vocab.TAGS) + ["X-EAS"]
 
@@ -22,17 +25,28 @@ SCHEMA = "doc_id bigint, sent_id int, tokens array<string>, gold array<string>,
 
 
 def _expected_runs(tags, tokens):
-    out, i = [], 0
-    while i < len(tags):
-        if tags[i].endswith(tuple(vocab.RUN_SUFFIXES)):
-            key, j = tags[i][-3:], i + 1
-            while j < len(tags) and tags[j].endswith(key):
-                j += 1
-            out += [(key, " ".join(tokens[i:j]))] + [(None, None)] * (j - i - 1)
-            i = j
+    """Neighbours with the ending of a listed suffix are a run, every other tag stands alone.
+
+    A run opens with a tag of a listed suffix; any tag with its last three letters continues it.
+    """
+    endings, open_ending = [], None
+    for tag in tags:
+        listed = any(tag.endswith(x) for x in vocab.RUN_SUFFIXES)
+        open_ending = tag[-3:] if listed or (open_ending and tag.endswith(open_ending)) else None
+        endings.append(open_ending)
+
+    def key(at):
+        return (endings[at],) if endings[at] else at
+
+    out = []
+    for name, group in groupby(range(len(tags)), key):
+        places = list(group)
+        first = tags[places[0]]
+        if isinstance(name, tuple):
+            out.append((name[0], " ".join(tokens[p] for p in places)))
         else:
-            out.append((None, None) if tags[i].startswith("I-") else (tags[i], tokens[i]))
-            i += 1
+            out.append((None, None) if first.startswith("I-") else (first, tokens[places[0]]))
+        out.extend((None, None) for _ in places[1:])
     return out
 
 
@@ -144,3 +158,49 @@ def test_tagger_with_hot_tokens_and_unknown_words(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, predict.apply_frequent_tags(rows, model).collect()))
     assert len(got) == 52
     assert {(r.token, r.pred) for r in got} == {("a", "B-SUB"), ("b", "I-TIM"), ("c", "O")}
+
+
+def test_order_holds_for_large_and_text_ids(spark):
+    for ids in ((1, 2 ** 33 + 1, 2 ** 32), ("a", "c", "b")):
+        kind = "bigint" if isinstance(ids[0], int) else "string"
+        rows = spark.createDataFrame([(ids[0], 7, "w", "B-SUB", "O"), (ids[1], 0, "w", "B-TIM", "B-SUB"),
+                                      (ids[2], 3, "w", "O", "B-TIM")],
+                                     f"doc_id {kind}, tok_idx int, token string, true string, pred string")
+        placed = rows.withColumn("at", F.struct("doc_id", "tok_idx"))
+        assert [tuple(r) for r in token_eval.last_pairs(placed).collect()] == [("w", "B-TIM", "B-SUB")]
+        assert [tuple(r) for r in token_eval.last_pairs(placed, outside=False).collect()] == [("w", "B-TIM", "B-SUB")]
+        first = lines.first_seen(rows, "token", "doc_id", "tok_idx").collect()
+        assert [tuple(r) for r in first] == [("w", ids[0], 7)]
+
+
+def test_predicted_only_tokens_keep_their_word(spark):
+    gold = spark.createDataFrame([(1, 0, 0, "a", "O")], "doc_id bigint, sent_id int, tok_idx int, token string, true string")
+    pred = spark.createDataFrame([(1, 0, 1, "b", "O")], "doc_id bigint, sent_id int, tok_idx int, token string, pred string")
+    got = {tuple(r)[2:] for r in token_eval.pairs_by_position(gold, pred).collect()}
+    assert got == {(0, "a", "O", None), (1, "b", None, "O")}
+
+
+def test_listed_labels_have_rows_for_every_group(spark):
+    counts = spark.createDataFrame([("m1", "B-SUB", "B-SUB", 3), ("m2", "O", "O", 1)],
+                                   "model string, true string, pred string, n bigint")
+    got = {(r.model, r.tag): r.support for r in token_eval.class_scores(counts, ("B-SUB", "B-TIM"), by=("model",)).collect()}
+    assert got == {("m1", "B-SUB"): 3, ("m1", "B-TIM"): 0, ("m2", "B-SUB"): 0, ("m2", "B-TIM"): 0}
+
+
+def test_tagger_gets_whole_tokens_and_must_answer_each(spark):
+    rows = spark.createDataFrame([(1, 0, ["New York", "x"])], "doc_id bigint, sent_id int, tokens array<string>")
+    got = predict.flatten_predictions(predict.tag_sentences(rows, lambda: lambda s: [["B-SUB", "O"] for _ in s])).collect()
+    assert [(r.token, r.pred) for r in got] == [("New York", "B-SUB"), ("x", "O")]
+    with pytest.raises(Exception, match="one tag per token"):
+        predict.tag_sentences(rows, lambda: lambda s: [["O"] for _ in s]).collect()
+
+
+def test_type_names_are_repaired_only_where_they_are_cut(spark):
+    tagged = spark.createDataFrame([(1, 0, ["a"], ["B-MEAS"], ["B-MEAS"])], SCHEMA)
+    assert {r.entity_type for r in scoring.entity_report(tagged).collect()} == {"MEA", "Overall"}
+    assert {r.entity_type for r in scoring.entity_report(tagged, mode="bio").collect()} == {"MEAS", "Overall"}
+
+
+def test_vocabulary_has_its_literal_values():
+    assert len(vocab.CONCEPT_LABELS) == 49 and len(vocab.TAGS) == 19
+    assert vocab.TAGS[-1] == "O" or "O" in vocab.TAGS
