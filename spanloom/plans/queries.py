@@ -13,7 +13,8 @@ from spanloom.functions.arrays import explode_at
 from spanloom.functions.text import clean_name, last_bracketed
 from spanloom.operators import bio, entity_eval, lines, predict, profile, split, token_eval
 from spanloom.plans import corpus, fixtures, scoring
-from spanloom.sources import roundtrip
+from spanloom.session import staging_path
+from spanloom.sources import readers, roundtrip, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -448,6 +449,58 @@ def io_roundtrip(spark, sf):
     return roundtrip.check(spark, *_corpus(spark, sf))
 
 
+def file_entities(spark, sf):
+    """Sentences written as JSON lines of (tag, token) pairs and read back."""
+    rows = corpus.prepared_sentences(*_corpus(spark, sf))
+    path = staging_path(spark, "entities")
+    sinks.write_entity_lines(rows.select("doc_id", "sent_id", entity_eval.as_entities(
+        F.col("tokens"), F.col("tags")).alias("entities")), path)
+    read = readers.read_entity_lines(spark, path, "bigint")
+    return (explode_at(read, ["doc_id", "sent_id"], "entities", "pos", "_x")
+            .select("doc_id", "sent_id", "pos", F.col("_x.entity_type").alias("tag"),
+                    F.col("_x.surface_string").alias("token")))
+
+
+def _sentence_files(spark: SparkSession, sf: str) -> str:
+    docs, spans = _corpus(spark, sf)
+    path = staging_path(spark, "sentences")
+    sinks.write_split_sentences(corpus.split_sentences(docs, spans, *split.SPLITS), path)
+    return path
+
+
+def file_sentences(spark, sf):
+    """Counts of lines from the split files, read back sentence by sentence."""
+    rows = readers.read_sentences(spark, _sentence_files(spark, sf))
+    name = F.regexp_extract("doc_id", "split=([A-Z]+)/", 1)
+    return (explode_at(rows.select(name.alias("split"), "tokens", "tags"), ["split", "tags"], "tokens", "pos", "token")
+            .groupBy("split", "token", F.get("tags", F.col("pos")).alias("tag")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def file_tag_counts(spark, sf):
+    """Tag counts from the strictly parsed lines of the split files; lines that don't parse have no tag."""
+    parsed = readers.parse_strict(spark.read.option("recursiveFileLookup", "true").text(_sentence_files(spark, sf)))
+    return parsed.groupBy("ok", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("token")).alias("n_chars"))
+
+
+def strict_parse(spark, sf):
+    """Every line of the notes, parsed strictly; ``ok`` false is the quarantine."""
+    notes = fixtures.notes(spark, sf)
+    lines_ = explode_at(notes, ["doc_id"], F.split("text", "\n"), "pos", "value")
+    return readers.parse_strict(lines_).groupBy("ok").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("token"), F.lit(0))).alias("n_chars"))
+
+
+def file_tables(spark, sf):
+    """Tag counts written as CSV and TSV with header and read back."""
+    counts, sides = profile.tag_counts(_lines(spark, sf)), []
+    for kind, separator in (("csv", ","), ("tsv", "\t")):
+        path = staging_path(spark, f"counts-{kind}")
+        sinks.write_table(counts, path, separator)
+        sides.append(spark.read.schema("tag string, n bigint").option("header", "true").option("sep", separator).csv(path)
+                     .withColumn("kind", F.lit(kind)))
+    return sides[0].unionByName(sides[1])
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     note_tokens, file_name_clean, concept_labels, bracket_term, concept_parents, span_text,
     bio_lines, bio_unannotated, dedupe_pass1, dedupe_chain, windows_fixed, windows_sliding,
@@ -459,5 +512,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     prf_averages, prf_averages_no_bio, prf_by_token, prf_wide, entity_runs, entity_runs_bio,
     aligned_pairs, graded_pairs, graded_preview, grade_counts, grade_counts_spurious,
     entity_metrics, entity_metrics_bio, mode_metrics, bio_spans, span_prf, muc_by_sentence, muc_scores, tagger_report,
-    io_roundtrip,
+    io_roundtrip, file_entities, file_sentences, file_tag_counts, strict_parse, file_tables,
 )}
