@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITESPACE = b" \t\n\x0b\x0c\r"  # the bytes between words: [\x20\x09-\x0D]
-NOT_WORD = r"[\x20\x09-\x0D]+"
+BITMAP_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def split_by_keys(rows: DataFrame, found: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``keys`` may be in ``found``, and those whose keys are certainly not.
+
+    Keys are hashed into a bitmap of ``BITMAP_BITS``, at most 8 MB whatever the data, which is
+    broadcast; so rows without a partner need not move to be told so.  Rows of the first kind are
+    still to be joined.  The more keys, the more rows are of the first kind; no result depends on it.
+    """
+    bucket, bits = fresh(rows, "_bucket"), fresh(rows, "_bits")
+
+    def slot(df: DataFrame) -> F.Column:
+        return F.pmod(F.xxhash64(*(df[k] for k in keys)), F.lit(BITMAP_BITS)) + 1
+
+    table = found.groupBy(F.bitmap_bucket_number(slot(found)).alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot(found))).alias(bits))
+    at = F.bitmap_bit_position(slot(rows)).cast("int")
+    marked = rows.join(F.broadcast(table), F.bitmap_bucket_number(slot(rows)) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    return marked.where(hit).drop(bucket, bits), marked.where(~hit).drop(bucket, bits)
+
+
 def map_batches(df: DataFrame, cook: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
                 schema: str) -> DataFrame:
     """``mapInArrow`` over single batches; ``cook`` returns a batch."""
