@@ -82,6 +82,7 @@ def map_batches(df: DataFrame, cook: Callable[[pa.RecordBatch], Iterator[pa.Reco
         for batch in batches:
             if batch.num_rows:
                 yield cook(batch)
+        pa.default_memory_pool().release_unused()  # a worker outlives its tasks
 
     return df.mapInArrow(run, schema)
 

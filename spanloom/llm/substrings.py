@@ -24,24 +24,44 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut_lineage, map_batches, words
+from spanloom.llm.common import cut_lineage, fresh, map_batches, split_by_keys, words
 
 LENGTH = 50
 SEED_WORDS = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+KNOWN_WORDS = 100_000  # word hashes a worker keeps; it starts anew beyond them
 _RUN_BITS = 6  # a seed is selected by at most LENGTH - SEED_WORDS + 1 = 35 windows in a row
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n + 1, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
+class _Powers:
+    """Powers of a base modulo 2^64, grown as longer texts come."""
+
+    def __init__(self, base: int):
+        self.base, self.known = np.uint64(base), np.ones(1, np.uint64)
+
+    def up_to(self, n: int) -> np.ndarray:
+        if len(self.known) <= n:
+            steps = np.full(max(n + 1, 4096), self.base, np.uint64)
+            steps[0] = 1
+            self.known = np.multiply.accumulate(steps)
+        return self.known[:n + 1]
+
+
+class _WordHashes(dict):
+    """Hash of each word met, at most ``KNOWN_WORDS`` of them at a time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_FORTH, _BACK, _WORDS = _Powers(_BASE), _Powers(pow(_BASE, -1, 1 << 64)), _WordHashes()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,16 +73,31 @@ class _Hashes:
     """Hashes of all word ranges of one document, from prefix sums modulo 2^64."""
 
     def __init__(self, found: list[bytes]):
-        known = {w: xxhash.xxh3_64_intdigest(w) for w in set(found)}
-        each = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        each = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
         self.sums = np.zeros(len(found) + 1, np.uint64)
-        np.cumsum(each * _powers(_BASE, len(found))[:-1], out=self.sums[1:])
-        self.back = _powers(_INVERSE, len(found))
+        np.cumsum(each * _FORTH.up_to(len(found))[:-1], out=self.sums[1:])
+        self.back = _BACK.up_to(len(found))
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[last] - self.sums[first]) * self.back[first])
 
 
+def _first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` values the place of its first least one (by the upper 48 bits)."""
+    chosen = np.empty(len(values) - width + 1, np.int64)
+    block = (1 << 16) - width
+    for at in range(0, len(chosen), block):
+        part = values[at:at + block + width - 1]
+        least = part & ~np.uint64(0xFFFF) | np.arange(len(part), dtype=np.uint64)
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        chosen[at:at + len(least)] = (least & np.uint64(0xFFFF)).astype(np.int64) + at
+    return chosen
+
+
 def _seeds(found: list[bytes]) -> tuple[np.ndarray, ...] | None:
     """Per run of windows with one seed: first window, windows, seed hash, hash of the reach."""
     if len(found) < LENGTH:
@@ -70,10 +105,7 @@ def _seeds(found: list[bytes]) -> tuple[np.ndarray, ...] | None:
     hashes = _Hashes(found)
     at = np.arange(len(found) - SEED_WORDS + 1)
     seed = hashes.of(at, at + SEED_WORDS)
-    chosen = np.empty(len(found) - LENGTH + 1, np.int64)
-    for first in range(0, len(chosen), 1 << 16):  # bounded blocks for very long texts
-        block = sliding_window_view(seed, LENGTH - SEED_WORDS + 1)[first:first + (1 << 16)]
-        chosen[first:first + len(block)] = block.argmin(axis=1) + np.arange(first, first + len(block))
+    chosen = _first_least(seed, LENGTH - SEED_WORDS + 1)
     starts = np.flatnonzero(np.diff(chosen, prepend=-1))
     runs = np.diff(starts, append=len(chosen))
     return starts, runs, seed[chosen[starts]], hashes.of(starts, starts + runs + LENGTH - 1)
@@ -128,17 +160,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = _rows(docs, id_col, text_col).where("id is not null")
     seeds = _seed_rows(rows)
-    reaches = cut_lineage(seeds.groupBy("seed", "reach").agg(F.min("id").alias("first"), F.max("id").alias("last")))
-    spread = (reaches.groupBy("seed").agg(F.count("*").alias("n_reaches"), F.min("first").alias("least"),
-                                          F.max("last").alias("most")).where("least < most"))
-    shared = cut_lineage(reaches.select("seed", "reach", "first").join(spread.select("seed", "n_reaches"), "seed"))
-    met = cut_lineage(seeds.join(shared, ["seed", "reach"])
+    shared = cut_lineage(seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+                         .where("least < most").select("seed"))
+    known = cut_lineage(seeds.join(shared, "seed"))
+    reaches = known.groupBy("seed", "reach").agg(F.min("id").alias("first"))
+    spread = cut_lineage(reaches.groupBy("seed").agg(F.count("*").alias("n_reaches")))
+    met = cut_lineage(known.join(cut_lineage(reaches.join(spread, "seed")), ["seed", "reach"])
                       .select("id", "text_key", "place", "first", "n_reaches"))
     whole = met.where(F.col("id") > F.col("first")).select("id", "text_key", "place")
 
     closer = (met.where((F.col("id") == F.col("first")) & (F.col("n_reaches") > 1))
               .groupBy("id", "text_key").agg(F.collect_set("place").alias("places")))
-    windows = cut_lineage(_window_rows(rows.join(closer, ["id", "text_key"]).select("id", "text_key", "text", "places")))
+    closer = cut_lineage(closer)
+    near, _ = split_by_keys(rows, closer, "id", "text_key")
+    windows = cut_lineage(_window_rows(near.join(closer, ["id", "text_key"]).select("id", "text_key", "text", "places")))
     first = cut_lineage(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most"))
                         .where("least < most"))
     single = (windows.join(first, "window").where(F.col("id") > F.col("least"))
@@ -172,9 +207,17 @@ def _cut(text: str | None, places: list[int] | None) -> str | None:
 
 
 def _with_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, id_col, text_col).withColumnsRenamed({"id": "_id", "text_key": "_key", "places": "_places"})
-    return docs.join(found, (F.col(id_col).cast("bigint") == F.col("_id"))
-                     & (F.xxhash64(text_col) == F.col("_key")), "left").drop("_id", "_key")
+    """``docs`` with the places of repeated windows as one more, last column.
+
+    Only texts that may have such places are shuffled to meet them.
+    """
+    owner, key, places = (fresh(docs, c) for c in ("_owner", "_text_key", "_places"))
+    found = cut_lineage(repeats(docs, id_col, text_col).toDF(owner, key, places))
+    keyed = docs.withColumns({owner: F.col(id_col).cast("bigint"), key: F.xxhash64(text_col)})
+    touched, clean = split_by_keys(keyed, found, owner, key)
+    met = touched.join(found, [owner, key], "left").select(*docs.columns, places)
+    none = F.lit(None).cast(found.schema[places].dataType)
+    return met.unionByName(clean.select(*docs.columns, none.alias(places)))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,12 +226,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Defined as in :func:`digest_repeats`; the text column alone changes.
     """
     rows = _with_places(docs, id_col, text_col)
-    at, last = docs.columns.index(text_col), len(docs.columns)
+    names, at, last = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
     def cook(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [_cut(t.as_py(), p.as_py()) for t, p in zip(batch.column(at), batch.column(last))]
         columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:last])]
-        return pa.record_batch(columns, names=docs.columns)
+        return pa.record_batch(columns, names=names)
 
     return map_batches(rows, cook, docs.schema)
 
