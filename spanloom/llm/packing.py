@@ -14,9 +14,12 @@ before it, so no bin is ever in one task.
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +33,72 @@ CAPACITY = 2048
 QUANTUM = 8
 GAP = 1e-4  # proven distance to the best fractional plan at which generation stops
 CLOSING_ID = 1
-CACHED_WORDS = 300_000  # per worker; the cache starts anew beyond it, results do not change
+CACHED_WORDS = 150_000  # per worker and generation, of which there are two; results do not depend on it
+TAIL = b".,!?;:%$#*&|)-\"/"  # punctuation that neither contractions nor special tokens end in
+WORD_END = "</w>"  # fixed value: how the tokenizer marks tokens that end a word
 _SLICE_CHARS = 2_000_000
 
 
+def _stem(word: bytes) -> bytes:
+    """The word without the punctuation at its end, if what stands before that stays a letter or digit."""
+    stem = word.rstrip(TAIL)
+    if len(stem) == len(word) or stem[-1:].isalnum():
+        return stem
+    last = unicodedata.normalize("NFC", stem.decode()[-1:].lower())
+    return stem if last.isalpha() else word
+
+
 class WordTokens:
     """Token ids of texts, as little-endian uint32, by way of their white-space separated words.
 
-    The tokenizer drops white space and never joins across it, and ``.`` and ``,`` at the end of
-    a word are tokens of their own, so a text's ids are the ids of its words in a row.
+    The tokenizer drops white space and never joins across it, and punctuation at the end of a
+    word is a run of its own, so a text's ids are the ids of its words in a row.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids)
+                for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_letters(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are one run of letters each: encoded at once, cut where a word ends."""
+        joined = self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
+        ids = np.array(joined, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(ends) != len(parts):  # lower case of some letter is more than one letter
+            return self._encode(parts)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, found: set[bytes]) -> None:
-        if len(self.known) + len(found) > CACHED_WORDS:
-            self.known = {}
-        missing = [w for w in found if w not in self.known]
-        stems = {w: w.rstrip(b".,") or w for w in missing}
-        parts = {s for s in stems.values()} | {w[len(s):] for w, s in stems.items() if w != s}
-        parts = [p for p in parts if p not in self.known]
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        self.known.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(parts, encoded))
-        self.known.update((w, self.known[s] + self.known[w[len(s):]]) for w, s in stems.items() if w != s)
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        stems: dict[bytes, bytes] = {}
+        for w in found:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    stems[w] = _stem(w)
+        letters: dict[bytes, str] = {}
+        others: dict[bytes, str] = {}
+        for w, s in stems.items():
+            for p in (s, w[len(s):]) if len(w) > len(s) else (s,):
+                if p not in known:
+                    text = p.decode()
+                    (letters if text.isalpha() else others)[p] = text
+        known.update(zip(letters, self._encode_letters(list(letters.values()))))
+        known.update(zip(others, self._encode(list(others.values()))))
+        known.update((w, known[s] + known[w[len(s):]]) for w, s in stems.items() if len(w) > len(s))
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, the closing id included."""
@@ -71,10 +115,16 @@ class WordTokens:
             at = last
 
 
+@cache
+def _tokens(path: str) -> WordTokens:
+    """One tokenizer and word cache for all tasks of a worker."""
+    return WordTokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, start, length, ids_crc32, doc_tokens``: pieces of at most ``CAPACITY`` tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = _tokens(tokenizer)
         for batch in batches:
             rows = []
             for i, ids in enumerate(tokens.of(batch["text"].to_pylist())):
