@@ -16,12 +16,15 @@ def training_texts(docs: DataFrame, targets: DataFrame, limit: int, max_chars: i
     most ``limit`` of them by construction, are broadcast to one scan of the texts.
     """
     known = targets.where("target is not null").groupBy(id_col).agg(F.min("target").alias("target"))
-    turn = F.lit(0)
+    # By their hash, targets (or all rows) are thinned to about twice the limit before they are ranked.
+    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / (1 << 30)
     if balanced:
-        turn = F.row_number().over(Window.partitionBy("target").orderBy(F.xxhash64(id_col), id_col))
-    ranked = known.withColumn("turn", turn)
-    if balanced:
-        ranked = ranked.where(F.col("turn") <= limit)
+        sizes = known.groupBy("target").agg(F.count("*").alias("size"))
+        ranked = (known.join(sizes, "target").where(share * F.col("size") < 2 * limit)
+                  .withColumn("turn", F.row_number().over(Window.partitionBy("target").orderBy(F.xxhash64(id_col), id_col))))
+    else:
+        size = known.agg(F.count("*").alias("size")).scalar()
+        ranked = known.where(share * size < 2 * limit).withColumn("turn", F.lit(0))
     chosen = ranked.orderBy("turn", F.xxhash64(id_col), id_col).limit(limit).select(id_col, "target")
     texts = docs.select(id_col, F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars))
     return texts.join(F.broadcast(chosen), id_col).select("text", "target").dropDuplicates()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import map_batches, spread
 
-SAMPLE_KEYS = 10_000  # keys that choose the split points; they steer balance, never results
+SAMPLE_KEYS = 10_000  # about so many keys choose the split points; they steer balance, never results
 _LOWEST = -(1 << 63)
 
 
@@ -44,8 +44,8 @@ def _key(labels: Column, path: Column) -> Column:
 
 
 def _split_points(keys: DataFrame, parts: int) -> list[tuple[bytes, int]]:
-    sample = (keys.select("key", "tie").orderBy(F.xxhash64("key", "tie"), "key", "tie")
-              .limit(SAMPLE_KEYS).collect())
+    share = F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 30)) / (1 << 30)
+    sample = keys.select("key", "tie").where(share * keys.count() < SAMPLE_KEYS).distinct().collect()
     ranked = sorted((row.key.encode(), row.tie) for row in sample)
     return sorted({ranked[len(ranked) * i // parts] for i in range(1, parts)}) if ranked else []
 
