@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.licence_list import more_known
+
 # Public licence notices and short licence texts, with their SPDX identifiers.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -101,9 +103,9 @@ def first_word(body: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """``license_id, digest, first_word`` of the notices above."""
+    """``license_id, digest, first_word`` of the notices above and of ``licence_list``."""
     body = F.array_join(text_lines(F.col("text")), "\n")
-    ids, texts = zip(*NOTICES)
+    ids, texts = zip(*more_known(NOTICES))
     return (spark.createDataFrame(pa.table({"license_id": ids, "text": texts}))  # of known size, as the join needs
             .select("license_id", F.sha2(canonical(body), 256).alias("digest"), first_word(body).alias("first_word"))
             .distinct())

@@ -2,7 +2,7 @@
 
 import textwrap
 
-from spanloom.llm import licences
+from spanloom.llm import licence_list, licences
 
 
 def _found(spark, texts):
@@ -21,3 +21,10 @@ def test_notices_of_copyright_do_not_count(spark):
     text = dict((i, t) for i, t in licences.NOTICES if len(t) > 500)["ISC"].split("\n", 1)[1]
     heads = ("Copyright (c) 2020 A", "(C) Copyright 2020 A", "# © A", "Copyright: 2020 A", "(c) 2020 A\nAll rights reserved.")
     assert _found(spark, [f"{h}\n{text}" for h in heads]) == ["ISC"] * len(heads)
+
+
+def test_listed_licences_are_known_as_whole_texts(spark):
+    known = licence_list.more_known(licences.NOTICES)
+    whole = [(i, t) for i, t in known if len(t) > 500]
+    assert {i for i, _ in whole} >= {*licence_list.TITLES, *licence_list.LONG.values()}
+    assert _found(spark, [t for _, t in known]) == [i for i, _ in known]
