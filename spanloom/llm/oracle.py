@@ -87,4 +87,55 @@ select c.doc_id, len(words)::bigint as n_words, coalesce(g.n, 0)::bigint as n_re
 from cut c left join gone g using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_license_scan": _LICENCES, "op5_substring_dedup": _REPEATS, "op10_url_filters": _URLS}
+_NEGATIVES = r"""
+with vec as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+         list_dot_product(a.v, b.v)::bigint as score
+  from vec a join vec b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positive as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.positive_id,
+       row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::int as rank,
+       s.other_id as negative_id, p.positive_score, s.score as negative_score
+from positive p join scored s on s.anchor_id = p.anchor_id and not s.same
+  and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
+
+_RANKED = r"""
+with tok as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents),
+one as (
+  select doc_id, term, count(*) as tf from tok group by all),
+len as (
+  select doc_id, sum(tf)::bigint as n from one group by doc_id),
+total as (
+  select count(*) as n_docs, sum(n)::bigint as n_terms from len),
+weight as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from one, total group by term, n_docs),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+scored as (
+  select a.item_id, o.doc_id,
+         sum(w.w * ((1000000000 * o.tf) // (1000 * o.tf + 20 * (50 + (50 * l.n * t.n_docs) // t.n_terms))))::bigint as score
+  from asked a join one o using (term) join weight w using (term) join len l on l.doc_id = o.doc_id, total t
+  group by a.item_id, o.doc_id)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+where rank <= 50
+"""
+
+ORACLE: dict[str, str] = {"op1_license_scan": _LICENCES, "op5_substring_dedup": _REPEATS, "op10_url_filters": _URLS,
+                          "op11_hard_negative_mining": _NEGATIVES, "op12_ranked_lexical_search": _RANKED}
