@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import cut_lineage, spread
 
 BLOCK_CHARS = 1_000_000  # characters of items that go to the tasks at once
-CHUNK_ROWS = 1 << 14  # documents of one stratum that a task should get, about
+CHUNK_ROWS = 256  # strata of so many documents are never divided; larger ones if they exceed a task's even share
 # Fixed values of the contract: impact scale, normaliser base and length share, weight scale.
 IMPACT, TF_SCALE, M_SCALE, M_BASE, M_LENGTH, W_SCALE = 1_000_000_000, 1000, 20, 50, 50, 1000
 _ALNUM = string.ascii_letters + string.digits
@@ -158,12 +158,14 @@ def _search_block(docs: DataFrame, rows: list[tuple[object, str]], item_type: st
     length = (F.lit(M_LENGTH).cast("decimal(38,0)") * F.col("n") * F.lit(n_docs).cast("decimal(19,0)"))
     m = F.lit(M_BASE) + F.call_function("div", length, F.lit(max(n_terms, 1)).cast("decimal(19,0)"))
     index = counted.where(F.size("term") > 0).withColumn("m", m.cast("bigint"))
-    crowd = index.groupBy("m").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK_ROWS)
-    # At most documents / CHUNK_ROWS strata are crowded, and no more than there are lengths: a small table.
-    chunks = F.coalesce(F.ceil(F.col("rows") / CHUNK_ROWS), F.lit(1))
-    dealt = (index.join(crowd, "m", "left")
+    parts = spread(docs)
+    even = max(CHUNK_ROWS, n_docs // parts)
+    # Fewer strata than there are tasks can exceed a task's share: a small table.
+    crowd = index.groupBy("m").agg(F.count("*").alias("rows")).where(F.col("rows") > even)
+    chunks = F.coalesce(F.ceil(F.col("rows") / even), F.lit(1))
+    dealt = (index.join(F.broadcast(crowd), "m", "left")
              .withColumn("chunk", F.pmod(F.xxhash64("id", "n", "term", "tf"), chunks))
-             .repartition(spread(docs), "m", "chunk").sortWithinPartitions("m", "chunk")
+             .repartition(parts, "m", "chunk").sortWithinPartitions("m", "chunk")
              .select("id", "m", "chunk", "term", "tf"))
     keys, wanted = pa.array(items.ids), items.terms
 
