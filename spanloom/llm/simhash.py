@@ -29,7 +29,9 @@ from spanloom.llm.common import cut_lineage, map_batches
 from spanloom.llm.components import components
 
 SEED = 42
+# Fixed values of the contract: words of a shingle, bits in which linked fingerprints may differ.
 SHINGLE = 3
+MAX_BITS = 2
 PAIRS_UP_TO = 64  # fingerprints of one key that are compared pair by pair; larger keys use balls
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
 CHOICES = ((0, 1), (1, 2), (2, 0))
@@ -37,7 +39,7 @@ GENERATOR = 0b101011100011  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None) -> bytes:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
     """The eight fingerprint bytes, highest bit first; zero for a text without words."""
     found = text.encode().lower().split() if text else []
     if not found:
@@ -45,7 +47,7 @@ def fingerprint(text: str | None) -> bytes:
     joined = b" ".join(found)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in found)]
     starts = [0, *(e + 1 for e in ends[:-1])]
-    width = min(SHINGLE, len(found))
+    width = min(shingle, len(found))
     total = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
     for first in range(0, len(found) - width + 1, _CHUNK):
@@ -57,10 +59,10 @@ def fingerprint(text: str | None) -> bytes:
     return np.packbits(2 * total > len(found) - width + 1).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id, print``: the fingerprint of every row as a signed bigint."""
     def cook(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = b"".join(fingerprint(t.as_py()) for t in batch["text"])
+        prints = b"".join(fingerprint(t.as_py(), shingle) for t in batch["text"])
         signed = np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64)
         return pa.record_batch([batch["id"], pa.array(signed)], names=["id", "print"])
 
@@ -131,8 +133,13 @@ def _key_rows(nodes: DataFrame) -> DataFrame:
     return map_batches(nodes, cook, "key bigint, print bigint, node bigint")
 
 
-def near_links(nodes: DataFrame) -> DataFrame:
-    """``a, b``: links that connect all ``nodes`` (``print, node``; prints distinct) within two bits."""
+def near_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``a, b``: links that connect all ``nodes`` (``print, node``; prints distinct) within ``max_bits`` bits.
+
+    Keys are made for two bits; a smaller radius verifies fewer of their pairs.
+    """
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys hold fingerprints within {MAX_BITS} bits together")
     keys = _key_rows(nodes)
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut_lineage(keys.join(sizes, "key"))
@@ -140,34 +147,44 @@ def near_links(nodes: DataFrame) -> DataFrame:
     rows = (shared.where(F.col("size") <= PAIRS_UP_TO).groupBy("key").agg(F.collect_list(point).alias("points"))
             .select("points", F.explode("points").alias("x")))
     near = F.filter("points", lambda y: (y["print"] > F.col("x.print"))
-                    & (F.bit_count(y["print"].bitwiseXOR(F.col("x.print"))) <= 2))
+                    & (F.bit_count(y["print"].bitwiseXOR(F.col("x.print"))) <= max_bits))
     pairs = rows.select("x", F.explode(near).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     crowded = shared.where(F.col("size") > PAIRS_UP_TO).select("print", "node").distinct()
-    centres = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
-    balls = crowded.select("node", F.explode(F.transform(centres, lambda x: x.bitwiseXOR(F.col("print")))).alias("centre"))
+    bits = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
+    if max_bits == MAX_BITS:
+        around = F.transform(F.concat(F.array(F.lit(0).cast("bigint")), bits), lambda x: F.struct(
+            x.bitwiseXOR(F.col("print")).alias("at"), F.lit(0).cast("bigint").alias("bit")))
+    else:  # one bit: the two prints that differ in a given bit only; none: prints are distinct
+        around = F.transform(F.slice(bits, 1, 64 * max_bits), lambda x: F.struct(
+            x.bitwiseOR(F.col("print")).alias("at"), x.alias("bit")))
+    balls = crowded.select("node", F.explode(around).alias("centre"))
     stars = (balls.groupBy("centre").agg(F.collect_list("node").alias("points")).where(F.size("points") > 1)
              .select(F.array_min("points").alias("a"), F.explode("points").alias("b")).where("a <> b"))
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fingerprint, component_id`` for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """``id_col, fingerprint, component_id`` for every row; ids of any type that can be ordered.
 
-    A-Z lower-cased, words between white space of ASCII, 3-word shingles with repeats (fewer
-    words: the whole sequence).  Fingerprints that differ in two bits or fewer are linked; the
-    component id is the smallest document id reachable.
+    A-Z lower-cased, words between white space of ASCII, shingles of ``shingle`` words with repeats (fewer
+    words: the whole sequence).  Fingerprints that differ in ``max_bits`` bits or fewer (2 at most) are linked;
+    the component id is the smallest document id reachable.  Links run between fingerprints, so neither the
+    type of an id nor a missing one matters to them.
 
-    Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows
-    come out as often as they came in; rows that repeat an id with another text may join their
-    two groups.  Rows with a null id take the component of their group, null if no other row has
-    an id.  An empty table gives an empty result; further columns are not carried.
+    Null and empty texts have fingerprint zero and are linked like any other; very long texts are read whole.
+    Repeated rows come out as often as they came in; rows that repeat an id with another text belong to the
+    group of that text.  Rows with a null id take the component of their group, null if no row of it has an
+    id.  An empty table gives an empty result; further columns are not carried.
     """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    nodes = cut_lineage(prints.groupBy("print").agg(F.min("id").alias("node")))
-    roots = components(near_links(nodes.where("node is not null")))
-    placed = cut_lineage(nodes.join(roots, "node", "left")
-                         .select("print", F.coalesce("root", "node").alias("component_id")))
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+    nodes = cut_lineage(prints.groupBy("print").agg(F.min("id").alias("least")))
+    roots = components(near_links(nodes.select("print", F.col("print").alias("node")), max_bits))
+    rooted = cut_lineage(nodes.join(roots.withColumnRenamed("node", "print"), "print", "left")
+                         .select("print", "least", F.coalesce("root", "print").alias("root")))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = cut_lineage(rooted.join(groups, "root").select("print", "component_id"))
     return (prints.join(placed, "print")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
                     "component_id"))
