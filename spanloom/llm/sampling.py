@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+TARGETS = 1 << 16  # targets whose sizes are broadcast; of more a hash-chosen part is looked at
+
 
 def training_texts(docs: DataFrame, targets: DataFrame, limit: int, max_chars: int, id_col: str = "doc_id",
                    text_col: str = "text", balanced: bool = False) -> DataFrame:
@@ -12,19 +14,27 @@ def training_texts(docs: DataFrame, targets: DataFrame, limit: int, max_chars: i
 
     ``targets`` has ``id_col, target``; null targets are left out, of several for one id the
     least counts.  ``balanced`` takes turns over the targets, so rare ones are not missed.
-    Texts that are null, empty or over ``max_chars`` are not trained on.  The chosen ids, at
-    most ``limit`` of them by construction, are broadcast to one scan of the texts.
+    Texts that are null, empty or over ``max_chars`` are not trained on; of several texts of one id
+    one counts, chosen by its hash.  So there are at most ``limit`` rows, whatever the ids.  The chosen ids are
+    broadcast to one scan of the texts.
     """
     known = targets.where("target is not null").groupBy(id_col).agg(F.min("target").alias("target"))
+
+    def share(column: str) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / (1 << 30)
+
     # By their hash, targets (or all rows) are thinned to about twice the limit before they are ranked.
-    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / (1 << 30)
     if balanced:
         sizes = known.groupBy("target").agg(F.count("*").alias("size"))
-        ranked = (known.join(sizes, "target").where(share * F.col("size") < 2 * limit)
+        part = TARGETS / max(sizes.count(), TARGETS)
+        few = sizes.where(share("target") < part / 2) if part < 1 else sizes
+        ranked = (known.join(F.broadcast(few), "target").where(share(id_col) * F.col("size") < 2 * limit)
                   .withColumn("turn", F.row_number().over(Window.partitionBy("target").orderBy(F.xxhash64(id_col), id_col))))
     else:
         size = known.agg(F.count("*").alias("size")).scalar()
-        ranked = known.where(share * size < 2 * limit).withColumn("turn", F.lit(0))
+        ranked = known.where(share(id_col) * size < 2 * limit).withColumn("turn", F.lit(0))
     chosen = ranked.orderBy("turn", F.xxhash64(id_col), id_col).limit(limit).select(id_col, "target")
     texts = docs.select(id_col, F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars))
-    return texts.join(F.broadcast(chosen), id_col).select("text", "target").dropDuplicates()
+    return (texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "target")
+            .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+            .select("text", "target").dropDuplicates())
