@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, nearcopies, packing, rules, substrings
+from spanloom.llm import decontam, packing, rules, simhash, substrings
 from spanloom.llm.common import cut_lineage, fresh, split_by_keys, table
 
 
@@ -20,8 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows without an id all stay."""
-    groups = cut_lineage(nearcopies.near_copies(docs).select("doc_id", "component_id").where("doc_id is not null"))
+    """The document with the smallest id of each group that SimHash links, with the operator's shingle and radius.
+
+    Rows without an id all stay; of rows that repeat an id one stays.  Null and empty texts are one group.
+    """
+    groups = cut_lineage(simhash.near_duplicates(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
+                         .select("doc_id", "component_id").where("doc_id is not null"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     rows = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("least"))
     doubtful = rows.where("rows > 1 or least <> doc_id").select("doc_id")  # copies and repeated rows
