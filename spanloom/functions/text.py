@@ -91,6 +91,11 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
 
 
+def word_pieces(text: Column, chars: int) -> Column:
+    """The text in pieces of ``chars`` characters or a little more, as no piece ends inside a word."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{{chars}}}[^{_WS}]*|.+"), F.lit(0))
+
+
 def cut(parts: Column, begin: Column, end: Column) -> Column:
     """Characters ``[begin, end)`` of a text given as ``pieces``; empty when ``begin >= end``.
 

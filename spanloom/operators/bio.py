@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import explode_at, inline_rows, let
+from spanloom.functions.arrays import explode_at, inline_rows, let, running_total
 from spanloom.functions.text import (cut, is_number, pieces, plain_spaces, plain_words, substring_span,
-                                     words)
-from spanloom.operators.ordered import running_before, value_before
+                                     word_pieces, words)
+from spanloom.operators.ordered import chunk_of, running_before, value_before
 
+PIECE_CHARS = 1 << 12  # characters of a note in one row of ``note_pieces``, and of a cell
 _CHARS_PER_CHUNK = 1 << 16
 
 
@@ -131,39 +132,85 @@ def span_texts(notes: DataFrame, spans: DataFrame) -> DataFrame:
     return inline_rows(texts, ["doc_id"], cuts, "_is").drop("_is")
 
 
-def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The lines of ``bio_docs`` as flat rows, for notes with any number of spans.
+def note_pieces(notes: DataFrame, chars: int = PIECE_CHARS) -> DataFrame:
+    """``doc_id, piece, begin, text``: notes in rows of about ``chars`` characters that end between words."""
+    cut_up = notes.select("doc_id", word_pieces(F.col("text"), chars).alias("_parts"))
+    ends = running_total(F.transform("_parts", lambda x: F.length(x).cast("bigint")))
+    return (explode_at(cut_up.withColumn("_ends", ends), ["doc_id", "_ends"], "_parts", "piece", "text")
+            .select("doc_id", "piece", (F.get("_ends", F.col("piece")) - F.length("text")).alias("begin"), "text"))
 
-    Nothing is gathered: the end of the preceding span and the line offset of
-    each segment come from windows over chunks of the text, and segments meet
-    the text in a streaming join that adaptive execution may split.  Only notes
-    that have spans are returned.
-    """
-    order = ["begin", "end", "ann_id"]
-    spans = (labelled.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
-             .select("doc_id", "begin", "end", "ann_id", "label"))
-    spans = value_before(spans, "doc_id", F.floor(F.col("begin") / _CHARS_PER_CHUNK), order,
-                         "end", "before")
+
+def _ordered_segments(pieces: DataFrame, labelled: DataFrame, annotated_only: bool) -> DataFrame:
+    """``doc_id, seg, part, b, e, label``: gap (part 0) and span (1) of every span, then the tail (2)."""
+    order = ["begin", "end", "ann_id", "label"]
+    stretch = F.floor(F.col("begin") / _CHARS_PER_CHUNK)
+    spans = labelled.where(F.col("begin").isNotNull() & F.col("end").isNotNull()).select("doc_id", *order)
+    placed = value_before(spans, "doc_id", stretch, order, "end", "before")
+    placed = running_before(placed, "doc_id", stretch, order, F.lit(1), "seg")
     none = F.lit(None).cast("string")
-    inner = spans.select("doc_id", *order, F.posexplode(F.array(
+    inner = placed.select("doc_id", "seg", F.posexplode(F.array(
         _segment(F.coalesce("before", F.lit(0)), F.col("begin"), none),
-        _segment(F.col("begin"), F.col("end"), F.col("label")))).alias("part", "seg"))
-    tail = (spans.groupBy("doc_id")
-            .agg(F.max(F.struct(*order)).alias("_last"))
-            .select("doc_id", "_last.*", F.lit(2).alias("part"),
-                    _segment(F.col("_last.end"), F.lit(2147483647), none).alias("seg")))
-    cuts = (inner.unionByName(tail).join(notes.select("doc_id", "text"), "doc_id")
-            .select("doc_id", *order, "part", F.col("seg.l").alias("label"),
-                    words(substring_span(F.col("text"), F.col("seg.b"), F.col("seg.e"))).alias("tokens")))
-    numbered = running_before(cuts, "doc_id", F.floor(F.col("begin") / _CHARS_PER_CHUNK),
-                              [*order, "part"], F.size("tokens"), "_offset")
+        _segment(F.col("begin"), F.col("end"), F.col("label")))).alias("part", "_s"))
+    last = spans.groupBy("doc_id").agg(F.max_by("end", F.struct(*order)).alias("_from"), F.count(F.lit(1)).alias("_n"))
+    lengths = pieces.groupBy("doc_id").agg(F.max(F.col("begin") + F.length("text")).alias("_length"))
+    tail = lengths.join(last, "doc_id", "inner" if annotated_only else "left").select(
+        "doc_id", F.coalesce("_n", F.lit(0)).alias("seg"), F.lit(2).alias("part"),
+        _segment(F.coalesce("_from", F.lit(0)), F.col("_length"), none).alias("_s"))
+    # A span may reach beyond the text, but no further than to its end is looked for pieces.
+    return (inner.unionByName(tail).join(lengths, "doc_id")
+            .select("doc_id", "seg", "part", F.greatest(F.col("_s.b"), F.lit(0)).cast("bigint").alias("b"),
+                    F.least(F.col("_s.e"), F.col("_length")).cast("bigint").alias("e"), F.col("_s.l").alias("label"))
+            .where("e > b"))
+
+
+def _cells(begin: Column, end: Column, chars: int) -> Column:
+    return F.sequence(F.floor(begin / chars), F.floor((end - 1) / chars))
+
+
+def bio_lines_pieces(pieces: DataFrame, labelled: DataFrame, chars: int = PIECE_CHARS,
+                     annotated_only: bool = False) -> DataFrame:
+    """The lines of ``bio_docs`` as flat rows, from texts given as ``note_pieces`` rows.
+
+    Neither a text nor the spans of a note ever are one row.  The axis of a note is divided into cells of
+    ``chars`` characters; pieces and segments meet in the cells they touch, and a pair that meets in several
+    counts in the first it shares.  Pieces end between words, so each pair's words are whole; how many lines
+    come before them follows from narrow rows of counts: words per segment, then words per piece inside it.
+    """
+    segs = _ordered_segments(pieces, labelled, annotated_only)
+    long = F.length("text")
+    parts = pieces.withColumn("_end", F.col("begin") + long).select(
+        "*", F.explode(_cells(F.col("begin"), F.col("_end"), chars)).alias("_cell"))
+    touched = segs.select("*", F.explode(_cells(F.col("b"), F.col("e"), chars)).alias("_cell"))
+    first = F.greatest(F.floor(F.col("b") / chars), F.floor(F.col("begin") / chars))
+    inside = substring_span(F.col("text"), F.greatest(F.col("b") - F.col("begin"), F.lit(0)),
+                            F.least(F.col("e"), F.col("_end")) - F.col("begin"))
+    met = (touched.join(parts, ["doc_id", "_cell"])
+           .where((F.col("_cell") == first) & (F.col("b") < F.col("_end")) & (F.col("e") > F.col("begin")))
+           .select("doc_id", "seg", "part", "piece", "label", words(inside).alias("tokens"))
+           .where(F.size("tokens") > 0))
+
+    key = ["doc_id", "seg", "part"]
+    counts = met.select(*key, "piece", F.size("tokens").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    inner = counts.select(*key, "piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_inner"))
+    totals = counts.groupBy(*key).agg(F.sum("_n").alias("_n"))
+    outer = running_before(totals, "doc_id", chunk_of(F.col("seg")), ["seg", "part"], F.col("_n"), "_outer").drop("_n")
+    numbered = met.join(inner.join(outer, key), [*key, "piece"])
     tag = F.when(F.col("label").isNull(), F.lit(vocab.OUTSIDE)).otherwise(
-        F.concat(F.when(F.col("_pos") == 0, F.lit("B-")).otherwise(F.lit("I-")), F.col("label")))
-    return (explode_at(numbered, ["doc_id", "_offset", "label"], "tokens", "_pos", "token")
-            .select("doc_id", (F.col("_offset") + F.col("_pos") + 1).cast("int").alias("line_no"),
+        F.concat(F.when(F.col("_inner") + F.col("_pos") == 0, F.lit("B-")).otherwise(F.lit("I-")), F.col("label")))
+    return (explode_at(numbered, ["doc_id", "_inner", "_outer", "label"], "tokens", "_pos", "token")
+            .select("doc_id", (F.col("_outer") + F.col("_inner") + F.col("_pos") + 1).cast("int").alias("line_no"),
                     "token", tag.alias("tag")))
 
 
+def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame, annotated_only: bool = True) -> DataFrame:
+    """The lines of ``bio_docs`` as flat rows, for notes of any size with any number of spans.
+
+    By default only notes that have spans are returned.
+    """
+    return bio_lines_pieces(note_pieces(notes), labelled, annotated_only=annotated_only)
+
+
 def bio_lines(notes: DataFrame, labelled: DataFrame) -> DataFrame:
     """Flat lines of all notes whose spans fit a row; see ``bio_lines_unbounded`` for others."""
     return explode_lines(bio_docs(notes, labelled))

@@ -16,6 +16,7 @@ from spanloom.functions.arrays import (explode_at, inline_rows, let, one_run, ru
                                       run_starts)
 from spanloom.functions.tags import (either_contains, has_run_suffix, repair_label, run_key,
                                      same_ignoring_case)
+from spanloom.operators.ordered import CHUNK_LINES, run_numbers
 
 
 def as_entities(tokens: Column, tags: Column) -> Column:
@@ -104,6 +105,37 @@ def explode_runs(merged: DataFrame) -> DataFrame:
                     F.get("surfaces", F.col("pos")).alias("surface_string")))
 
 
+def merge_runs_flat(rows: DataFrame, mode: str = "suffix", lines: int = CHUNK_LINES) -> DataFrame:
+    """``merge_runs`` on flat ``doc_id, sent_id, pos, entity_type, surface_string`` rows of sentences of any size.
+
+    Rows are numbered by run with a carried scan; only rows that may merge are gathered, run by run, since
+    their surfaces end up in one string anyway.  The result has the rows of ``explode_runs``.
+    """
+    kind = F.col("entity_type")
+    if mode == "suffix":
+        state, starts = run_key(kind), lambda before, now: ~before.eqNullSafe(now)
+        merges = F.coalesce(run_key(kind).isin(*{x[-3:] for x in vocab.RUN_SUFFIXES}), F.lit(False))
+    elif mode == "bio":
+        state, starts = kind, lambda before, now: ~_continues(before, now)
+        merges = kind != vocab.OUTSIDE
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    key = ["doc_id", "sent_id"]
+    numbered = run_numbers(rows.select(*key, "pos", "entity_type", "surface_string"), key, "pos", state, starts, "_run", lines)
+    marked = numbered.withColumn("_merges", merges)
+    kept = ~kind.startswith("I-") if mode == "suffix" else F.lit(True)
+    alone = marked.where(~F.col("_merges")).select(
+        *key, "pos", F.when(kept, kind).alias("entity_type"), F.when(kept, F.col("surface_string")).alias("surface_string"))
+    runs = (marked.where("_merges").groupBy(*key, "_run")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "entity_type", "surface_string"))).alias("_x"))
+            .select(*key, F.col("_x.pos").alias("_pos"),
+                    merge_runs(F.col("_x.entity_type"), F.col("_x.surface_string"), mode).alias("_m")))
+    merged = (explode_at(runs, [*key, "_m"], "_pos", "_i", "pos")
+              .select(*key, "pos", F.get("_m.types", F.col("_i")).alias("entity_type"),
+                      F.get("_m.surfaces", F.col("_i")).alias("surface_string")))
+    return alone.unionByName(merged)
+
+
 def grade(gold_type: Column, gold: Column, pred_type: Column, pred: Column) -> Column:
     """``struct<type, partial, exact, strict>`` of one aligned pair."""
     no_gold = gold_type.isNull() & gold.isNull()

@@ -492,3 +492,8 @@ from parsed group by 1""",
                              "from chain)) as n" for name in ("sentence text", "entity json", "parquet"))
         + " union all select unnest(['csv', 'tsv']), (select count(distinct tag) from chain)) s"),
 }
+ORACLE |= {
+    "bio_lines_unbounded": ORACLE["bio_lines"],
+    "entity_runs_unbounded": ORACLE["entity_runs"],
+    "entity_runs_bio_unbounded": ORACLE["entity_runs_bio"],
+}

@@ -96,6 +96,10 @@ def bio_lines(spark, sf):
     return _lines(spark, sf)
 
 
+def bio_lines_unbounded(spark, sf):
+    return bio.bio_lines_unbounded(*_labelled(spark, sf), annotated_only=False)
+
+
 def bio_unannotated(spark, sf):
     docs, labelled = _labelled(spark, sf)
     labelled = labelled.where("doc_id % 10 <> 9")  # every tenth note is left without annotations
@@ -355,6 +359,20 @@ def entity_runs_bio(spark, sf):
     return _runs(spark, sf, "bio")
 
 
+def _runs_unbounded(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    rows = _pairs(spark, sf).select("doc_id", "sent_id", F.col("tok_idx").alias("pos"),
+                                    F.col("true").alias("entity_type"), F.col("token").alias("surface_string"))
+    return entity_eval.merge_runs_flat(rows, mode)
+
+
+def entity_runs_unbounded(spark, sf):
+    return _runs_unbounded(spark, sf, "suffix")
+
+
+def entity_runs_bio_unbounded(spark, sf):
+    return _runs_unbounded(spark, sf, "bio")
+
+
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
     return entity_eval.aligned_pairs(scoring.entity_rows(_tagged(spark, sf)))
 
@@ -503,13 +521,14 @@ def file_tables(spark, sf):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     note_tokens, file_name_clean, concept_labels, bracket_term, concept_parents, span_text,
-    bio_lines, bio_unannotated, dedupe_pass1, dedupe_chain, windows_fixed, windows_sliding,
+    bio_lines, bio_lines_unbounded, bio_unannotated, dedupe_pass1, dedupe_chain, windows_fixed, windows_sliding,
     blank_collapse, sentences, label_counts, tag_counts, tag_chars, parent_rollup, class_weights,
     distinct_labels, concept_usage, tag_set_counts, first_seen_labels, split_map, split_counts,
     tag_rename, tag_strip_listed, tag_strip_all, flatten_predictions, flatten_gold, user_tagger,
     mft_tagger, model_compare, model_class_scores, model_confusion, pairs_by_token, pairs_by_token_no_outside, pair_counts_by_token,
     pairs_by_position, confusion, confusion_classes, confusion_wide, prf_by_class, prf_no_bio,
     prf_averages, prf_averages_no_bio, prf_by_token, prf_wide, entity_runs, entity_runs_bio,
+    entity_runs_unbounded, entity_runs_bio_unbounded,
     aligned_pairs, graded_pairs, graded_preview, grade_counts, grade_counts_spurious,
     entity_metrics, entity_metrics_bio, mode_metrics, bio_spans, span_prf, muc_by_sentence, muc_scores, tagger_report,
     io_roundtrip, file_entities, file_sentences, file_tag_counts, strict_parse, file_tables,

@@ -84,6 +84,27 @@ def test_ungathered_notes_give_the_same_lines(corpus):
     assert _by_doc(bio.bio_lines_unbounded(corpus[2], corpus[3])) == {d: x for d, x in expected.items() if d in with_spans}
 
 
+@pytest.mark.parametrize("chars", [1, 7, 64])
+def test_notes_in_pieces_give_the_same_lines(corpus, chars):
+    pieces = bio.note_pieces(corpus[2], chars)
+    assert _by_doc(bio.bio_lines_pieces(pieces, corpus[3], chars)) == _expected(corpus)
+    whole = {r.doc_id: r.t for r in pieces.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "text"))), lambda x: x["text"]), "").alias("t")).collect()}
+    assert whole == {d: t for d, t in corpus[0] if t}
+
+
+def test_only_pieces_stand_beside_spans(spark):
+    """No row of the way from a long note to its lines holds more text than a piece."""
+    note = " ".join(f"w{i}" for i in range(9000))
+    notes = spark.createDataFrame([(1, note)], "doc_id bigint, text string")
+    pieces = bio.note_pieces(notes)
+    assert pieces.count() > 10 and pieces.agg(F.max(F.length("text"))).first()[0] <= bio.PIECE_CHARS + 5
+    spans = spark.createDataFrame([(1, i, 0, len(note) - i, "SUB") for i in range(3)],
+                                  "doc_id bigint, ann_id bigint, begin int, end int, label string")
+    rows = [(s[2], s[3], s[1], s[4]) for s in map(tuple, spans.collect())]
+    assert _by_doc(bio.bio_lines_pieces(pieces, spans)) == {1: _expected_lines(note, rows)}
+
+
 def test_spans_without_offsets_place_no_text(spark):
     notes = spark.createDataFrame([(1, "aa bb cc")], "doc_id bigint, text string")
     spans = spark.createDataFrame([(1, 0, 0, 2, "SUB"), (1, 1, 2, None, "TIM"), (1, 2, None, 4, "TIM")],

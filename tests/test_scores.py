@@ -204,3 +204,23 @@ def test_type_names_are_repaired_only_where_they_are_cut(spark):
 def test_vocabulary_has_its_literal_values():
     assert len(vocab.CONCEPT_LABELS) == 49 and len(vocab.TAGS) == 19
     assert vocab.TAGS[-1] == "O" or "O" in vocab.TAGS
+
+
+@pytest.mark.parametrize("mode", ["suffix", "bio"])
+@pytest.mark.parametrize("lines", [1, 2, 3, 7])
+def test_runs_of_flat_rows_equal_those_in_the_row(spark, mode, lines):
+    rnd = random.Random(lines)
+    kinds = ["O", "B-TIM", "I-TIM", "B-RTIM", "I-MEAS", "B-XEAS", "B-SUB", "I-SUB", "MED", "I-MED"]
+    rows = []
+    for s in range(60):
+        tags: list[str] = []
+        while len(tags) < rnd.randrange(1, 30):
+            tags += [rnd.choice(kinds)] * rnd.randrange(1, 9)
+        rows.append((s % 7, s, [f"w{i}" for i in range(len(tags))], tags))
+    docs = spark.createDataFrame(rows, "doc_id bigint, sent_id int, tokens array<string>, tags array<string>")
+    flat = docs.select("doc_id", "sent_id", F.posexplode(F.arrays_zip("tags", "tokens")).alias("pos", "_x")).select(
+        "doc_id", "sent_id", "pos", F.col("_x.tags").alias("entity_type"), F.col("_x.tokens").alias("surface_string"))
+    merged = entity_eval.merge_runs(F.col("tags"), F.col("tokens"), mode)
+    want = entity_eval.explode_runs(docs.select("doc_id", "sent_id", merged.alias("runs")))
+    got = entity_eval.merge_runs_flat(flat, mode, lines)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
