@@ -173,18 +173,19 @@ def join_sentences(gold: DataFrame, pred: DataFrame,
         {c: F.coalesce(c, none) for c in ("pred_types", "pred_surfaces")})
 
 
-def aligned_pairs(sentences: DataFrame, mode: str = "suffix") -> DataFrame:
-    """``doc_id, sent_id, pos`` and the four pair columns, paired by position.
+def aligned_pairs(sentences: DataFrame, mode: str = "suffix", by: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, sent_id, pos`` and the four pair columns, paired by position; ``by`` columns (a model, say) stay.
 
     ``sentences`` has ``gold_types, gold_surfaces, pred_types, pred_surfaces``.
     Predicted rows beyond the gold length are dropped.
     """
+    keys = [*by, "doc_id", "sent_id"]
     merged = sentences.select(
-        "doc_id", "sent_id", merge_runs(F.col("gold_types"), F.col("gold_surfaces"), mode).alias("g"),
+        *keys, merge_runs(F.col("gold_types"), F.col("gold_surfaces"), mode).alias("g"),
         merge_runs(F.col("pred_types"), F.col("pred_surfaces"), mode).alias("p"))
     at = F.col("pos")
-    return (explode_at(merged, ["doc_id", "sent_id", "g", "p"], "g.types", "pos", "entity_type_gold")
-            .select("doc_id", "sent_id", "pos", "entity_type_gold",
+    return (explode_at(merged, [*keys, "g", "p"], "g.types", "pos", "entity_type_gold")
+            .select(*keys, "pos", "entity_type_gold",
                     F.get("g.surfaces", at).alias("surface_string_gold"),
                     F.get("p.types", at).alias("entity_type_pred"),
                     F.get("p.surfaces", at).alias("surface_string_pred")))
@@ -196,9 +197,9 @@ def graded_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_grade", grade(*map(F.col, columns))).select("*", "_grade.*").drop("_grade")
 
 
-def grade_counts(graded: DataFrame, count_spurious: bool = False,
-                 include_outside: bool = True, mode: str = "suffix") -> DataFrame:
-    """``Measure, Type, Partial, Exact, Strict, entity_type``, one row per type and grade.
+def grade_counts(graded: DataFrame, count_spurious: bool = False, include_outside: bool = True,
+                 mode: str = "suffix", by: tuple[str, ...] = ()) -> DataFrame:
+    """``Measure, Type, Partial, Exact, Strict, entity_type``, one row per type and grade (and value of ``by``).
 
     By default a row belongs to its gold type, so spurious rows belong to none
     and SPU stays 0; ``count_spurious`` puts them under the predicted type.
@@ -211,12 +212,12 @@ def grade_counts(graded: DataFrame, count_spurious: bool = False,
     if not include_outside:
         rows = rows.where(F.col("entity_type") != vocab.OUTSIDE)
     counters = [F.count_if(F.col(m) == g).alias(f"{g}_{m}") for g in vocab.GRADES for m in vocab.MODES]
-    wide = rows.groupBy("entity_type").agg(*counters)
+    wide = rows.groupBy(*by, "entity_type").agg(*counters)
     measures = F.array(*[F.struct(F.lit(g).alias("Measure"),
                                   *[F.col(f"{g}_{m}").alias(m.capitalize()) for m in vocab.MODES])
                          for g in vocab.GRADES])
     name = F.col("entity_type")
-    return wide.select(F.inline(measures), (repair_label(name) if mode == "suffix" else name).alias("entity_type"))
+    return wide.select(*by, F.inline(measures), (repair_label(name) if mode == "suffix" else name).alias("entity_type"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -227,16 +228,19 @@ def _f1(p: str, r: str) -> Column:
     return _ratio(2 * F.col(p) * F.col(r), F.col(p) + F.col(r))
 
 
-def entity_metrics(counts: DataFrame) -> DataFrame:
-    """Per type and ``Overall``: each grade averaged over the four modes, then P/R/F1."""
+def _with_overall(rows: DataFrame, name: str, by: tuple[str, ...], *sums: Column) -> DataFrame:
+    """``sums`` per value of ``name`` and, as ``Overall``, per group of ``by``."""
+    totals = rows.groupingSets([[*by, name], [*by]], *by, name).agg(*sums, F.grouping(name).alias("_total"))
+    return totals.withColumn(name, F.when(F.col("_total") == 1, "Overall").otherwise(F.col(name))).drop("_total")
+
+
+def entity_metrics(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per type and ``Overall`` (of each value of ``by``): each grade averaged over the four modes, then P/R/F1."""
     over_modes = F.col("Type") + F.col("Partial") + F.col("Exact") + F.col("Strict")
-    sums = counts.rollup("entity_type").agg(
-        *[(F.sum(F.when(F.col("Measure") == g, over_modes).otherwise(0)) / 4).alias(g)
-          for g in vocab.GRADES],
-        F.grouping("entity_type").alias("_total"))
+    sums = _with_overall(counts, "entity_type", by, *[
+        (F.sum(F.when(F.col("Measure") == g, over_modes).otherwise(0)) / 4).alias(g) for g in vocab.GRADES])
     cor, inc, par, mis, spu = (F.col(g) for g in vocab.GRADES)
     return (sums
-            .withColumn("entity_type", F.when(F.col("_total") == 1, "Overall").otherwise(F.col("entity_type")))
             .withColumn("POS", cor + inc + par + mis)
             .withColumn("ACT", cor + inc + par + spu)
             .withColumn("Exact_Precision", _ratio(cor, F.col("ACT")))
@@ -245,7 +249,7 @@ def entity_metrics(counts: DataFrame) -> DataFrame:
             .withColumn("Partial_Precision", _ratio(cor + 0.5 * par, F.col("ACT")))
             .withColumn("Partial_Recall", _ratio(cor + 0.5 * par, F.col("POS")))
             .withColumn("Partial_F1", _f1("Partial_Precision", "Partial_Recall"))
-            .select("entity_type", "POS", "ACT", "Exact_Precision", "Exact_Recall", "Exact_F1",
+            .select(*by, "entity_type", "POS", "ACT", "Exact_Precision", "Exact_Recall", "Exact_F1",
                     "Partial_Precision", "Partial_Recall", "Partial_F1"))
 
 
@@ -300,15 +304,15 @@ def bio_spans(sentences: DataFrame, tags: str) -> DataFrame:
     return inline_rows(sentences, ["doc_id", "sent_id"], span_array(F.col("tokens"), F.col(tags)), "start")
 
 
-def graded_entities(tagged: DataFrame) -> DataFrame:
+def graded_entities(tagged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Graded pairs of the BIO entities of a sentence, aligned on their first token.
 
     ``tagged`` has ``tokens, gold, pred``; outside rows count as no entity, and
     unmatched entities of either side are kept.
     """
     pairs = aligned_pairs(tagged.select(
-        "doc_id", "sent_id", F.col("gold").alias("gold_types"), F.col("tokens").alias("gold_surfaces"),
-        F.col("pred").alias("pred_types"), F.col("tokens").alias("pred_surfaces")), "bio")
+        *by, "doc_id", "sent_id", F.col("gold").alias("gold_types"), F.col("tokens").alias("gold_surfaces"),
+        F.col("pred").alias("pred_types"), F.col("tokens").alias("pred_surfaces")), "bio", by)
 
     def entity_only(side: str) -> dict[str, Column]:
         inside = F.col(f"entity_type_{side}") != vocab.OUTSIDE
@@ -317,8 +321,8 @@ def graded_entities(tagged: DataFrame) -> DataFrame:
     return graded_pairs(pairs.withColumns({**entity_only("gold"), **entity_only("pred")}))
 
 
-def span_scores(graded: DataFrame) -> DataFrame:
-    """``label, tp, predicted, support, precision, recall, f1`` on exact spans, and ``Overall``.
+def span_scores(graded: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``label, tp, predicted, support, precision, recall, f1`` on exact spans, and ``Overall`` (of each ``by``).
 
     ``graded`` is ``graded_entities``: both sides share the sentence's tokens, so
     spans agree in start, end and label exactly when the strict grade is COR.
@@ -330,14 +334,12 @@ def span_scores(graded: DataFrame) -> DataFrame:
                  one.alias("support")),
         F.struct(F.col("entity_type_pred").alias("label"), zero.alias("tp"), one.alias("predicted"),
                  zero.alias("support")))
-    rows = graded.where(F.col("strict").isNotNull()).select(F.inline(sides)).where(F.col("label").isNotNull())
-    per_label = rows.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")])
-    sums = per_label.rollup("label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")],
-                                         F.grouping("label").alias("_total"))
-    return (sums.withColumn("label", F.when(F.col("_total") == 1, "Overall").otherwise(F.col("label")))
-            .withColumn("precision", _ratio(F.col("tp").cast("double"), F.col("predicted")))
+    rows = graded.where(F.col("strict").isNotNull()).select(*by, F.inline(sides)).where(F.col("label").isNotNull())
+    flags = [F.sum(c).alias(c) for c in ("tp", "predicted", "support")]
+    sums = _with_overall(rows.groupBy(*by, "label").agg(*flags), "label", by, *flags)
+    return (sums.withColumn("precision", _ratio(F.col("tp").cast("double"), F.col("predicted")))
             .withColumn("recall", _ratio(F.col("tp").cast("double"), F.col("support")))
-            .withColumn("f1", _f1("precision", "recall")).drop("_total"))
+            .withColumn("f1", _f1("precision", "recall")))
 
 
 def _count_modes(graded: DataFrame, *keys: str) -> DataFrame:
@@ -361,12 +363,16 @@ def muc_by_sentence(tagged: DataFrame) -> DataFrame:
     def grades(gold: Column, pred: Column) -> Column:
         return F.transform(gold["types"], lambda _, i: grade(*inside(gold, i), *inside(pred, i)))
 
-    def count(bound: Column, mode: str, name: str) -> Column:
-        return F.size(F.filter(bound, lambda x: x[mode] == name)).alias(name)
+    def count(letters: Column, name: str) -> Column:
+        return (F.length(letters) - F.length(F.translate(letters, name[0], ""))).alias(name)
 
     def counts(bound: Column) -> Column:
-        return F.array(*[F.struct(F.lit(m).alias("mode"), *[count(bound, m, g) for g in vocab.GRADES])
-                         for m in vocab.MODES])
+        # One string of initials per mode, so that counting needs no lambda: the grades differ in their first letter.
+        letters = F.array(*[F.array_join(F.transform(bound[m], lambda x: F.substr(x, F.lit(1), F.lit(1))), "")
+                            for m in vocab.MODES])
+        return let(letters, lambda each: F.array(*[
+            F.struct(F.lit(m).alias("mode"), *[count(F.get(each, F.lit(i)), g) for g in vocab.GRADES])
+            for i, m in enumerate(vocab.MODES)]))
 
     both = let(merge_runs(F.col("gold"), F.col("tokens"), "bio"), lambda g: let(
         merge_runs(F.col("pred"), F.col("tokens"), "bio"), lambda p: let(grades(g, p), counts)))

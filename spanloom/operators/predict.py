@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import vocab
 from spanloom.functions.arrays import explode_at
 
+Tagger = Callable[[list[list[str]]], list[list[str]]]
+
+BATCH_TOKENS = 1 << 14  # tokens that a tagger gets at once
+MODELS_KEPT = 4
 _KEYS = ("doc_id", "sent_id")
+_MODELS: dict[str, Tagger] = {}  # of this process
 
 
 def describe_sentences(sentences: DataFrame) -> DataFrame:
@@ -39,26 +46,55 @@ def explode_sentences(sentences: DataFrame) -> DataFrame:
             .select(*_KEYS, "tok_idx", "token", F.get("tags", F.col("tok_idx")).alias("tag")))
 
 
-def tag_sentences(sentences: DataFrame,
-                  load: Callable[[], Callable[[list[list[str]]], list[list[str]]]]) -> DataFrame:
+def model_in_worker(key: str, load: Callable[[], Tagger]) -> Tagger:
+    """The model of ``key``, loaded once in the life of this worker process.
+
+    Workers outlive their tasks, so a later task, also of another query, finds the model in place.  A worker
+    keeps ``MODELS_KEPT`` models; the one that was not used for longest goes first.
+    """
+    model = _MODELS.pop(key, None) or load()
+    _MODELS[key] = model
+    while len(_MODELS) > MODELS_KEPT:
+        _MODELS.pop(next(iter(_MODELS)))
+    return model
+
+
+def _batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes sum to ``most`` or less; one that is larger stands alone."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > most:
+            yield first, i
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def tag_sentences(sentences: DataFrame, load: Callable[[], Tagger], batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """``doc_id, sent_id, prediction ARRAY<MAP<token, tag>>`` from a caller's tagger.
 
-    ``load()`` runs once per task and returns ``fn(sentences) -> tags per sentence``, one tag per
-    token of ``tokens``; another number of tags is an error.  Arrow batches
-    (``spark.sql.execution.arrow.maxRecordsPerBatch``) are the model batches.
+    ``load()`` runs once per worker process, see ``model_in_worker``, and returns ``fn(sentences) -> tags per
+    sentence``, one tag per token of ``tokens``; another number of tags is an error.  A call gets sentences of
+    ``batch_tokens`` tokens together at most, or a single longer one.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = load()
+    key = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = model_in_worker(key, load)
         for batch in batches:
-            tokens = [list(t) for t in batch["tokens"]]
-            tags = fn(tokens)
-            if list(map(len, tags)) != list(map(len, tokens)):
+            tokens = batch["tokens"].to_pylist()
+            sizes = [len(t) for t in tokens]
+            tags: list[list[str]] = []
+            for a, b in _batches(sizes, batch_tokens):
+                tags.extend(fn(tokens[a:b]))
+            if list(map(len, tags)) != sizes:
                 raise ValueError("the tagger must return one tag per token")
-            yield batch.assign(tags=tags)
+            yield pa.record_batch([*batch.columns, pa.array(tags, pa.list_(pa.string()))], names=[*batch.schema.names, "tags"])
 
     fields = {f.name: f.dataType.simpleString() for f in sentences.schema}
     schema = ", ".join(f"{k} {fields[k]}" for k in _KEYS) + ", tokens array<string>, tags array<string>"
-    return (sentences.select(*_KEYS, "tokens").mapInPandas(run, schema)
+    return (sentences.select(*_KEYS, "tokens").mapInArrow(run, schema)
             .select(*_KEYS, F.zip_with("tokens", "tags", lambda w, t: F.create_map(w, t)).alias("prediction")))
 
 
@@ -106,3 +142,17 @@ def apply_frequent_tags(lines: DataFrame, model: DataFrame, hot_share: int = 100
     return (marked.join(model.select(F.col("token").alias("_key"), F.col("tag").alias("_cold")), "_key", "left")
             .withColumn("pred", F.coalesce("_hot", "_cold", F.lit(default)))
             .drop("_key", "_hot", "_cold"))
+
+
+def tag_rows(sentences: DataFrame, model: DataFrame, default: str = vocab.OUTSIDE) -> DataFrame:
+    """Add ``pred`` arrays to sentence rows (``tokens``) by looking tokens up in ``model``.
+
+    Entries of the model that say ``default`` are not needed, so the distinct tokens of a sentence meet only the
+    others; what is found, a few tokens of a sentence, goes back to it as a map.  Sentences must fit a row.
+    """
+    known = model.where(F.col("tag") != default).select("token", "tag")
+    wanted = sentences.select(*_KEYS, F.explode(F.array_distinct("tokens")).alias("token"))
+    found = (wanted.join(known, "token").groupBy(*_KEYS)
+             .agg(F.map_from_entries(F.collect_list(F.struct("token", "tag"))).alias("_found")))
+    pred = F.transform("tokens", lambda w: F.coalesce(F.try_element_at("_found", w), F.lit(default)))
+    return sentences.join(found, list(_KEYS), "left").withColumn("pred", pred).drop("_found")

@@ -29,6 +29,11 @@ def prepared_lines_unbounded(notes: DataFrame, spans: DataFrame,
     return dedupe_lines_chain(bio_lines_unbounded(notes, label_spans(spans)), passes)
 
 
+def prepared_docs(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES) -> DataFrame:
+    """``doc_id, tokens, tags``: the same lines, one row per document."""
+    return _cleaned(notes, label_spans(spans), passes)
+
+
 def prepared_sentences(notes: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, sent_id, tokens, tags``: the windows of every document as rows."""
     return window_docs(_cleaned(notes, label_spans(spans), LOOK_BACK_PASSES))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spanloom import vocab
 from spanloom.functions.arrays import explode_at, inline_rows, let
 from spanloom.functions.text import words, words_with_offsets
+from spanloom.sources.listing import write_files
+from spanloom.sources.readers import SPAN_FILE
 
 SENTENCE_TOKENS = 50
 
@@ -100,3 +102,30 @@ def tagged(docs: DataFrame, variant: int = 0) -> DataFrame:
             .withColumn("gold", F.transform("tokens", lambda t, i: _gold(doc, F.col("_start") + i)))
             .withColumn("pred", predicted(F.col("gold"), variant))
             .select("doc_id", "sent_id", "tokens", "gold", "pred"))
+
+
+def write_notes(docs: DataFrame, path: str) -> None:
+    """One folder ``n<doc_id>`` per note with its text in one file."""
+    write_files(docs.select(F.concat(F.lit("n"), "doc_id", F.lit("/note.txt")).alias("below"), F.col("text").alias("content")), path)
+
+
+def write_spans(rows: DataFrame, path: str) -> None:
+    """One folder ``n<doc_id>`` per note with its annotations as XML elements in one file."""
+    concept = F.col("concept")
+    for sign, escaped in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        concept = F.replace(concept, F.lit(sign), F.lit(escaped))
+    element = F.format_string('<custom:CustomMCN xmi:id="%s" begin="%s" end="%s" Concept="%s"/>', "ann_id", "begin", "end", concept)
+    whole = F.concat(F.lit('<xmi:XMI xmlns:xmi="http://www.omg.org/XMI" xmlns:custom="http:///webanno/custom.ecore">'),
+                     F.array_join(F.collect_list(element), "\n"), F.lit("</xmi:XMI>"))
+    write_files(rows.groupBy("doc_id").agg(whole.alias("content")).select(
+        F.concat(F.lit("n"), "doc_id", F.lit(f"/{SPAN_FILE}")).alias("below"), "content"), path)
+
+
+def wide_notes(docs: DataFrame) -> DataFrame:
+    """The notes with a character beyond the basic plane in place of every e."""
+    return docs.withColumn("text", F.translate("text", "e", "\U0001F600"))
+
+
+def utf16_offset(text: Column, offset: Column) -> Column:
+    """An offset in UTF-16 units: half the bytes that the text before it takes in that encoding."""
+    return (F.length(F.encode(F.substring(text, F.lit(1), offset), "UTF-16BE")) / 2).cast("int")

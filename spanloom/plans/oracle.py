@@ -496,4 +496,54 @@ ORACLE |= {
     "bio_lines_unbounded": ORACLE["bio_lines"],
     "entity_runs_unbounded": ORACLE["entity_runs"],
     "entity_runs_bio_unbounded": ORACLE["entity_runs_bio"],
+    "packed_lines": ORACLE["dedupe_chain"],
+    "streamed_lines": ORACLE["dedupe_chain"],
+    "join_sentences": ORACLE["entity_metrics"],
+    "json_entity_report": ORACLE["entity_metrics"],
+    "file_folders": "select 'n' || doc_id as folder, 1 as depth from documents",
+    "file_sizes": "select 'n' || doc_id as folder, count(*) as n_files, cast(sum(strlen(coalesce(text, ''))) as bigint) as n_bytes "
+                  "from documents group by doc_id",
+    "file_notes": "select doc_id, coalesce(text, '') as text from documents",
+    "file_spans": _sql("select doc_id, ann_id, b, e, concept from fx_annotation"),
+    "utf16_spans": _sql("select doc_id, ann_id, b, e from fx_annotation"),
+}
+
+# Span scores of a source of tokens, and entity scores per model.
+_CTE["conll_row"] = """
+select doc_id, sent_id, tok_idx, token, tag as gold, case when regexp_matches(token, '^[0-9]+$') then 'B-DEC' else 'O' end as pred
+from split_line"""
+
+
+def _span_prf(prefix: str, gold_rows: str, pred_rows: str, by: str = "") -> str:
+    """Span scores where gold and predicted tags come from the given tables."""
+    for side, rows in (("gold", gold_rows), ("pred", pred_rows)):
+        _CTE[f"{prefix}_{side}_islands"] = _bio_islands(side).replace("fx_tag", rows)
+        _CTE[f"{prefix}_{side}_spans"] = _bio_spans(f"{prefix}_{side}_islands")
+    flags = _SPAN_FLAGS.replace("gold_spans", f"{prefix}_gold_spans").replace("pred_spans", f"{prefix}_pred_spans")
+    columns = "label, tp, predicted, support"
+    return _rounded_prf(_prf(
+        "select case when grouping(label) = 1 then 'Overall' else label end as label, cast(sum(tp) as bigint) as tp, "
+        f"cast(sum(predicted) as bigint) as predicted, cast(sum(support) as bigint) as support from ({flags}) f group by rollup (label)",
+        columns), f"{by}{columns}")
+
+
+def _model_entities(v: int) -> str:
+    _CTE[f"m{v}_runs"] = _suffix_runs(f"m{v}_tag", "pred")
+    _CTE[f"m{v}_aligned"] = _CTE["aligned"].replace("pred_runs", f"m{v}_runs")
+    _CTE[f"m{v}_graded"] = _graded(f"m{v}_aligned", "doc_id, sent_id, pos")
+    _CTE[f"m{v}_count"] = _grade_counts("", "gt").replace("from graded", f"from m{v}_graded")
+    _CTE[f"m{v}_sum"] = _CTE["grade_sum"].replace("grade_count", f"m{v}_count")
+    return f"select 'model{v + 1}' as model, * from ({_entity_metrics(f'm{v}_sum')}) e{v}"
+
+
+for _v in range(3):
+    _CTE[f"m{_v}_tag"] = _fx_tag(_v)
+_MODEL_SPANS = " union all ".join(_span_prf(f"m{v}", f"m{v}_tag", f"m{v}_tag", f"'model{v + 1}' as model, ") for v in range(3))
+_MODEL_ENTITIES = " union all ".join(_model_entities(v) for v in range(3))
+_CONLL_SPANS = _span_prf("conll", "conll_row", "conll_row")
+ORACLE |= {
+    "conll_token_report": _sql(_rounded_prf(_prf(_scores("conll_row")), "tag, tp, predicted, support")),
+    "conll_span_report": _sql(_CONLL_SPANS),
+    "model_span_scores": _sql(_MODEL_SPANS),
+    "model_entity_scores": _sql(_MODEL_ENTITIES),
 }

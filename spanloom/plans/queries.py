@@ -11,10 +11,11 @@ from spanloom import vocab
 from spanloom.functions import tags as tagfn
 from spanloom.functions.arrays import explode_at
 from spanloom.functions.text import clean_name, last_bracketed
-from spanloom.operators import bio, entity_eval, lines, predict, profile, split, token_eval
+from spanloom.operators import bio, entity_eval, lines, offsets, predict, profile, split, token_eval
 from spanloom.plans import corpus, fixtures, scoring
-from spanloom.session import staging_path
-from spanloom.sources import readers, roundtrip, sinks
+from spanloom.session import stage, staging_path
+from spanloom.sources import packed, readers, roundtrip, sinks, tables
+from spanloom.streaming import parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _report_names(report: DataFrame) -> DataFrame:
+    """Rounded scores under lower-case names."""
+    report = _rounded(report, *[c for c in report.columns if c not in ("model", "entity_type")])
+    return report.withColumnsRenamed({c: c.lower() for c in report.columns})
+
+
 # --- shared inputs -----------------------------------------------------------
 
 def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -250,12 +257,24 @@ def mft_tagger(spark, sf):
 
 def _model_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of (gold, predicted) per model, the one pass over the data."""
-    docs = fixtures.notes(spark, sf)
-    base = fixtures.tagged(docs)
+    rows = _model_rows(spark, sf)
+    return token_eval.pair_counts(token_eval.pairs_in_rows(rows, "model"), "model")
+
+
+def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """``model, doc_id, sent_id, tokens, gold, pred`` of three taggers."""
     variants = F.array(*[F.struct(F.lit(f"model{v + 1}").alias("model"),
                                   fixtures.predicted(F.col("gold"), v).alias("pred")) for v in range(3)])
-    rows = base.select("doc_id", "sent_id", "tokens", "gold", F.inline(variants))
-    return token_eval.pair_counts(token_eval.pairs_in_rows(rows, "model"), "model")
+    return _tagged(spark, sf).select("doc_id", "sent_id", "tokens", "gold", F.inline(variants))
+
+
+def model_entity_scores(spark, sf):
+    return _report_names(scoring.entity_report(_model_rows(spark, sf), by=("model",)))
+
+
+def model_span_scores(spark, sf):
+    scores = entity_eval.span_scores(entity_eval.graded_entities(_model_rows(spark, sf), ("model",)), ("model",))
+    return _rounded(scores, "precision", "recall", "f1")
 
 
 def model_class_scores(spark, sf):
@@ -413,15 +432,11 @@ def _mode_names(df: DataFrame) -> DataFrame:
 
 
 def entity_metrics(spark, sf):
-    report = scoring.entity_report(_tagged(spark, sf))
-    report = _rounded(report, *[c for c in report.columns if c != "entity_type"])
-    return report.withColumnsRenamed({c: c.lower() for c in report.columns})
+    return _report_names(scoring.entity_report(_tagged(spark, sf)))
 
 
 def entity_metrics_bio(spark, sf):
-    report = scoring.entity_report(_tagged(spark, sf), mode="bio")
-    report = _rounded(report, *[c for c in report.columns if c != "entity_type"])
-    return report.withColumnsRenamed({c: c.lower() for c in report.columns})
+    return _report_names(scoring.entity_report(_tagged(spark, sf), mode="bio"))
 
 
 def mode_metrics(spark, sf):
@@ -456,9 +471,7 @@ def muc_scores(spark, sf):
 
 
 def tagger_report(spark, sf):
-    report = scoring.tagger_report(*_corpus(spark, sf))
-    report = _rounded(report, *[c for c in report.columns if c != "entity_type"])
-    return report.withColumnsRenamed({c: c.lower() for c in report.columns})
+    return _report_names(scoring.tagger_report(*_corpus(spark, sf)))
 
 
 # --- files -------------------------------------------------------------------
@@ -510,7 +523,7 @@ def strict_parse(spark, sf):
 
 def file_tables(spark, sf):
     """Tag counts written as CSV and TSV with header and read back."""
-    counts, sides = profile.tag_counts(_lines(spark, sf)), []
+    counts, sides = stage(profile.tag_counts(_lines(spark, sf)), "counts"), []
     for kind, separator in (("csv", ","), ("tsv", "\t")):
         path = staging_path(spark, f"counts-{kind}")
         sinks.write_table(counts, path, separator)
@@ -519,17 +532,123 @@ def file_tables(spark, sf):
     return sides[0].unionByName(sides[1])
 
 
+def _note_files(spark: SparkSession, sf: str) -> str:
+    path = staging_path(spark, "notes")
+    fixtures.write_notes(fixtures.notes(spark, sf), path)
+    return path
+
+
+def file_folders(spark, sf):
+    """The document folders of the notes written as files."""
+    return readers.list_folders(spark, _note_files(spark, sf)).select("folder", "depth")
+
+
+def file_sizes(spark, sf):
+    """Number and bytes of the text files of every document folder."""
+    files = readers.list_files(spark, _note_files(spark, sf), recursive=True)
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+def file_notes(spark, sf):
+    """The notes written as files and read back."""
+    return readers.read_notes(spark, _note_files(spark, sf)).select(
+        F.substring("doc_id", 2, 40).cast("bigint").alias("doc_id"), "text")
+
+
+def file_spans(spark, sf):
+    """The annotations written as XML and read back."""
+    path = staging_path(spark, "annotations")
+    fixtures.write_spans(_corpus(spark, sf)[1], path)
+    return readers.read_spans(spark, path).select(
+        F.substring("doc_id", 2, 40).cast("bigint").alias("doc_id"), "ann_id", F.col("begin").alias("b"),
+        F.col("end").alias("e"), "concept")
+
+
+def utf16_spans(spark, sf):
+    """Offsets counted in UTF-16 units, on notes with characters beyond the basic plane, back to characters."""
+    docs, spans = _corpus(spark, sf)
+    wide = fixtures.wide_notes(docs)
+    units = spans.join(wide, "doc_id").select(
+        "doc_id", "ann_id", *[fixtures.utf16_offset(F.col("text"), F.col(c)).alias(c) for c in ("begin", "end")])
+    return offsets.from_utf16(units, wide).select("doc_id", "ann_id", F.col("begin").alias("b"), F.col("end").alias("e"))
+
+
+def packed_lines(spark, sf):
+    """The lines of the cleaned documents, written packed with an index by document and read back."""
+    path = staging_path(spark, "packed")
+    sinks.write_packed_docs(corpus.prepared_docs(*_corpus(spark, sf)), path)
+    raw = packed.read_packed(spark, path, "bigint").select("doc_id", lines.parse_raw_array(F.split("text", "\n")).alias("_x"))
+    return bio.explode_lines(raw.select("doc_id", F.col("_x.token").alias("tokens"), F.col("_x.tag").alias("tags")))
+
+
+def _entity_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Gold and predicted sentences with ``entities``."""
+    tagged = _tagged(spark, sf)
+    return [tagged.select("doc_id", "sent_id", entity_eval.as_entities(F.col("tokens"), F.col(c)).alias("entities"))
+            for c in ("gold", "pred")]
+
+
+def join_sentences(spark, sf):
+    """Entity scores from a gold and a predicted table in buckets: the join moves nothing."""
+    sides = [tables.write_bucketed(side, tables.fresh_name(name)) for side, name in zip(_entity_tables(spark, sf), ("gold", "pred"))]
+    return _report_names(scoring.table_entity_report(*sides))
+
+
+def json_entity_report(spark, sf):
+    """Entity scores from a gold and a predicted folder of nested JSON files, each read in blocks."""
+    paths = []
+    for side, name in zip(_entity_tables(spark, sf), ("gold", "pred")):
+        paths.append(staging_path(spark, f"json-{name}"))
+        sinks.write_entity_json(side, paths[-1])
+    return _report_names(scoring.json_entity_report(spark, *paths, key="folder"))
+
+
+def conll_token_report(spark, sf):
+    """Token scores of a tagger on the split files."""
+    scores, _ = scoring.conll_report(spark, _sentence_files(spark, sf), _digit_tagger)
+    return _rounded(scores, "precision", "recall", "f1")
+
+
+def conll_span_report(spark, sf):
+    """Span scores of a tagger on the split files."""
+    _, scores = scoring.conll_report(spark, _sentence_files(spark, sf), _digit_tagger)
+    return _rounded(scores, "precision", "recall", "f1")
+
+
+PART_LINES = 400
+
+
+def streamed_lines(spark, sf):
+    """De-duplicated lines of documents that arrive in parts, as a stream with state per document."""
+    docs = bio.bio_docs(*_labelled(spark, sf))
+    cuts = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(PART_LINES))
+    arriving = explode_at(docs, ["doc_id", "tokens", "tags"], cuts, "part", "_at").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "part",
+        *[F.slice(c, F.col("_at") + 1, F.lit(PART_LINES)).alias(c) for c in ("tokens", "tags")])
+    source, target, state = (staging_path(spark, n) for n in ("parts", "cleaned", "state"))
+    arriving.write.parquet(source)
+    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 8).parquet(source)
+    (parts.dedupe_parts(stream).writeStream.format("parquet").option("checkpointLocation", state)
+     .trigger(availableNow=True).start(target).awaitTermination())
+    return (spark.read.schema(parts.OUTPUT).parquet(target)
+            .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("line_no").cast("int").alias("line_no"), "token", "tag"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     note_tokens, file_name_clean, concept_labels, bracket_term, concept_parents, span_text,
     bio_lines, bio_lines_unbounded, bio_unannotated, dedupe_pass1, dedupe_chain, windows_fixed, windows_sliding,
     blank_collapse, sentences, label_counts, tag_counts, tag_chars, parent_rollup, class_weights,
     distinct_labels, concept_usage, tag_set_counts, first_seen_labels, split_map, split_counts,
     tag_rename, tag_strip_listed, tag_strip_all, flatten_predictions, flatten_gold, user_tagger,
-    mft_tagger, model_compare, model_class_scores, model_confusion, pairs_by_token, pairs_by_token_no_outside, pair_counts_by_token,
+    mft_tagger, model_compare, model_class_scores, model_confusion, model_entity_scores, model_span_scores,
+    pairs_by_token, pairs_by_token_no_outside, pair_counts_by_token,
     pairs_by_position, confusion, confusion_classes, confusion_wide, prf_by_class, prf_no_bio,
     prf_averages, prf_averages_no_bio, prf_by_token, prf_wide, entity_runs, entity_runs_bio,
     entity_runs_unbounded, entity_runs_bio_unbounded,
     aligned_pairs, graded_pairs, graded_preview, grade_counts, grade_counts_spurious,
     entity_metrics, entity_metrics_bio, mode_metrics, bio_spans, span_prf, muc_by_sentence, muc_scores, tagger_report,
     io_roundtrip, file_entities, file_sentences, file_tag_counts, strict_parse, file_tables,
+    file_folders, file_sizes, file_notes, file_spans, utf16_spans, packed_lines, join_sentences, json_entity_report,
+    conll_token_report, conll_span_report, streamed_lines,
 )}

@@ -35,7 +35,7 @@ def check(spark: SparkSession, notes: DataFrame, spans: DataFrame) -> DataFrame:
     """``format, n_written, n_read, same`` for the text, JSON, CSV, TSV and Parquet paths."""
     prepared = corpus.prepared_sentences(notes, spans)
     rows = stage(prepared, "sentences")  # computed once; the formats are compared with what was staged
-    sentences = split.assign_split(rows, split.split_map(rows))
+    sentences = rows.withColumn("split", split.split_of(F.col("doc_id"), split.split_cuts(rows)))
 
     text = staging_path(spark, "split-text")
     sinks.write_split_sentences(sentences, text)

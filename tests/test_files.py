@@ -1,13 +1,16 @@
 """Readers and writers on small files."""
 
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanloom.operators import bio, lines
+from spanloom.operators import bio, entity_eval, lines, offsets, predict
 from spanloom.plans import scoring
-from spanloom.sources import readers, sinks
+from spanloom.sources import blocks, listing, packed, readers, sinks, tables
+from spanloom.streaming import parts
 from spanloom.streaming.folders import clean_folder
 
 
@@ -66,7 +69,6 @@ def test_token_files(spark, tmp_path):
 
 
 def test_blank_collapse_and_strict_parse(spark):
-    from pyspark.sql import functions as F
     df = spark.createDataFrame([("a\n\n \n\nb\n",)], "t string")
     assert df.select(readers.collapse_blank_lines(F.col("t"))).first()[0] == "a\n\nb\n"
     assert df.select(lines.collapse_blank_array(F.split("t", "\n"))).first()[0] == ["a", "", "b", ""]
@@ -149,3 +151,208 @@ def test_token_file_is_tagged_and_scored(spark, tmp_path):
         spark, str(tmp_path / "t.conll"), lambda: lambda s: [["B-SUB", "I-SUB"] if len(t) == 2 and t[0] == "a" else ["O", "O"] for t in s])
     assert {r.tag: (r.tp, r.support) for r in tokens.collect()} == {"B-SUB": (1, 1), "I-SUB": (1, 1), "O": (1, 1), "B-TIM": (0, 1)}
     assert {r.label: (r.tp, r.support) for r in spans.collect()} == {"SUB": (1, 1), "TIM": (0, 1), "Overall": (1, 2)}
+
+
+def _plain_sentences(path):
+    out, sentence = [], []
+    with open(path, encoding="utf-8", newline="\n") as lines_:
+        for line in [*lines_, ""]:
+            parts = line.split()
+            if parts:
+                sentence.append((parts[0], parts[1] if len(parts) > 1 else None))
+            elif sentence:
+                out.append(sentence)
+                sentence = []
+    return out
+
+
+@pytest.fixture
+def block_size(spark):
+    """Sets the size of a block, as very large files would."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def use(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+
+    yield use
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("size,broadcast", [(40, True), (200, False), (1000, True)])
+def test_token_files_read_in_blocks(spark, tmp_path, block_size, monkeypatch, size, broadcast):
+    rnd = random.Random(size)
+    for f in range(3):
+        text = "".join(rnd.choice(["tok B-SUB\n", "x O\n", "\n", "  \t\n", "y z q\n", "only\n", "\r\n", "ยา O\r\n", "w O\n", "w O\n"])
+                       for _ in range(200))
+        (tmp_path / f"f{f}.conll").write_bytes((text + "last O" * (f % 2)).encode())
+    block_size(size)
+    if not broadcast:
+        monkeypatch.setattr(blocks, "BROADCAST_BLOCKS", 0)
+    rows = readers.read_sentences(spark, str(tmp_path)).collect()
+    got = {(r.doc_id.rsplit("/", 1)[1], r.sent_id): list(zip(r.tokens, r.tags)) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {(p.name, i): s for p in tmp_path.iterdir() for i, s in enumerate(_plain_sentences(p))}
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 3
+
+
+@pytest.mark.parametrize("size,broadcast", [(33, True), (200, False), (1 << 20, True)])
+def test_nested_json_read_in_blocks(spark, tmp_path, block_size, monkeypatch, size, broadcast):
+    rnd = random.Random(size)
+    words = ["a", "x]y", "[", "]]", "\\\"q", "q\"],[\"", "é😀", "\\\\", "back\\", ""]
+    for f, n in enumerate((0, 1, 120, 60)):
+        content = [[[rnd.choice(["O", "B-TIM"]), rnd.choice(words)] for _ in range(rnd.randrange(0, 6))] for _ in range(n)]
+        (tmp_path / f"f{f}.json").write_text(json.dumps(content, ensure_ascii=f % 2 == 0, indent=2 if f == 3 else None)
+                                             + "\n" * (f == 2), encoding="utf-8")
+    block_size(size)
+    if not broadcast:
+        monkeypatch.setattr(blocks, "BROADCAST_BLOCKS", 0)
+    rows = readers.read_entity_json(spark, str(tmp_path)).collect()
+    got = {(r.doc_id, r.sent_id): [list(e) for e in r.entities] for r in rows}
+    assert len(got) == len(rows)
+    assert got == {(p.name, i): s for p in tmp_path.iterdir() for i, s in enumerate(json.loads(p.read_text(encoding="utf-8")))}
+
+
+def test_nested_json_is_written_one_list_per_file(spark, tmp_path):
+    kind = "doc_id bigint, sent_id int, entities array<struct<entity_type:string,surface_string:string>>"
+    rows = [(d, s, [("O", f"w{d}]"), ("B-TIM", None)][:s]) for d in range(20) for s in range(3)]
+    sinks.write_entity_json(spark.createDataFrame(rows, kind).repartition(5), str(tmp_path / "e"), parts=4)
+    files = sorted((tmp_path / "e").glob("part=*/*.txt"))
+    assert len(files) == 4
+    content = [s for f in files for s in json.loads(f.read_text())]
+    assert sorted(map(repr, content)) == sorted(repr([list(e) for e in r[2]]) for r in rows)
+
+
+def test_offsets_in_utf16_units(spark):
+    rnd = random.Random(2)
+    notes = [(d, "".join(rnd.choice("aé😀ยา𝐀\n") for _ in range(rnd.randrange(0, 1500)))) for d in range(12)] + [(90, "plain"), (91, None)]
+    spans, want = [], {}
+    for d, text in notes:
+        for a in range(15):
+            b = rnd.randint(0, len(text or ""))
+            e = rnd.randint(b, len(text or ""))
+            units = [len((text or "")[:x].encode("utf-16-le")) // 2 for x in (b, e)]
+            spans.append((d, a, *units))
+            want[d, a] = (b, e)
+    spans += [(0, 99, None, 3), (12345, 1, 4, 5)]
+    got = {(r.doc_id, r.ann_id): (r.begin, r.end) for r in offsets.from_utf16(
+        spark.createDataFrame(spans, "doc_id bigint, ann_id bigint, begin int, end int"),
+        spark.createDataFrame(notes, "doc_id bigint, text string")).collect()}
+    assert got.pop((0, 99))[0] is None and got.pop((12345, 1)) == (4, 5)
+    assert got == want
+    inside = spark.createDataFrame([(1, 0, 2, 3)], "doc_id int, ann_id int, begin int, end int")
+    one = offsets.from_utf16(inside, spark.createDataFrame([(1, "a😀b")], "doc_id int, text string")).first()
+    assert (one.begin, one.end) == (1, 2)  # the middle of the character is the character
+
+
+def test_spans_with_utf16_offsets_are_read(spark, tmp_path):
+    folder = tmp_path / "d"
+    folder.mkdir()
+    (folder / "n.txt").write_text("😀😀 aspirin", encoding="utf-8")
+    (folder / readers.SPAN_FILE).write_text('<x:XMI xmlns:x="x" xmlns:xmi="i" xmlns:custom="c">'
+                                            '<custom:CustomMCN xmi:id="1" begin="5" end="12" Concept="A"/></x:XMI>')
+    notes = readers.read_notes(spark, str(tmp_path))
+    spans = readers.read_spans(spark, str(tmp_path), utf16_notes=notes)
+    assert [r.surface for r in bio.span_texts(notes, spans).collect()] == ["aspirin"]
+
+
+def test_listing_is_made_by_tasks(spark, tmp_path):
+    for d in ("a/x", "a/empty", "b b/y z", "c+d"):
+        (tmp_path / d).mkdir(parents=True)
+    for f in ("top.txt", "a/1.txt", "a/x/2.txt", "b b/y z/3.txt", "c+d/4.bin"):
+        (tmp_path / f).write_text("x" * len(f))
+    rows = listing.listing(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 4  # the root's own files and three folders
+    got = {(r.below, r.is_folder, r.length if not r.is_folder else 0) for r in rows.collect()}
+    want = {(str(p.relative_to(tmp_path)), p.is_dir(), 0 if p.is_dir() else p.stat().st_size) for p in tmp_path.rglob("*")}
+    assert got == want
+    assert {r.folder for r in readers.list_folders(spark, str(tmp_path)).where("depth = 1").collect()} == {"a", "b b", "c+d"}
+
+
+def test_packed_documents_come_back(spark, tmp_path):
+    rows = [(i, None if i == 3 else "" if i == 4 else f"ยา {i}\nline two\n" * (i % 5)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    path = str(tmp_path / "p")
+    packed.write_packed(docs, path)
+    assert len(list((tmp_path / "p" / "data").iterdir())) <= 4 and sum(packed.parts_of(path).values()) == 50
+    read = lambda: sorted(tuple(r) for r in packed.read_packed(spark, path, "bigint").collect())
+    assert read() == rows
+    (tmp_path / "p" / "data" / "lost.txt").write_text("of a task that was lost")  # no manifest names it
+    packed.write_packed(docs.where("doc_id < 2").selectExpr("doc_id + 100 as doc_id", "text"), path)
+    assert len(read()) == 52
+    packed.write_packed(docs.limit(0), path)
+    assert len(read()) == 52
+    packed.write_packed(docs.where("doc_id = 7"), path, mode="overwrite")
+    assert read() == [rows[7]]
+
+
+def test_failed_jobs_leave_no_packed_documents(spark, tmp_path):
+    path = str(tmp_path / "p")
+    packed.write_packed(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), path)
+    bad = spark.range(0, 40, 1, 4).selectExpr("id as doc_id", "if(id = 39, raise_error('no'), 'b') as text")
+    with pytest.raises(Exception, match="no"):
+        packed.write_packed(bad, path)
+    assert [tuple(r) for r in packed.read_packed(spark, path, "bigint").collect()] == [(1, "a")]
+
+
+def test_tables_in_buckets_join_without_exchange(spark, tmp_path):
+    kind = "doc_id bigint, sent_id int, entities array<struct<entity_type:string,surface_string:string>>"
+    gold = spark.createDataFrame([(d, s, [("B-TIM", "a"), ("O", "b")]) for d in range(30) for s in range(2)], kind)
+    pred = gold.where("doc_id <> 4").withColumn("entities", F.slice("entities", 1, 1))
+    sides = [tables.write_bucketed(x, tables.fresh_name(n), 4, path=str(tmp_path / n)) for n, x in (("gold", gold), ("pred", pred))]
+    pairs = entity_eval.join_sentences(*sides)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    counts = entity_eval.grade_counts(entity_eval.graded_pairs(entity_eval.aligned_pairs(pairs)))
+    got = {(r.entity_type, r.Measure): r.Strict for r in counts.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert got["TIM", "COR"] == 58 and got["TIM", "MIS"] == 2 and got["O", "MIS"] == 60
+
+
+def test_documents_in_parts_are_cleaned_like_whole_ones(spark, tmp_path):
+    rnd = random.Random(11)
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    whole = {f"d{d}": [(rnd.choice("abc"), rnd.choice(["O", "B-SUB", "I-TIM"])) for _ in range(rnd.randrange(1, 60))] for d in range(5)}
+    files = []
+    for name, rows in whole.items():
+        cuts = sorted(rnd.randrange(len(rows) + 1) for _ in range(6))
+        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+            files.append((f"{name}.{k}.txt", "".join(f"{w} {t}\n" for w, t in rows[a:b]) or "\n"))
+    rnd.shuffle(files)
+    for some in (files[:12], files[12:20], files[20:]):  # a restart after each
+        for name, text in some:
+            (tmp_path / "in" / name).write_text(text)
+        parts.clean_parts(spark, source, target, state, files_per_batch=7).awaitTermination(240)
+    got = spark.read.parquet(target).orderBy("doc_id", "line_no").collect()
+    docs = spark.createDataFrame([(d, [w for w, _ in x], [t for _, t in x]) for d, x in whole.items()],
+                                 "doc_id string, tokens array<string>, tags array<string>")
+    want = bio.explode_lines(lines.dedupe_docs(docs)).orderBy("doc_id", "line_no").collect()
+    assert [(r.doc_id, r.line_no, r.token, r.tag) for r in got] == [tuple(r) for r in want]
+
+
+def test_models_are_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+        with open(log, "a") as out:
+            out.write(f"{os.getpid()}\n")
+        return lambda sentences: [["O"] * len(t) for t in sentences]
+
+    rows = spark.range(0, 400, 1, 40).selectExpr("id as doc_id", "0 as sent_id", "array('a', 'b') as tokens")
+    for _ in range(2):
+        assert predict.tag_sentences(rows, load).count() == 400
+        predict.tag_sentences(rows, load).write.format("noop").mode("overwrite").save()
+    with open(log) as source:
+        pids = source.read().split()
+    assert len(pids) == len(set(pids)) < 40
+
+
+def test_tagger_batches_are_bounded():
+    assert list(predict._batches([3, 3, 9, 1, 1, 1], 6)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(predict._batches([], 6)) == []
