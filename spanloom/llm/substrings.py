@@ -10,9 +10,11 @@ Only the first document of a reach needs a closer look, and only if its seed has
 there the extension stops at the first window that no smaller document has, found by joining the
 hashes of the single windows.  Overlapping windows merge to maximal repeats.
 
-A sequence of words stands for its 64-bit polynomial hash together with the seed's hash, over
-random 64-bit word hashes; no further comparison follows.  A seed may occur in a third of all
-documents: rows meet under (seed, reach), pre-aggregated to their first and last document.
+A reach stands for its 64-bit polynomial hash under its seed's hash, a single window for two such hashes
+over different bases, all over 64-bit word hashes; no words are compared.  So two different windows count as
+equal with a chance of 2^-128 a pair, two different reaches with 2^-64 a pair of reaches of one seed: with a
+million reaches of each of a million seeds that is one wrong match in some forty such corpora.  A seed may
+occur in a third of all documents: rows meet under (seed, reach), pre-aggregated to their first and last document.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from spanloom.llm.common import cut_lineage, fresh, map_batches, split_by_keys,
 
 LENGTH = 50
 SEED_WORDS = 16
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd
 KNOWN_WORDS = 100_000  # word hashes a worker keeps; it starts anew beyond them
 _RUN_BITS = 6  # a seed is selected by at most LENGTH - SEED_WORDS + 1 = 35 windows in a row
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
@@ -61,7 +63,8 @@ class _WordHashes(dict):
         return value
 
 
-_FORTH, _BACK, _WORDS = _Powers(_BASE), _Powers(pow(_BASE, -1, 1 << 64)), _WordHashes()
+_POWERS = [(_Powers(base), _Powers(pow(base, -1, 1 << 64))) for base in _BASES]
+_WORDS = _WordHashes()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -72,11 +75,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class _Hashes:
     """Hashes of all word ranges of one document, from prefix sums modulo 2^64."""
 
-    def __init__(self, found: list[bytes]):
+    def __init__(self, found: list[bytes], base: int = 0):
+        forth, back = _POWERS[base]
         each = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
         self.sums = np.zeros(len(found) + 1, np.uint64)
-        np.cumsum(each * _FORTH.up_to(len(found))[:-1], out=self.sums[1:])
-        self.back = _BACK.up_to(len(found))
+        np.cumsum(each * forth.up_to(len(found))[:-1], out=self.sums[1:])
+        self.back = back.up_to(len(found))
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[last] - self.sums[first]) * self.back[first])
@@ -111,6 +115,10 @@ def _seeds(found: list[bytes]) -> tuple[np.ndarray, ...] | None:
     return starts, runs, seed[chosen[starts]], hashes.of(starts, starts + runs + LENGTH - 1)
 
 
+def _id_type(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
+
+
 def _seed_rows(rows: DataFrame) -> DataFrame:
     def cook(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, parts = [], []
@@ -126,7 +134,7 @@ def _seed_rows(rows: DataFrame) -> DataFrame:
                                 pa.array(start << _RUN_BITS | run), pa.array(seed.view(np.int64)),
                                 pa.array(reach.view(np.int64))], names=["id", "text_key", "place", "seed", "reach"])
 
-    return map_batches(rows, cook, "id bigint, text_key bigint, place bigint, seed bigint, reach bigint")
+    return map_batches(rows, cook, f"id {_id_type(rows)}, text_key bigint, place bigint, seed bigint, reach bigint")
 
 
 def _window_rows(rows: DataFrame) -> DataFrame:
@@ -134,22 +142,22 @@ def _window_rows(rows: DataFrame) -> DataFrame:
     def cook(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, starts, hashed = [], [], []
         for i, (text, places) in enumerate(zip(batch["text"], batch["places"])):
-            hashes = _Hashes(words(text.as_py()))
+            found = words(text.as_py())
             first = np.concatenate([np.arange(p >> _RUN_BITS, (p >> _RUN_BITS) + (p & (1 << _RUN_BITS) - 1))
                                     for p in places.as_py()])
             owner.append(np.full(len(first), i))
             starts.append(first)
-            hashed.append(hashes.of(first, first + LENGTH))
+            hashed.append([_Hashes(found, base).of(first, first + LENGTH) for base in (0, 1)])
         take = pa.array(np.concatenate(owner))
-        return pa.record_batch([batch["id"].take(take), batch["text_key"].take(take),
-                                pa.array(np.concatenate(starts)), pa.array(np.concatenate(hashed).view(np.int64))],
-                               names=["id", "text_key", "start", "window"])
+        window, check = (pa.array(np.concatenate(h).view(np.int64)) for h in zip(*hashed))
+        return pa.record_batch([batch["id"].take(take), batch["text_key"].take(take), pa.array(np.concatenate(starts)),
+                                window, check], names=["id", "text_key", "start", "window", "check"])
 
-    return map_batches(rows, cook, "id bigint, text_key bigint, start bigint, window bigint")
+    return map_batches(rows, cook, f"id {_id_type(rows)}, text_key bigint, start bigint, window bigint, check bigint")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_key"),
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
                        F.col(text_col).alias("text"))
 
 
@@ -174,9 +182,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     closer = cut_lineage(closer)
     near, _ = split_by_keys(rows, closer, "id", "text_key")
     windows = cut_lineage(_window_rows(near.join(closer, ["id", "text_key"]).select("id", "text_key", "text", "places")))
-    first = cut_lineage(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    first = cut_lineage(windows.groupBy("window", "check").agg(F.min("id").alias("least"), F.max("id").alias("most"))
                         .where("least < most"))
-    single = (windows.join(first, "window").where(F.col("id") > F.col("least"))
+    single = (windows.join(first, ["window", "check"]).where(F.col("id") > F.col("least"))
               .select("id", "text_key", (F.shiftleft("start", _RUN_BITS) + 1).alias("place")))
     return whole.unionByName(single).groupBy("id", "text_key").agg(F.collect_set("place").alias("places"))
 
@@ -213,7 +221,7 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     owner, key, places = (fresh(docs, c) for c in ("_owner", "_text_key", "_places"))
     found = cut_lineage(repeats(docs, id_col, text_col).toDF(owner, key, places))
-    keyed = docs.withColumns({owner: F.col(id_col).cast("bigint"), key: F.xxhash64(text_col)})
+    keyed = docs.withColumns({owner: F.col(id_col), key: F.xxhash64(text_col)})
     touched, clean = split_by_keys(keyed, found, owner, key)
     met = touched.join(found, [owner, key], "left").select(*docs.columns, places)
     none = F.lit(None).cast(found.schema[places].dataType)
@@ -240,7 +248,7 @@ def digest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id_col, n_words, n_removed, kept_sha256`` for every row.
 
     A word goes if a window of 50 words that covers it has its word sequence in a document with a
-    smaller id; windows are judged on the input.  Null and empty texts have no words and the
+    smaller id (of any type that can be ordered); windows are judged on the input, very long texts as a whole.  Null and empty texts have no words and the
     digest of nothing.  Rows with a null id neither lose words nor make others lose them; rows
     that repeat an id do not count against each other.  Repeated rows come out as often as they
     came in, an empty table gives an empty result, further columns are not carried.
