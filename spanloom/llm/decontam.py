@@ -73,6 +73,10 @@ class Items:
 
     def found_in(self, text: str) -> Iterator[tuple[object, int, int]]:
         """``item id, distance, end`` of every item within its error budget."""
+        return ((self.rows[i][0], distance, end) for i, distance, end in self.places_in(text))
+
+    def places_in(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """The same with the item's place in ``rows``."""
         if not self.rows or not text:
             return
         regions: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -81,6 +85,8 @@ class Items:
                 begin = last + 1 - length - first
                 size = len(self.rows[i][1])
                 budget = size // CHARS_PER_ERROR
+                if not budget and not (text[begin - 1:begin] in ("", " ") and text[last + 1:last + 2] in ("", " ")):
+                    continue  # a short item inside a word
                 area = (max(0, begin - budget), min(len(text), begin + size + budget))
                 known = regions[i]
                 if known and area[0] <= known[-1][1]:
@@ -88,22 +94,23 @@ class Items:
                 else:
                     known.append(area)
         for i, areas in regions.items():
-            key, item = self.rows[i]
+            item = self.rows[i][1]
             tried = ((distance, a + end) for a, b in areas for distance, end in [nearest(item, text[a:b])])
             distance, end = min(tried)
             if distance <= len(item) // CHARS_PER_ERROR:
-                yield key, distance, end
+                yield i, distance, end
 
 
 def _scan(docs: DataFrame, rows: list[tuple[object, str]], item_type: pa.DataType, kinds: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows)
         for batch in batches:
-            hits = [(i, *hit) for i, text in enumerate(batch["text"]) for hit in items.found_in(folded(text.as_py()))]
-            owner, key, distance, end = zip(*hits) if hits else ((),) * 4
+            hits = [(i, *hit) for i, text in enumerate(batch["text"]) for hit in items.places_in(folded(text.as_py()))]
+            owner, at, distance, end = zip(*hits) if hits else ((),) * 4
+            key, short = ([items.rows[i][0] for i in at], [len(items.rows[i][1]) < CHARS_PER_ERROR for i in at])
             yield pa.record_batch([batch["id"].take(pa.array(owner, pa.int64())), pa.array(key, item_type),
-                                   pa.array(distance, pa.int32()), pa.array(end, pa.int64())],
-                                  names=["id", "item", "distance", "end"])
+                                   pa.array(distance, pa.int32()), pa.array(end, pa.int64()), pa.array(short, pa.bool_())],
+                                  names=["id", "item", "distance", "end", "short"])
 
     return docs.mapInArrow(run, kinds)
 
@@ -120,26 +127,33 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[li
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id",
           text_col: str = "text") -> DataFrame:
-    """``id_col, item_col, distance, match_end`` for each document and test item found in it.
+    """``id_col, item_col, distance, match_end, short`` for each document and test item found in it.
 
     Distance and end count characters of the folded text (lower case, no punctuation, single
     spaces); the closest match is given, of equal ones the first.  Items under
-    ``CHARS_PER_ERROR`` characters must occur unchanged; items without a letter or digit, or null,
-    never match.  Null and empty texts hold no item.  Repeated documents and repeated items
+    ``CHARS_PER_ERROR`` characters must occur unchanged, as whole words; ``short`` marks them, since a word or two
+    can be found without a leak.  Items without a letter or digit, or null,
+    never match.  Null and empty texts hold no item, very long texts are searched whole.  Repeated documents and repeated items
     each come out again; null ids stay.  Empty tables give empty results; further columns are
     not carried.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = (f"id {source.schema['id'].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, "
-             "distance int, end bigint")
+             "distance int, end bigint, short boolean")
     scans = [_scan(source, rows, kind, kinds) for rows, kind in _blocks(items, item_col, text_col)]
     return (reduce(DataFrame.unionByName, scans)
             .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance",
-                    F.col("end").alias("match_end")))
+                    F.col("end").alias("match_end"), "short"))
+
 
+def drop_leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text",
+               least_chars: int = 0) -> DataFrame:
+    """Rows of ``docs`` in which no test item is found, all columns, without a shuffle.
 
-def drop_leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` in which no test item is found, all columns, without a shuffle."""
+    Items whose folded text is shorter than ``least_chars`` drop nothing.  Matches are those of ``leaks``.  Rows
+    with a null or empty text stay, as do repeated rows and rows without an id; without items, or with an empty
+    table, ``docs`` comes back as it is.
+    """
     at = docs.columns.index(text_col)
 
     def without(rows: list[tuple[object, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,5 +165,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id", tex
         return run
 
     for rows, _ in _blocks(items, item_col, text_col):
+        rows = [(key, item) for key, item in rows if len(item) >= least_chars]
         docs = docs.mapInArrow(without(rows), docs.schema)
     return docs
