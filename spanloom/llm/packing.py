@@ -1,7 +1,7 @@
 """Packing by cutting-stock column generation.
 
 Every document is cut into pieces of 2048 tokens and one remainder.  The lengths of all pieces,
-rounded up to a quantum, form a histogram of at most 256 bins.  A linear program chooses how
+rounded up to a quantum, form a histogram of at most 256 bins (352 finer ones where many pieces are short).  A linear program chooses how
 often each pattern (bins that fit one sequence) is used; patterns are found where needed by a
 knapsack dynamic program over the dual prices, and generation ends when the dual bound proves
 the plan within ``GAP``.  Counts are rounded down, what is left is filled greedily, and the
@@ -14,6 +14,7 @@ before it, so no bin is ever in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -30,8 +31,10 @@ from tokenizers import Tokenizer
 from spanloom.llm.common import cut_lineage, map_batches, spread
 
 CAPACITY = 2048
-QUANTUM = 8
+QUANTUM = 8  # tokens to which lengths are rounded up
+ROUNDED = 0.005  # share of all tokens that rounding may add; beyond it bins are fine, see ``_bins``
 GAP = 1e-4  # proven distance to the best fractional plan at which generation stops
+ROUNDS = 60  # simplex steps for each size, many more than a plan takes
 CLOSING_ID = 1
 CACHED_WORDS = 150_000  # per worker and generation, of which there are two; results do not depend on it
 TAIL = b".,!?;:%$#*&|)-\"/"  # punctuation that neither contractions nor special tokens end in
@@ -165,11 +168,11 @@ def fractional_plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[n
     basis = np.diag(room // sizes).astype(float)
     inverse = np.diag(1.0 / (room // sizes))
     amount = inverse @ demand
-    while True:
+    for _ in range(ROUNDS * len(sizes)):
         prices = np.maximum(inverse.sum(axis=0), 0)  # each pattern costs one sequence
         value, pattern = _best_pattern(sizes, prices, room)
         if value <= 1 + GAP:  # prices / value are feasible duals: the plan is at most this much above the best
-            return basis.T.round().astype(np.int64), np.maximum(amount, 0)
+            break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         leave = ratio.argmin()
@@ -179,6 +182,8 @@ def fractional_plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[n
         inverse[leave] = row
         amount = amount - step * ratio[leave]
         amount[leave] = ratio[leave]
+    # Each basis on the way is a plan that holds everything, so one that ran out of rounds is only less tight.
+    return basis.T.round().astype(np.int64), np.maximum(amount, 0)
 
 
 def whole_plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
@@ -218,11 +223,28 @@ def _slots(plan: list[tuple[np.ndarray, int]], sizes: np.ndarray, demand: np.nda
     return {size: np.array(r, np.int64) for size, r in rows.items()}
 
 
+def _bins(counts: dict[int, int]) -> tuple[dict[int, int], int]:
+    """The bin of each length, and the room of a sequence in the same unit.
+
+    Lengths are rounded up to ``QUANTUM``, unless that would pad more than ``ROUNDED`` of the tokens, as it does where
+    many documents are short; then up to a 64th at most: exact to 64 tokens, to 2 below 128, to 4 below 256.
+    """
+    coarse = {n: -(-n // QUANTUM) for n in counts}
+    added = sum((coarse[n] * QUANTUM - n) * times for n, times in counts.items())
+    if added <= ROUNDED * sum(n * times for n, times in counts.items()):
+        return coarse, CAPACITY // QUANTUM
+    step = {n: next(w for w, top in ((1, 64), (2, 128), (4, 256), (QUANTUM, CAPACITY)) if n <= top) for n in counts}
+    return {n: -(-n // w) * w for n, w in step.items()}, CAPACITY
+
+
 def pack(cut: DataFrame) -> DataFrame:
     """Add ``sequence_id, offset`` to pieces (``id, start, length, ...``) of at most ``CAPACITY``."""
-    parts, room = spread(cut), CAPACITY // QUANTUM
-    binned = cut_lineage(cut.withColumn("bin", F.ceil(F.col("length") / QUANTUM).cast("int"))
-                         .withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts))))
+    parts = spread(cut)
+    placed = cut_lineage(cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts))))
+    lengths = {r.length: r["count"] for r in placed.groupBy("length").count().collect()}  # at most CAPACITY rows
+    bin_of, room = _bins(lengths)
+    bins = F.from_json(F.lit(json.dumps([bin_of.get(n, 0) for n in range(1, CAPACITY + 1)])), "array<int>")
+    binned = placed.withColumn("bin", F.get(bins, F.col("length").cast("int") - 1))
     per_bucket = cut_lineage(binned.groupBy("bin", "bucket").agg(F.count("*").alias("n")))
     histogram = per_bucket.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
     sizes = np.array([r.bin for r in histogram], np.int64)
@@ -254,7 +276,8 @@ def pack(cut: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece.
 
-    Null text counts as empty: a document of the closing id alone.  Repeated rows and rows with
+    Null text counts as empty: a document of the closing id alone.  Very long texts are cut into pieces of
+    ``CAPACITY`` tokens.  Repeated rows and rows with
     a null id are packed like any other; an empty table gives an empty result; further columns
     are not carried.
     """
