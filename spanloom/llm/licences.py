@@ -56,11 +56,10 @@ USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORT
 OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 )
 
-# What starts a notice of copyright; a wrapped line of a licence may start with the bare word.
+# What starts a notice of copyright; a wrapped line of a licence may start with the bare word.  The patterns mean
+# the same to Java and to RE2.
 NOTICE_LINE = (r"^[^a-z0-9©]*(copyright[ \t:,]*(\(c\)|[©<\[{]|(19|20)[0-9]{2})|©|all rights reserved"
                r"|c\)[ \t]*(copyright|[©<\[{]|(19|20)[0-9]{2}))")
-# The SQL's pattern, which also drops wrapped lines; the patterns mean the same to Java and to RE2.
-COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright|©|c\) |all rights reserved)"
 PUNCTUATION = r"[\x00-\x2F:-@\[-`{-\x7F\x{A0}-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]+"
 
 WORD = PUNCTUATION.replace("[", "[^", 1)

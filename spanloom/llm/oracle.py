@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spanloom.llm.licences import COPYRIGHT_LINE, NOTICES, PHRASES, PUNCTUATION, SPELLINGS, WORD
+from spanloom.llm.licence_list import more_known
+from spanloom.llm.licences import NOTICE_LINE, NOTICES, PHRASES, PUNCTUATION, SPELLINGS, WORD
 
 
 def _quoted(text: str) -> str:
@@ -17,7 +18,7 @@ def _respell(form: str, pairs: tuple[tuple[str, str], ...]) -> str:
 
 def _lines(column: str) -> str:
     return (f"list_filter(string_split(lower({column}), chr(10)), lambda x: regexp_matches(x, {_quoted(WORD)}) "
-            f"and not regexp_matches(x, {_quoted(COPYRIGHT_LINE)}))")
+            f"and not regexp_matches(x, {_quoted(NOTICE_LINE)}))")
 
 
 def _digest(body: str) -> str:
@@ -29,7 +30,7 @@ _LICENCES = f"""
 with known as (
   select digest, min(license_id) as known_id from (
     select license_id, {_digest("array_to_string(" + _lines('body') + ", chr(10))")} as digest
-    from (values {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in NOTICES)}) as v(license_id, body))
+    from (values {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in more_known(NOTICES))}) as v(license_id, body))
   group by digest),
 form as (
   select doc_id, {_lines('text')} as lines from documents),
