@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spanloom.llm import decontam, licences, lm, packing, rules, simhash, urls
+from spanloom.llm import decontam, langid, licences, lm, packing, quality, rules, sampling, simhash, substrings, urls
 from spanloom.llm.common import table
 from spanloom.llm.components import components
 from spanloom.llm.queries import QUERIES
@@ -96,6 +96,36 @@ def test_groups_equal_brute_force(spark, monkeypatch, pairs_up_to):
     assert {i: got.get(i, i) for i, _ in prints} == want
 
 
+@pytest.mark.parametrize("max_bits", [0, 1])
+@pytest.mark.parametrize("pairs_up_to", [64, 1])
+def test_smaller_radius(spark, monkeypatch, max_bits, pairs_up_to):
+    monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs_up_to)
+    rng = random.Random(5)
+    prints = [p ^ (1 << rng.randrange(63)) if i % 2 else p for p in (rng.getrandbits(63) for _ in range(30)) for i in range(8)]
+    nodes = spark.createDataFrame(list(enumerate(dict.fromkeys(prints))), "node bigint, print bigint")
+    got = {frozenset((r.a, r.b)) for r in simhash.near_links(nodes, max_bits).collect()}
+    rows = list(enumerate(dict.fromkeys(prints)))
+    want = {frozenset((i, j)) for i, p in rows for j, q in rows if i < j and (p ^ q).bit_count() <= max_bits}
+    assert got == want
+    with pytest.raises(ValueError):
+        simhash.near_links(nodes, 3)
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "bigint"])
+def test_ids_of_other_types(spark, kind):
+    """Near copies and repeats have the same groups whatever the type of the id."""
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(3, "a b c d"), (1, "a b c d"), (2, passage), (4, "x y " + passage), (5, None), (None, "a b c d")]
+    docs = spark.createDataFrame([(None if i is None else i if kind != "string" else f"n{i}", t) for i, t in rows],
+                                 f"doc_id {kind}, text string")
+    name = (lambda i: f"n{i}") if kind == "string" else (lambda i: i)
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert groups == {name(1): name(1), name(3): name(1), name(2): name(2), name(4): name(4), name(5): name(5), None: name(1)}
+    removed = {r.doc_id: r.n_removed for r in substrings.digest_repeats(docs).collect()}
+    assert removed == {name(1): 0, name(2): 0, name(3): 0, name(4): 55, name(5): 0, None: 0}
+    assert {r.doc_id: r.text for r in substrings.cut_repeats(docs).collect()}[name(4)] == "x y "
+
+
 def test_fingerprint_equals_the_definition():
     import xxhash
     for text in (None, "", " \n", "One", "one TWO", "É a A b c d É a A b", "x " * 70_000):
@@ -143,6 +173,24 @@ def test_fractional_plan_is_near_the_volume_bound():
     assert sum(n for _, n in plan) <= np.ceil(times.sum()) + len(sizes)
 
 
+@pytest.mark.parametrize("length,documents,sequences", [(1, 4000, 2), (5, 4000, 10), (20, 1000, 10), (70, 400, 14)])
+def test_short_documents_leave_little_padding(spark, length, documents, sequences):
+    cut = spark.range(documents).selectExpr("id", "0L as start", f"{length}L as length", "id as ids_crc32", f"{length}L as doc_tokens")
+    got = packing.pack(cut).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("offset").alias("last")).collect()
+    assert sum(r.n for r in got) == length * documents and max(r.n for r in got) <= 2048
+    assert len(got) <= sequences and all(r.last == r.n - length for r in got)
+
+
+def test_short_and_long_documents_together(spark):
+    rng = random.Random(9)
+    rows = [(i, 0, rng.choice([1, 2, 3, 9, 33, 65, 130, 700, 1500, 2048]), i, 0) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"))
+    sizes = [r.n for r in got.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(sizes) == sum(r[2] for r in rows) and max(sizes) <= 2048
+    large = Counter(r[2] for r in rows)  # the short ones fit beside these
+    assert len(sizes) <= large[2048] + large[1500] + -(-large[700] // 2) + 10
+
+
 # 6: rules
 
 def _plain_repeats(words):
@@ -191,6 +239,81 @@ def test_flattened_trees_equal_a_walk():
 
 # 2 and 8: learned, held out
 
+def _plain_bag(net, rows):
+    w, hidden, weight = net.weights, [], []
+    for x in rows:
+        h = np.tanh(sum(x[i] * w["encode"][i] for i in range(len(x))) + w["encode0"])
+        t, g = np.tanh(h @ w["attend"]), 1 / (1 + np.exp(-(h @ w["gate"])))
+        hidden.append(h)
+        weight.append(np.exp(sum(t[k] * g[k] * w["weigh"][k] for k in range(len(t)))))
+    z = sum(a * h for a, h in zip(weight, hidden)) / sum(weight)
+    return 1 / (1 + np.exp(-(z @ w["out"] + w["out0"][0])))
+
+
+def _small_network(rng):
+    net = quality.fit([], np.zeros(0))
+    for k, v in net.weights.items():
+        net.weights[k] = rng.normal(0, 0.4, v.shape)
+    return net
+
+
+def test_attention_equals_a_loop_over_passages():
+    rng = np.random.default_rng(3)
+    net, bags = _small_network(rng), [rng.uniform(0, 1, (n, quality.N_FEATURES)) for n in (1, 4, 7)]
+    first = np.cumsum([0, *(len(b) for b in bags[:-1])])
+    got = net.forward(np.concatenate(bags), first)
+    assert got["p"] == pytest.approx([_plain_bag(net, b) for b in bags])
+    assert np.add.reduceat(got["a"], first) == pytest.approx(1)
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    net, bags = _small_network(rng), [rng.uniform(0, 1, (n, quality.N_FEATURES)) for n in (2, 1, 5)]
+    x, first, y = np.concatenate(bags), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = net.forward(x, first)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for name, slope in net.gradient(x, first, y).items():
+        value = net.weights[name]
+        for at in {tuple(rng.integers(0, n) for n in value.shape) for _ in range(12)}:
+            kept, ends = value[at], []
+            for step in (1e-5, -1e-5):
+                value[at] = kept + step
+                ends.append(loss())
+            value[at] = kept
+            assert slope[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-7, rel=1e-4), name
+
+
+def test_languages_equal_a_vote_of_pairs():
+    rng = np.random.default_rng(5)
+    languages = np.array([["de", "en", "nl", "es", "xx"][i % 5] for i in range(200)])
+    x = (rng.uniform(0, 1, (200, 40)) + 2 * (np.arange(40) % 5 == (np.arange(200) % 5)[:, None])).astype(np.float32)
+    model = langid.fit(x, languages)
+    assert sorted(map(sorted, model.families)) == [["de", "en", "nl"], ["es"], ["xx"]]
+    names, score = model.predict(x)
+    margin = np.hstack([x, np.ones((200, 1))]) @ model.weights.T
+    for i in range(200):
+        f = int(np.argmax(margin[i, :3]))
+        at = 3 + sum(len(p) for p in model.pairs[:f])
+        wins = Counter({name: 0 for name in model.families[f]})
+        for k, (a, b) in enumerate(model.pairs[f]):
+            wins[model.families[f][a if margin[i, at + k] > 0 else b]] += 1
+        assert wins[names[i]] == max(wins.values())
+    assert (np.array(names) == languages).mean() > 0.95 and ((score > 0) & (score <= 1)).all()
+
+
+def test_samples_hold_at_most_their_limit_of_rows(spark):
+    rows = [(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    targets = spark.createDataFrame([(i, i % 2) for i in range(1, 90)], "doc_id bigint, target int")
+    for limit, balanced in ((1, False), (7, False), (7, True), (1000, True)):
+        got = sampling.training_texts(docs, targets, limit, 100, balanced=balanced).collect()
+        assert len(got) == min(limit, 89)
+    plan = sampling.training_texts(docs, targets, 7, 100, balanced=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.lower()
+
 def test_quality_classifier_on_held_out_documents(spark):
     got = QUERIES["op2_quality_classifier"](spark, MID_DIR).toPandas()
     assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)).all()
@@ -246,6 +369,30 @@ def test_leaks_equal_a_scan_of_all_pairs(spark):
     assert exact and exact <= got
 
 
+def test_leaks_equal_the_distance_of_all_pairs(spark):
+    """Every document against every item, whole texts, without pieces."""
+    small = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.item_id): (r.distance, r.match_end) for r in QUERIES["op7_benchmark_decontamination"](spark, small).collect()}
+    items = [(i, decontam.folded(q)) for i, q in _pandas(spark, "benchmark", small)[["item_id", "text"]].itertuples(index=False)]
+    want = {}
+    for d, text in _pandas(spark, "documents", small)[["doc_id", "text"]].itertuples(index=False):
+        for i, item in items:
+            distance, end = decontam.nearest(item, decontam.folded(text))
+            if item and distance <= len(item) // decontam.CHARS_PER_ERROR:
+                want[d, i] = distance, end
+    assert want and got == want
+
+
+def test_short_items_are_found_as_words_only(spark):
+    docs = spark.createDataFrame([(1, "I know a comparison"), (2, "No! Paris?"), (3, "in Paris, no"), (4, "parisno")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(0, "no"), (1, "paris")], "item_id bigint, text string")
+    rows = decontam.leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(2, 0), (2, 1), (3, 0), (3, 1)] and all(r.short for r in rows)
+    assert _ids(decontam.drop_leaks(docs, items)) == [1, 4]
+    assert _ids(decontam.drop_leaks(docs, items, least_chars=decontam.CHARS_PER_ERROR)) == [1, 2, 3, 4]
+    assert decontam.leaks(docs.where("1 = 0"), items).count() == decontam.leaks(docs, items.where("1 = 0")).count() == 0
+
+
 # 9: language models
 
 def test_losses_equal_brute_force(spark, monkeypatch):
@@ -308,16 +455,31 @@ def test_nested_rules_equal_brute_force(spark, parts):
 
 # pipeline
 
-def test_stages_do_what_their_operators_say(spark):
+def _ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_rules_stage_does_what_its_operator_says(spark):
     docs = table(spark, MID_DIR, "documents")
-    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     rated = corpus_pipeline.quality_rules(spark, docs, MID_DIR)
-    assert ids(rated) == ids(QUERIES["op6_quality_rules"](spark, MID_DIR).where("kept"))
+    assert _ids(rated) == _ids(QUERIES["op6_quality_rules"](spark, MID_DIR).where("kept"))
+
+
+def test_near_dedup_stage_does_what_its_operator_says(spark):
+    docs = table(spark, MID_DIR, "documents")
     single = corpus_pipeline.near_dedup(spark, docs, MID_DIR)
-    assert ids(single) == ids(QUERIES["op3_simhash_near_dedup"](spark, MID_DIR).where("doc_id = component_id"))
+    assert _ids(single) == _ids(QUERIES["op3_simhash_near_dedup"](spark, MID_DIR).where("doc_id = component_id"))
+
+
+def test_decontamination_stage_does_what_its_operator_says(spark):
+    docs = table(spark, MID_DIR, "documents")
     clean = corpus_pipeline.decontaminate(spark, docs, MID_DIR)
     leaked = {r.doc_id for r in QUERIES["op7_benchmark_decontamination"](spark, MID_DIR).collect()}
-    assert set(ids(clean)) == set(ids(docs)) - leaked
+    assert set(_ids(clean)) == set(_ids(docs)) - leaked
+
+
+def test_substring_stage_does_what_its_operator_says(spark):
+    docs = table(spark, MID_DIR, "documents")
     cut = corpus_pipeline.substring_dedup(spark, docs, MID_DIR).toPandas().set_index("doc_id")
     want = QUERIES["op5_substring_dedup"](spark, MID_DIR).where("n_removed < n_words or n_words = 0").toPandas()
     assert sorted(cut.index) == sorted(want.doc_id)
