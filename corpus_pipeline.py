@@ -43,8 +43,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark; items too short to be one drop nothing."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"), least_chars=decontam.CHARS_PER_ERROR)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
