@@ -395,26 +395,32 @@ def test_short_items_are_found_as_words_only(spark):
 
 # 9: language models
 
-def test_losses_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FLOOR", 0.02)
-    texts = {1: "a b a b c", 2: "b a d", 3: "a b e f", 4: "c a b"}
+@pytest.mark.parametrize("model_rows", [1 << 20, 0])
+@pytest.mark.parametrize("min_words,min_pairs", [(1, 2), (2, 2), (3, 3), (100, 100)])
+def test_losses_equal_brute_force(spark, monkeypatch, model_rows, min_words, min_pairs):
+    """Broadcast or as tables, with words and pairs below the counts that the models take."""
+    for name, value in (("MODEL_ROWS", model_rows), ("MIN_WORDS", min_words), ("MIN_PAIRS", min_pairs)):
+        monkeypatch.setattr(lm, name, value)
+    texts = {1: "a b a b c", 2: "b a d", 3: "a b e f", 4: "c a b", 5: "a b c a b c"}
     target = {1, 4}
     docs = spark.createDataFrame([(i, t, i in target) for i, t in texts.items()],
                                  "doc_id bigint, text string, is_target boolean")
     model = lm.train(docs)
+    assert isinstance(model, lm.Tables) == (model_rows == 0 and min_words < 100)
     got = {r.doc_id: (r.target_loss, r.background_loss) for r in lm.cross_entropy(spark, docs, model).collect()}
     for side, chosen in ((0, target), (1, set(texts))):
         seqs = [texts[i].split() for i in chosen]
         one, total = Counter(w for s in seqs for w in s), sum(map(len, seqs))
         two = Counter(p for s in seqs for p in zip(["^", *s], s))
-        vocabulary = {w for t in texts.values() for w in t.split()}
+        times = Counter(w for t in texts.values() for w in t.split())
+        vocabulary = {w for w, n in times.items() if n >= min_words}
         every = Counter(p for t in texts.values() for p in zip(["^", *t.split()], t.split()))
-        mine = Counter(p for i in target for p in zip(["^", *texts[i].split()], texts[i].split()))
-        kept = {p for p in every if every[p] >= 2 or mine[p] >= 2}
+        kept = {p for p in every if every[p] >= min_pairs}
+        unseen = sum(n for w, n in one.items() if w not in vocabulary)
         context = Counter({**one, "^": len(seqs)})
 
         def p_word(w):
-            return (one[w] + lm.SMOOTH) / (total + lm.SMOOTH * (len(vocabulary) + 1))
+            return ((one[w] if w in vocabulary else unseen) + lm.SMOOTH) / (total + lm.SMOOTH * (len(vocabulary) + 1))
 
         def p_next(v, w):
             add = {p: lm.PAIR_WEIGHT * two[p] / context[v] for p in kept if p[0] == v and two[p]}
