@@ -1,10 +1,11 @@
 """Packing by cutting-stock column generation.
 
-Every document is cut into pieces of 2048 tokens and one remainder.  The lengths of all pieces,
-rounded up to a quantum, form a histogram of at most 256 bins (352 finer ones where many pieces are short).  A linear program chooses how
-often each pattern (bins that fit one sequence) is used; patterns are found where needed by a
+Every document is cut into pieces of 2048 tokens and one remainder.  The lengths of all pieces form a histogram:
+exact up to 256 tokens, beyond rounded up to a quantum, 480 bins at most.  For the long bins a linear program chooses
+how often each pattern (bins that fit one sequence) is used; patterns are found where needed by a
 knapsack dynamic program over the dual prices, and generation ends when the dual bound proves
-the plan within ``GAP``.  Counts are rounded down, what is left is filled greedily, and the
+the plan within ``GAP``.  Counts are rounded down, what is left is filled greedily.  Short pieces, the largest first,
+fill the room that patterns leave and then sequences of their own, by their exact lengths.  The
 ranks of the documents in a bin are dealt to the slots of the patterns.
 
 Only the histogram goes to the driver and only the slot table comes back, both bounded by the
@@ -14,7 +15,6 @@ before it, so no bin is ever in one task.
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 import unicodedata
@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 from spanloom.llm.common import cut_lineage, map_batches, spread
 
 CAPACITY = 2048
-QUANTUM = 8  # tokens to which lengths are rounded up
-ROUNDED = 0.005  # share of all tokens that rounding may add; beyond it bins are fine, see ``_bins``
+QUANTUM = 8  # tokens to which long pieces are rounded up
+EXACT = 256  # tokens up to which a piece is short
 GAP = 1e-4  # proven distance to the best fractional plan at which generation stops
 ROUNDS = 60  # simplex steps for each size, many more than a plan takes
 CLOSING_ID = 1
@@ -195,6 +195,12 @@ def whole_plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[n
         if times > 0 and pattern.any():
             plan.append((pattern, int(times)))
             left = np.maximum(left - pattern * times, 0)
+    return plan + _greedy_plan(sizes, left, room)
+
+
+def _greedy_plan(sizes: np.ndarray, left: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns that take the largest sizes first, each used while all it takes is there."""
+    plan = []
     while left.any():
         pattern, free = np.zeros_like(left), room
         for i in np.argsort(-sizes):
@@ -207,6 +213,29 @@ def whole_plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[n
     return plan
 
 
+def filled_plan(sizes: np.ndarray, demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Patterns with whole counts over all bins (ascending, in tokens): long ones planned, short ones filled in."""
+    first = int(np.searchsorted(sizes, EXACT, "right"))
+    left, plan = demand.copy(), []
+    left[first:] = 0
+    for pattern, times in whole_plan(sizes[first:] // QUANTUM, demand[first:], CAPACITY // QUANTUM) if first < len(sizes) else ():
+        full = np.concatenate([np.zeros(first, np.int64), pattern])
+        todo = [(full, CAPACITY - int(full @ sizes), times, first - 1)]
+        while todo:
+            full, free, times, i = todo.pop()
+            for i in range(i, -1, -1):
+                full[i] = min(left[i] // times, free // sizes[i])
+                left[i] -= full[i] * times
+                free -= int(full[i] * sizes[i])
+                if 0 < left[i] < times and sizes[i] <= free:  # the last of a size: some sequences take one more
+                    todo.append((full.copy(), free, times - int(left[i]), i - 1))
+                    times, left[i] = int(left[i]), 0
+                    full[i] += 1
+                    free -= int(sizes[i])
+            plan.append((full, times))
+    return plan + _greedy_plan(sizes, left, CAPACITY)
+
+
 def _slots(plan: list[tuple[np.ndarray, int]], sizes: np.ndarray, demand: np.ndarray) -> dict[int, np.ndarray]:
     """Per bin, rows (first rank, first sequence, slot): consecutive ranks go to consecutive sequences."""
     given, rows, base = np.zeros_like(demand), {int(s): [] for s in sizes}, 0
@@ -223,33 +252,17 @@ def _slots(plan: list[tuple[np.ndarray, int]], sizes: np.ndarray, demand: np.nda
     return {size: np.array(r, np.int64) for size, r in rows.items()}
 
 
-def _bins(counts: dict[int, int]) -> tuple[dict[int, int], int]:
-    """The bin of each length, and the room of a sequence in the same unit.
-
-    Lengths are rounded up to ``QUANTUM``, unless that would pad more than ``ROUNDED`` of the tokens, as it does where
-    many documents are short; then up to a 64th at most: exact to 64 tokens, to 2 below 128, to 4 below 256.
-    """
-    coarse = {n: -(-n // QUANTUM) for n in counts}
-    added = sum((coarse[n] * QUANTUM - n) * times for n, times in counts.items())
-    if added <= ROUNDED * sum(n * times for n, times in counts.items()):
-        return coarse, CAPACITY // QUANTUM
-    step = {n: next(w for w, top in ((1, 64), (2, 128), (4, 256), (QUANTUM, CAPACITY)) if n <= top) for n in counts}
-    return {n: -(-n // w) * w for n, w in step.items()}, CAPACITY
-
-
 def pack(cut: DataFrame) -> DataFrame:
     """Add ``sequence_id, offset`` to pieces (``id, start, length, ...``) of at most ``CAPACITY``."""
-    parts = spread(cut)
-    placed = cut_lineage(cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts))))
-    lengths = {r.length: r["count"] for r in placed.groupBy("length").count().collect()}  # at most CAPACITY rows
-    bin_of, room = _bins(lengths)
-    bins = F.from_json(F.lit(json.dumps([bin_of.get(n, 0) for n in range(1, CAPACITY + 1)])), "array<int>")
-    binned = placed.withColumn("bin", F.get(bins, F.col("length").cast("int") - 1))
+    parts, length = spread(cut), F.col("length")
+    bins = F.when(length <= EXACT, length).otherwise(F.ceil(length / QUANTUM) * QUANTUM).cast("int")
+    binned = cut_lineage(cut.withColumn("bin", bins)
+                         .withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts))))
     per_bucket = cut_lineage(binned.groupBy("bin", "bucket").agg(F.count("*").alias("n")))
     histogram = per_bucket.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
     sizes = np.array([r.bin for r in histogram], np.int64)
     demand = np.array([r.n for r in histogram], np.int64)
-    slots = _slots(whole_plan(sizes, demand, room), sizes, demand) if len(sizes) else {}
+    slots = _slots(filled_plan(sizes, demand), sizes, demand) if len(sizes) else {}
 
     in_bin = Window.partitionBy("bin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.select("bin", "bucket", F.coalesce(F.sum("n").over(in_bin), F.lit(0)).alias("before"))
