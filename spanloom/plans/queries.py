@@ -249,10 +249,11 @@ def user_tagger(spark, sf):
 
 
 def mft_tagger(spark, sf):
-    rows = _pairs(spark, sf)
-    model = predict.learn_frequent_tags(rows.select("token", F.col("true").alias("tag")))
-    tokens = rows.select("doc_id", "sent_id", "tok_idx", "token", F.col("true").alias("true_tag"))
-    return predict.apply_frequent_tags(tokens, model).withColumnRenamed("pred", "pred_tag")
+    rows = _tagged(spark, sf).select("doc_id", "sent_id", "tokens", F.col("gold").alias("tags"))
+    tagged = predict.tag_rows(rows, predict.learn_frequent_tags(predict.explode_sentences(rows)))
+    at = F.col("tok_idx")
+    return explode_at(tagged, ["doc_id", "sent_id", "tags", "pred"], "tokens", "tok_idx", "token").select(
+        "doc_id", "sent_id", "tok_idx", "token", F.get("tags", at).alias("true_tag"), F.get("pred", at).alias("pred_tag"))
 
 
 def _model_counts(spark: SparkSession, sf: str) -> DataFrame:

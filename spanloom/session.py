@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors' Python workers, where it is not installed; returns the archive's path.
+
+    Functions that run in workers are looked up by name there, so workers must be able to import the package.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spanloom-"), "spanloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if not name.endswith(".pyc"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("spanloom", os.path.relpath(path, here)))
+    spark.sparkContext.addPyFile(archive)  # Spark serves it to all executors
+    return archive

@@ -356,3 +356,11 @@ def test_models_are_loaded_once_per_worker(spark, tmp_path):
 def test_tagger_batches_are_bounded():
     assert list(predict._batches([3, 3, 9, 1, 1, 1], 6)) == [(0, 2), (2, 3), (3, 6)]
     assert list(predict._batches([], 6)) == []
+
+
+def test_documents_are_written_as_files_of_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["a", "b c"], ["O", "B-SUB"]), (2, [], [])], "doc_id bigint, tokens array<string>, tags array<string>")
+    assert sinks.write_doc_files(docs, str(tmp_path / "d")) == 2
+    assert {p.name: p.read_text() for p in (tmp_path / "d").iterdir()} == {"1.txt": "a O\nb c B-SUB", "2.txt": ""}
+    row = readers.read_line_docs(spark, str(tmp_path / "d")).where("doc_id = '1'").first()
+    assert (row.tokens, row.tags) == (["a", "b c"], ["O", "B-SUB"])

@@ -1,11 +1,17 @@
 """Every registered query against its SQL counterpart, and the shape of the plans."""
 
+import os
+import subprocess
+import sys
+import zipfile
+
 import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, difference
 from spanloom.plans import fixtures, scoring
 from spanloom.plans.corpus import prepared_lines
+from spanloom.session import ship_package
 
 SQL = entry_points.oracle_sql()
 
@@ -49,3 +55,19 @@ def test_vocabulary_is_broadcast_and_scan_is_narrow(spark, sf_dir):
     plan = _plan(prepared_lines(notes, fixtures.spans(notes)))
     assert "BroadcastHashJoin" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "spanloom.llm", "corpus_pipeline"])
+def test_other_queries_don_t_need_the_corpus_operators(missing):
+    code = (f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; "
+            "print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in {**e.queries(), **e.oracle_sql()}))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    n, corpus = done.stdout.split()
+    assert int(n) > 80 and corpus == "False"
+
+
+def test_package_is_shipped_whole(spark):
+    with zipfile.ZipFile(ship_package(spark)) as archive:
+        names = set(archive.namelist())
+    assert {"spanloom/session.py", "spanloom/sources/blocks.py"} <= names and not any(n.endswith(".pyc") for n in names)
