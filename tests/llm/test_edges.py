@@ -57,6 +57,14 @@ def test_every_row_comes_out_once(spark, docs, labels, bench, name):
     assert sorted(key) == sorted(-1 if r[0] is None else r[0] for r in ROWS)
 
 
+def test_models_kept_as_tables_take_edge_rows(spark, docs, labels, bench, monkeypatch):
+    want = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(docs, labels).collect()}
+    monkeypatch.setattr(lm, "MODEL_ROWS", 0)
+    rows = lm.score_documents(docs, labels).collect()
+    assert len(rows) == len(ROWS) and {(r.doc_id, r.n_tokens) for r in rows} == set(want)
+    assert all(r.score == pytest.approx(want[r.doc_id, r.n_tokens]) for r in rows)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables_give_empty_results(spark, docs, labels, bench, name):
     none = [x.where("1 = 0") for x in (docs, labels, bench)]
