@@ -211,8 +211,8 @@ def test_vocabulary_has_its_literal_values():
     assert vocab.RUN_SUFFIXES == tuple("TIM SUB ROU UNI MEAS DEC RTIM".split())
     assert vocab.LISTED_STRIP == tuple("B-SUB B-DEC B-ROU B-TIM B-UNI I-ROU I-TIM I-SUB B-MEAS B-RTIM".split())
     assert (vocab.MODES, vocab.GRADES) == (("type", "partial", "exact", "strict"), ("COR", "INC", "PAR", "MIS", "SPU"))
-    assert {a for a, b in vocab.DISPLAY_PRED.items() if b[:2] + b[3:] != a} == {"B-RTIM"} and vocab.DISPLAY_PRED["B-RTIM"] == "B-RTIM"
-    assert vocab.DISPLAY_GOLD["I-SUB"] == "I-ISUB" and "I-ROU" not in vocab.DISPLAY_GOLD
+    assert {a for a, b in vocab.DISPLAY_GOLD.items() if b[:2] + b[3:] != a} == {"B-RTIM"} and vocab.DISPLAY_GOLD["B-RTIM"] == "B-RTIM"
+    assert vocab.DISPLAY_PRED["I-SUB"] == "I-ISUB" and "I-ROU" not in vocab.DISPLAY_PRED
     sizes = pd.Series(list(vocab.CONCEPT_LABELS.values())).value_counts().to_dict()
     assert sizes == {"TIM": 26, "UNI": 7, "MEAS": 7, "ROU": 6, "MED": 1, "PRO": 1, "RTIM": 1}
     assert vocab.CONCEPT_LABELS["258773002 |Milliliter (qualifier value)|"] == "MEAS" and vocab.CONCEPT_LABELS["RTIM"] == "RTIM"
