@@ -15,8 +15,8 @@ def training_texts(docs: DataFrame, targets: DataFrame, limit: int, max_chars: i
     ``targets`` has ``id_col, target``; null targets are left out, of several for one id the
     least counts.  ``balanced`` takes turns over the targets, so rare ones are not missed.
     Texts that are null, empty or over ``max_chars`` are not trained on; of several texts of one id
-    one counts, chosen by its hash.  So there are at most ``limit`` rows, whatever the ids.  The chosen ids are
-    broadcast to one scan of the texts.
+    one counts, chosen by its hash.  So there are at most ``limit`` rows, whatever the ids.  The chosen ids, and
+    the hashes of their texts, are broadcast to scans of the texts; no text moves that is not chosen.
     """
     known = targets.where("target is not null").groupBy(id_col).agg(F.min("target").alias("target"))
 
@@ -34,7 +34,8 @@ def training_texts(docs: DataFrame, targets: DataFrame, limit: int, max_chars: i
         size = known.agg(F.count("*").alias("size")).scalar()
         ranked = known.where(share(id_col) * size < 2 * limit).withColumn("turn", F.lit(0))
     chosen = ranked.orderBy("turn", F.xxhash64(id_col), id_col).limit(limit).select(id_col, "target")
-    texts = docs.select(id_col, F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars))
-    return (texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "target")
-            .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-            .select("text", "target").dropDuplicates())
+    # Two scans: the first finds one text of each chosen id by its hash, the second fetches it.
+    texts = (docs.select(id_col, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("pick"))
+             .where(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), id_col))
+    picks = texts.groupBy(id_col).agg(F.min("pick").alias("pick"))
+    return texts.join(F.broadcast(picks), [id_col, "pick"]).select("text", "target").dropDuplicates()
