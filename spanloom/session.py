@@ -41,9 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_staged: list[str] = []  # paths this process handed out
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; see ``remove_staged``."""
+    _staged.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _staged[-1]
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete what this process staged, once no result that reads it is needed any more; returns how many paths."""
+    files, configuration = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _staged:
+        path = files.Path(_staged.pop())
+        removed += path.getFileSystem(configuration).delete(path, True)
+    return removed
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

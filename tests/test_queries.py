@@ -11,7 +11,7 @@ import __spark_entry__ as entry_points
 from compare import connect, difference
 from spanloom.plans import fixtures, scoring
 from spanloom.plans.corpus import prepared_lines
-from spanloom.session import ship_package
+from spanloom.session import remove_staged, ship_package, stage
 
 SQL = entry_points.oracle_sql()
 
@@ -71,3 +71,11 @@ def test_package_is_shipped_whole(spark):
     with zipfile.ZipFile(ship_package(spark)) as archive:
         names = set(archive.namelist())
     assert {"spanloom/session.py", "spanloom/sources/blocks.py"} <= names and not any(n.endswith(".pyc") for n in names)
+
+
+def test_staged_tables_can_be_removed(spark):
+    remove_staged(spark)
+    kept = stage(spark.range(5), "numbers")
+    assert kept.count() == 5 and remove_staged(spark) == 1 and remove_staged(spark) == 0
+    with pytest.raises(Exception):
+        kept.count()
