@@ -110,7 +110,9 @@ def read_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
                     first, held, size = i + 1, [], 0
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*columns).schema)
-    return files.select(*columns).repartition(F.col("path")).mapInArrow(run, f"{schema}, content binary")
+    # A number of its own: paths are so few bytes that adaptive execution would put them all into one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(*columns).repartition(parts, "path").mapInArrow(run, f"{schema}, content binary")
 
 
 def write_files(files: DataFrame, root: str) -> int:

@@ -364,3 +364,12 @@ def test_documents_are_written_as_files_of_their_own(spark, tmp_path):
     assert {p.name: p.read_text() for p in (tmp_path / "d").iterdir()} == {"1.txt": "a O\nb c B-SUB", "2.txt": ""}
     row = readers.read_line_docs(spark, str(tmp_path / "d")).where("doc_id = '1'").first()
     assert (row.tokens, row.tags) == (["a", "b c"], ["O", "B-SUB"])
+
+
+def test_contents_are_read_by_several_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"n{i}").mkdir()
+        (tmp_path / f"n{i}" / "t.txt").write_text(f"note {i}")
+    notes = readers.read_notes(spark, str(tmp_path))
+    assert notes.rdd.getNumPartitions() == 8
+    assert {r.doc_id: r.text for r in notes.collect()} == {f"n{i}": f"note {i}" for i in range(40)}
