@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import explode_at, inline_rows, let, running_total
-from spanloom.functions.text import (cut, is_number, pieces, plain_spaces, plain_words, substring_span,
-                                     word_pieces, words)
+from spanloom.functions.arrays import explode_at, inline_rows, running_total
+from spanloom.functions.batches import lines_of
+from spanloom.functions.text import cut, is_number, pieces, substring_span, word_pieces, words
 from spanloom.operators.ordered import chunk_of, running_before, value_before
 
 PIECE_CHARS = 1 << 12  # characters of a note in one row of ``note_pieces``, and of a cell
@@ -47,48 +47,13 @@ def concept_parents(spans: DataFrame) -> DataFrame:
     return spans.join(table.select("concept", "parent"), "concept", "left")
 
 
-def segment_tags(count: Column, label: Column) -> Column:
-    """Tags of ``count`` words: O without a label, else B- for the first word and I- after."""
-    return (F.when(label.isNull(), F.array_repeat(F.lit(vocab.OUTSIDE), count))
-            .when(count == 0, F.array().cast("array<string>"))
-            .otherwise(F.concat(F.array(F.concat(F.lit("B-"), label)),
-                                F.array_repeat(F.concat(F.lit("I-"), label), count - 1))))
-
-
 def _segment(begin: Column, end: Column, label: Column) -> Column:
     return F.struct(begin.cast("int").alias("b"), end.cast("int").alias("e"), label.alias("l"))
 
 
-def segments(spans: Column, length: Column) -> Column:
-    """Gap, span, gap, span, …, tail.
-
-    A gap reaches from the end of the span before (not from the furthest end so
-    far) to the begin of the span, so overlapping spans repeat text.
-    """
-    none = F.lit(None).cast("string")
-    inner = F.flatten(F.transform(spans, lambda s, i: F.array(
-        _segment(F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), s["begin"], none),
-        _segment(s["begin"], s["end"], s["label"]))))
-    last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
-    return F.concat(inner, F.array(_segment(last, length, none)))
-
-
 def line_arrays(text: Column, spans: Column) -> Column:
-    """``struct<tokens, tags>``: all lines of a note from its text and its sorted spans.
-
-    Linear in the text length.  Lines are kept as two parallel arrays: array
-    lambdas are interpreted, and building a struct per line costs more than all
-    the rest.
-    """
-    def lines(segs: Column, seg_words: Column) -> Column:
-        return F.struct(
-            F.flatten(seg_words).alias("tokens"),
-            F.flatten(F.zip_with(seg_words, segs, lambda w, g: segment_tags(F.size(w), g["l"]))).alias("tags"))
-
-    return let(pieces(plain_spaces(text)), lambda parts: let(
-        let(spans, lambda bound: segments(bound, F.length(text))), lambda segs: let(
-            F.transform(segs, lambda g: plain_words(cut(parts, g["b"], g["e"]))),
-            lambda seg_words: lines(segs, seg_words))))
+    """``struct<tokens, tags>``: all lines of a note from its text and its sorted spans; see ``lines_of``."""
+    return lines_of(text, spans["begin"], spans["end"], spans["label"], vocab.OUTSIDE)
 
 
 def gather_spans(labelled: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom import vocab
 from spanloom.functions.arrays import explode_at, let
+from spanloom.functions.batches import without_repeats
 from spanloom.functions.text import entity_and_tag, is_blank
 from spanloom.operators.ordered import CHUNK_LINES, chunk_of, running_before, with_halo
 
@@ -23,36 +24,14 @@ def _watched(slot: Column | int) -> Column | bool:
     return (slot % 4 == 0) | (slot % 4 == 3)
 
 
-def kept_lines(tokens: Column, tags: Column, look_back: int) -> Column:
-    """``array<boolean>``: false for labelled lines that repeat the token of a labelled line at a
-    watched slot.
-
-    The buffer holds the last ``look_back`` input lines of the document (fewer at
-    its start), dropped ones included.
-    """
-    slots = [j for j in range(look_back) if _watched(j)]
-
-    def repeats(ws: Column, ts: Column, i: Column) -> Column:
-        base = F.greatest(i - look_back, F.lit(0))
-        hits = [(base + j < i) & (F.get(ts, base + j) != vocab.OUTSIDE) & (F.get(ws, base + j) == F.get(ws, i))
-                for j in slots]
-        return reduce(lambda a, b: a | b, hits)
-
-    return let(tokens, lambda ws: let(tags, lambda ts: F.transform(
-        ts, lambda t, i: F.when(t == vocab.OUTSIDE, F.lit(True)).otherwise(
-            ~F.coalesce(repeats(ws, ts, i), F.lit(False))))))
-
-
 def dedupe_docs(docs: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES) -> DataFrame:
-    """Apply the passes to ``doc_id, tokens, tags`` rows, each on the output of the one before."""
-    def apply(df: DataFrame, look_back: int) -> DataFrame:
-        def kept(column: str) -> Column:
-            return let(F.col("_keep"), lambda keep: F.filter(column, lambda _, i: F.get(keep, i)))
+    """Apply the passes to ``doc_id, tokens, tags`` rows, each on the output of the one before.
 
-        flagged = df.withColumn("_keep", kept_lines(F.col("tokens"), F.col("tags"), look_back))
-        return flagged.withColumns({"tokens": kept("tokens"), "tags": kept("tags")}).drop("_keep")
-
-    return reduce(apply, passes, docs)
+    A pass drops labelled lines that repeat the token of a labelled line at a watched slot.  The buffer holds
+    the last ``look_back`` input lines of the document (fewer at its start), dropped ones included.
+    """
+    kept = docs.withColumn("_kept", without_repeats(F.col("tokens"), F.col("tags"), passes, vocab.OUTSIDE))
+    return kept.withColumns({c: F.col(f"_kept.{c}") for c in ("tokens", "tags")}).drop("_kept")
 
 
 def renumber(lines: DataFrame, chunk: int = CHUNK_LINES) -> DataFrame:

@@ -2,44 +2,31 @@
 
 Characters beyond the basic plane take two units.  A note's index holds the places of these characters, in
 units and in order; the rank of an offset among them, found by bisection, is what it has to be lowered by.  Notes
-without such characters have no index, and spans meet the index, never the text.
+without such characters have no index.  The spans of a note meet its index as one row, never the text, so an index
+is not repeated for every span.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.arrays import running_total
+from spanloom.functions.arrays import explode_at
+from spanloom.functions.batches import lowered, wide_places
 
 _WIDE = r"[\x{10000}-\x{10FFFF}]"
 
 
-def wide_places(text: Column) -> Column:
-    """``array<bigint>``: the places, in UTF-16 units, of the characters that take two."""
-    upto = F.regexp_extract_all(text, F.lit(rf"(?s)[^\x{{10000}}-\x{{10FFFF}}]*{_WIDE}"), F.lit(0))
-    ends = running_total(F.transform(upto, lambda x: F.length(x).cast("bigint")))
-    return F.transform(ends, lambda end, i: end - 1 + i)
-
-
 def wide_index(notes: DataFrame) -> DataFrame:
     """``doc_id, places`` of the notes that need an index."""
     return notes.where(F.rlike("text", F.lit(_WIDE))).select("doc_id", wide_places(F.col("text")).alias("places"))
 
 
-def rank(value: Column, ordered: Column) -> Column:
-    """How many elements of an ordered array are smaller than ``value``, by bisection."""
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
-
-    def halve(at: Column, _: Column) -> Column:
-        middle = F.shiftright(at["low"] + at["high"], 1)
-        smaller = F.get(ordered, middle) < value
-        return (F.when(at["low"] >= at["high"], at)
-                .when(smaller, F.struct((middle + 1).alias("low"), at["high"].alias("high")))
-                .otherwise(F.struct(at["low"].alias("low"), middle.alias("high"))))
-
-    whole = F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high"))
-    return F.aggregate(steps, whole, halve, lambda at: at["low"])
+def by_doc(spans: DataFrame) -> DataFrame:
+    """``doc_id, spans``: the rows of a note as one array of structs; rows without a note stay single."""
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+    rest = F.struct(*[c for c in spans.columns if c != "doc_id"])
+    return spans.groupBy("doc_id", alone).agg(F.collect_list(rest).alias("spans")).drop("_alone")
 
 
 def from_utf16(spans: DataFrame, notes: DataFrame, *columns: str) -> DataFrame:
@@ -47,10 +34,12 @@ def from_utf16(spans: DataFrame, notes: DataFrame, *columns: str) -> DataFrame:
 
     An offset inside a character that takes two units becomes that character's own; null stays null.
     """
-    indexed = spans.join(wide_index(notes), "doc_id", "left")
-
-    def mapped(name: str) -> Column:
-        kind = spans.schema[name].dataType
-        return F.when(F.col("places").isNull(), F.col(name)).otherwise(F.col(name) - rank(F.col(name), F.col("places"))).cast(kind)
-
-    return indexed.withColumns({c: mapped(c) for c in columns or ("begin", "end")}).select(spans.columns)
+    columns = columns or ("begin", "end")
+    indexed = by_doc(spans).join(wide_index(notes), "doc_id", "left")
+    mapped = indexed.select("doc_id", "spans", *[lowered(F.col(f"spans.{c}").cast("array<bigint>"), F.col("places")).alias(f"_{c}")
+                                                 for c in columns])
+    rows = explode_at(mapped, ["doc_id", *[f"_{c}" for c in columns]], "spans", "_at", "_span")
+    return rows.select(*[
+        F.col("doc_id") if c == "doc_id" else
+        F.get(f"_{c}", F.col("_at")).cast(spans.schema[c].dataType).alias(c) if c in columns else F.col(f"_span.{c}")
+        for c in spans.columns])

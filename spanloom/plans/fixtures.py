@@ -6,11 +6,14 @@ the same rows.  All of it happens inside the document row.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.arrays import explode_at, inline_rows, let
+from spanloom.functions.arrays import explode_at
+from spanloom.functions.batches import word_places
 from spanloom.functions.text import words, words_with_offsets
 from spanloom.sources.listing import write_files
 from spanloom.sources.readers import SPAN_FILE
@@ -37,24 +40,14 @@ def note_tokens(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, ann_id, begin, end, concept``: spans of 1 to 6 tokens that sometimes overlap."""
-    doc = F.col("doc_id")
-    table = vocab.literal_array(CONCEPTS)
-
-    def pick(tokens: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1),
-                          lambda p: ((doc * 31 + p * 17) % 23 < 3) & (F.size(tokens) > 0))
-        return F.transform(starts, lambda p: let(
-            F.get(tokens, F.least(p + ((doc + p) % 6).cast("int"), F.size(tokens) - 1)),
-            lambda end: F.struct(
-                p.cast("bigint").alias("ann_id"),
-                F.get(tokens, p)["begin"].alias("begin"),
-                (end["begin"] + F.length(end["token"])).alias("end"),
-                ((doc * 7 + p) % len(CONCEPTS)).cast("int").alias("concept_ix"))))
-
-    return (inline_rows(docs, ["doc_id"],
-                        let(words_with_offsets(F.col("text")), pick), "ann_id")
-            .select("doc_id", "ann_id", "begin", "end",
-                    F.element_at(table, F.col("concept_ix") + 1).alias("concept")))
+    doc, p, ends = F.col("doc_id"), F.col("_p"), F.col("_w.ends")
+    n = F.size(ends)
+    found = docs.select("doc_id", word_places(F.col("text")).alias("_w"))
+    starts = explode_at(found, ["doc_id", "_w"], F.when(n > 0, F.sequence(F.lit(0), n - 1)), "_i", "_p")
+    return starts.where((doc * 31 + p * 17) % 23 < 3).select(
+        "doc_id", p.cast("bigint").alias("ann_id"), F.get("_w.begins", p).alias("begin"),
+        F.get(ends, F.least(p + ((doc + p) % 6).cast("int"), n - 1)).alias("end"),
+        F.element_at(vocab.literal_array(CONCEPTS), ((doc * 7 + p) % len(CONCEPTS)).cast("int") + 1).alias("concept"))
 
 
 def _gold(doc: Column, pos: Column) -> Column:
@@ -126,6 +119,19 @@ def wide_notes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.translate("text", "e", "\U0001F600"))
 
 
-def utf16_offset(text: Column, offset: Column) -> Column:
-    """An offset in UTF-16 units: half the bytes that the text before it takes in that encoding."""
-    return (F.length(F.encode(F.substring(text, F.lit(1), offset), "UTF-16BE")) / 2).cast("int")
+def utf16_spans(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, ann_id, begin, end`` with offsets in UTF-16 units, counted once for all spans of a text."""
+    def units(texts: pa.Array, offsets: pa.Array) -> pa.Array:
+        found = []
+        for text, at in zip(texts, offsets):
+            points = np.frombuffer(text.as_py().encode("utf-32-le"), "<u4")
+            upto = np.concatenate([[0], np.cumsum(1 + (points > 0xFFFF))])
+            found.append(upto[np.clip(at.values.to_numpy(), 0, len(points))])
+        return pa.array(found, pa.list_(pa.int32()))
+
+    counted = F.arrow_udf(units, "array<int>")
+    texts = rows.groupBy("doc_id").agg(F.collect_list(F.struct("ann_id", "begin", "end")).alias("_s")).join(docs, "doc_id")
+    placed = texts.select("doc_id", "_s", *[counted(F.col("text"), F.col(f"_s.{c}")).alias(c) for c in ("begin", "end")])
+    at = F.col("_at")
+    return explode_at(placed, ["doc_id", "begin", "end"], "_s", "_at", "_x").select(
+        "doc_id", "_x.ann_id", F.get("begin", at).alias("begin"), F.get("end", at).alias("end"))

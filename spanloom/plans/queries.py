@@ -570,9 +570,7 @@ def utf16_spans(spark, sf):
     """Offsets counted in UTF-16 units, on notes with characters beyond the basic plane, back to characters."""
     docs, spans = _corpus(spark, sf)
     wide = fixtures.wide_notes(docs)
-    units = spans.join(wide, "doc_id").select(
-        "doc_id", "ann_id", *[fixtures.utf16_offset(F.col("text"), F.col(c)).alias(c) for c in ("begin", "end")])
-    return offsets.from_utf16(units, wide).select("doc_id", "ann_id", F.col("begin").alias("b"), F.col("end").alias("e"))
+    return offsets.from_utf16(fixtures.utf16_spans(spans, wide), wide).select("doc_id", "ann_id", F.col("begin").alias("b"), F.col("end").alias("e"))
 
 
 def packed_lines(spark, sf):
