@@ -166,39 +166,43 @@ def lines_of(text: Column, begins: Column, ends: Column, labels: Column, outside
 def codes_of(values: pa.Array) -> tuple[np.ndarray, list[str]]:
     """A number for each distinct value, -1 for null, and the values."""
     encoded = values.dictionary_encode()
-    return encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_pylist()
+    return encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist()
 
 
-def _kept(tokens: pa.Array, tags: pa.Array, look_back: int, outside: str) -> pa.Array:
-    sizes = sizes_of(tags)
-    place = np.arange(sizes.sum()) - np.repeat(before(sizes)[:-1], sizes)
-    token, _ = codes_of(tokens.flatten())
-    tag, names = codes_of(tags.flatten())
-    labelled = tag != (names.index(outside) if outside in names else -2)
-    known = labelled & (tag >= 0)  # a missing tag is none that others repeat
+def _repeats(place: np.ndarray, token: np.ndarray, tag: np.ndarray, outside: int, look_back: int) -> np.ndarray:
+    """Labelled lines that repeat the token of a labelled line at a watched slot; ``place`` counts inside the document."""
+    labelled = tag != outside
+    known = labelled & (tag >= 0) & (token >= 0)  # a missing tag or token is none that others repeat
     oldest = np.maximum(place - look_back, 0)
     repeated = np.zeros(len(place), bool)
     for distance in range(1, min(look_back, len(place) - 1) + 1):
-        slot = place - distance - oldest
+        slot = place[distance:] - distance - oldest[distance:]
         watched = (slot >= 0) & ((slot % 4 == 0) | (slot % 4 == 3))
-        repeated[distance:] |= (watched[distance:] & known[:-distance] & (token[distance:] >= 0)
-                                & (token[distance:] == token[:-distance]))
-    keep = ~(repeated & labelled)
-    offsets, mask = before(keep)[before(sizes)], pa.array(keep)
-    null = tags.is_null()
-    return pa.StructArray.from_arrays([lists(offsets, c.flatten().filter(mask), null) for c in (tokens, tags)], ["tokens", "tags"])
-
-
-def without_repeats(tokens: Column, tags: Column, passes: tuple[int, ...], outside: str) -> Column:
+        repeated[distance:] |= watched & known[:-distance] & (token[distance:] == token[:-distance])
+    return repeated & labelled
+
+
+def _kept(lines: pa.Array, passes: tuple[int, ...], outside: str) -> pa.Array:
+    tokens, tags = lines.flatten()
+    sizes, null = sizes_of(tags), tags.is_null()
+    flat = [tokens.flatten(), tags.flatten()]
+    token = codes_of(flat[0])[0]
+    tag, names = codes_of(flat[1])
+    rest = np.arange(len(tag))  # the lines that are left
+    for look_back in passes:
+        place = (np.arange(len(rest)) - np.repeat(before(sizes)[:-1], sizes)).astype(np.int32)
+        keep = ~_repeats(place, token[rest], tag[rest], names.index(outside) if outside in names else -2, look_back)
+        sizes = np.diff(before(keep)[before(sizes)])
+        rest = rest[keep]
+    return pa.StructArray.from_arrays([lists(before(sizes), c.take(pa.array(rest)), null) for c in flat], ["tokens", "tags"])
+
+
+def without_repeats(lines: Column, passes: tuple[int, ...], outside: str) -> Column:
     """``struct<tokens, tags>`` after each look-back in turn; see ``lines.dedupe_docs`` for the rule."""
-    def run(tokens: pa.Array, tags: pa.Array) -> pa.Array:
-        def all_passes(tokens: pa.Array, tags: pa.Array) -> pa.Array:
-            for look_back in passes:
-                tokens, tags = _kept(tokens, tags, look_back, outside).flatten()
-            return pa.StructArray.from_arrays([tokens, tags], ["tokens", "tags"])
-        return by_stretch(all_passes, sizes_of(tags), tokens, tags)
-
-    return F.arrow_udf(run, LINES)(tokens, tags)
+    def run(lines: pa.Array) -> pa.Array:
+        return by_stretch(lambda x: _kept(x, passes, outside), sizes_of(lines.field(1)), lines)
+
+    return F.arrow_udf(run, LINES)(lines)
 
 
 def _wide_places(texts: pa.Array) -> pa.Array:

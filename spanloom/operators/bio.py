@@ -63,11 +63,11 @@ def gather_spans(labelled: DataFrame) -> DataFrame:
     """
     placed = labelled.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
     return placed.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("begin", "end", "ann_id", "label"))).alias("spans"))
+        F.sort_array(F.collect_list(F.struct("begin", "end", "ann_id", "label"))).alias("spans"))
 
 
-def bio_docs(notes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``doc_id, tokens, tags``: one row per note, notes without spans included.
+def line_docs(notes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``doc_id, lines``: a ``struct<tokens, tags>`` per note, notes without spans included.
 
     Only the narrow span rows are grouped; the text meets them in a one-to-one
     join and everything after that stays inside the row.
@@ -75,10 +75,13 @@ def bio_docs(notes: DataFrame, labelled: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<begin:int,end:int,ann_id:bigint,label:string>>")
     narrow = labelled.select("doc_id", F.col("begin").cast("int"), F.col("end").cast("int"),
                              F.col("ann_id").cast("bigint"), "label")
-    return (notes.join(gather_spans(narrow), "doc_id", "left")
-            .select("doc_id", line_arrays(F.coalesce("text", F.lit("")),
-                                          F.coalesce("spans", empty)).alias("_lines"))
-            .select("doc_id", "_lines.*"))
+    return notes.join(gather_spans(narrow), "doc_id", "left").select(
+        "doc_id", line_arrays(F.coalesce("text", F.lit("")), F.coalesce("spans", empty)).alias("lines"))
+
+
+def bio_docs(notes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``doc_id, tokens, tags``: one row per note; see ``line_docs``."""
+    return line_docs(notes, labelled).select("doc_id", "lines.*")
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:

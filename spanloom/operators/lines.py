@@ -30,10 +30,15 @@ def dedupe_docs(docs: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES) ->
     A pass drops labelled lines that repeat the token of a labelled line at a watched slot.  The buffer holds
     the last ``look_back`` input lines of the document (fewer at its start), dropped ones included.
     """
-    kept = docs.withColumn("_kept", without_repeats(F.col("tokens"), F.col("tags"), passes, vocab.OUTSIDE))
+    kept = docs.withColumn("_kept", dedupe_struct(F.struct("tokens", "tags"), passes))
     return kept.withColumns({c: F.col(f"_kept.{c}") for c in ("tokens", "tags")}).drop("_kept")
 
 
+def dedupe_struct(lines: Column, passes: tuple[int, ...] = LOOK_BACK_PASSES) -> Column:
+    """The same on a ``struct<tokens, tags>``; on one made in Arrow batches, lines don't leave the batch in between."""
+    return without_repeats(lines, passes, vocab.OUTSIDE)
+
+
 def renumber(lines: DataFrame, chunk: int = CHUNK_LINES) -> DataFrame:
     """Close the gaps of ``line_no`` (1, 2, 3, … per document)."""
     return (running_before(lines, "doc_id", chunk_of(F.col("line_no"), chunk), ["line_no"],

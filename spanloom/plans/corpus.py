@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.bio import bio_docs, bio_lines_unbounded, explode_lines, label_spans
-from spanloom.operators.lines import LOOK_BACK_PASSES, dedupe_docs, dedupe_lines_chain, window_docs
+from spanloom.operators.bio import bio_lines_unbounded, explode_lines, label_spans, line_docs
+from spanloom.operators.lines import LOOK_BACK_PASSES, dedupe_lines_chain, dedupe_struct, window_docs
 from spanloom.operators.split import split_cuts, split_of
 
 
 def _cleaned(notes: DataFrame, labelled: DataFrame, passes: tuple[int, ...]) -> DataFrame:
     """``doc_id, tokens, tags``: tagged and de-duplicated inside the document row."""
-    return dedupe_docs(bio_docs(notes, labelled), passes)
+    kept = line_docs(notes, labelled).select("doc_id", dedupe_struct(F.col("lines"), passes).alias("lines"))
+    return kept.select("doc_id", "lines.*")
 
 
 def prepared_lines(notes: DataFrame, spans: DataFrame, passes: tuple[int, ...] = LOOK_BACK_PASSES) -> DataFrame:
