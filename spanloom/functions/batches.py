@@ -113,8 +113,11 @@ def _word_places(text: pa.Array) -> pa.Array:
 
 
 def word_places(text: Column) -> Column:
-    """``struct<begins, ends>``: where the words of a text begin and end, in characters from 0; null arrays for null."""
-    return F.arrow_udf(_word_places, "begins array<int>, ends array<int>")(text)
+    """``struct<begins, ends>``: where the words of a text begin and end, in characters from 0; null arrays for null.
+
+    Called nondeterministic, which keeps a filter on the places from being pushed below and evaluating it twice.
+    """
+    return F.arrow_udf(_word_places, "begins array<int>, ends array<int>").asNondeterministic()(text)
 
 
 def _lines(texts: pa.Array, begins: pa.Array, ends: pa.Array, labels: pa.Array, outside: str) -> pa.Array:
@@ -236,3 +239,72 @@ def lowered(values: Column, ordered: Column) -> Column:
         return lists(at, pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64(), mask=mask), values.is_null())
 
     return F.arrow_udf(run, "array<bigint>")(values, ordered)
+
+
+def _run_places(mode: str, code: np.ndarray, names: list[str], first: np.ndarray, outside: str,
+                suffixes: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows begin a run (of merging or single rows), and which merge; ``first`` marks the first row of a sentence."""
+    def of(values: list, null) -> np.ndarray:
+        return np.array([*values, null])[code]  # -1, a missing type, is the last
+
+    starts = first.copy()
+    if mode == "suffix":
+        keys = [x[-3:] for x in names]
+        key = of([keys.index(x) for x in keys], -1)
+        starts[1:] |= key[1:] != key[:-1]
+        listed = of([x.endswith(suffixes) for x in names], False)
+        whole = of([x in suffixes for x in keys], False)
+        ends_so = of([x in {y[-3:] for y in suffixes} for x in keys], False)
+        run = np.cumsum(starts) - 1
+        seen = np.cumsum(listed)
+        earlier = (seen - listed)[starts][run]  # listed types before the run
+        return starts, whole | (ends_so & (seen > earlier))
+    inside, out = of([x.startswith("I-") for x in names], False), of([x == outside for x in names], False)
+    classes = {x[2:]: i for i, x in enumerate(names)}
+    kind, null = of([classes[x[2:]] for x in names], -1), code < 0
+    goes_on = (inside[1:] & ~out[:-1] & (kind[1:] == kind[:-1])) | (out[1:] & out[:-1])
+    unknown = null[1:] | (null[:-1] & (inside[1:] | out[1:]))  # not told apart from the row before
+    starts[1:] |= ~goes_on & ~unknown
+    return starts, ~out[starts][np.cumsum(starts) - 1]
+
+
+def _merged(types: pa.Array, surfaces: pa.Array, mode: str, outside: str, suffixes: tuple[str, ...]) -> pa.Array:
+    sizes = sizes_of(types)
+    at, null, size = before(sizes), types.is_null(), int(sizes.sum())
+    if not size:
+        none = lists(at, pa.array([], pa.string()), null)
+        return pa.StructArray.from_arrays([none, none], ["types", "surfaces"])
+    code, names = codes_of(types.flatten())
+    words = surfaces.flatten()
+    first = np.zeros(size, bool)
+    first[at[:-1][sizes > 0]] = True
+    starts, merges = _run_places(mode, code, names, first, outside, suffixes)
+    head = merges & (starts | ~np.concatenate([[False], merges[:-1]]))
+    if mode == "suffix":
+        short, kept = [x[-3:] for x in names], np.array([*[not x.startswith("I-") for x in names], False])[code]
+    else:
+        short, kept = [x[2:] if x.startswith(("B-", "I-")) else x for x in names], np.ones(size, bool)
+    alone = ~merges & kept
+    type_at = np.where(head, len(names) + code, code)
+    out_types = pa.array([*names, *short], pa.string()).take(pa.array(type_at, mask=~(head | alone) | (code < 0)))
+
+    begin = np.flatnonzero(head)
+    bounds = np.append(np.flatnonzero(starts), size)
+    length = bounds[np.searchsorted(bounds, begin, "right")] - begin
+    begin, length = begin[length > 1], length[length > 1]
+    offsets = before(length)
+    inner = np.repeat(begin - offsets[:-1], length) + np.arange(offsets[-1])
+    there = words.is_valid().to_numpy(zero_copy_only=False)[inner]
+    joined = pa.compute.binary_join(lists(before(there)[offsets], words.take(pa.array(inner[there], pa.int64()))), " ")
+    word_at = np.arange(size)
+    word_at[begin] = size + np.arange(len(begin))
+    out_words = pa.concat_arrays([words, joined]).take(pa.array(word_at, mask=~(head | alone)))
+    return pa.StructArray.from_arrays([lists(at, out_types, null), lists(at, out_words, null)], ["types", "surfaces"])
+
+
+def merged_runs(types: Column, surfaces: Column, mode: str, outside: str, suffixes: tuple[str, ...]) -> Column:
+    """``struct<types, surfaces>`` of entities, aligned with the input; see ``entity_eval.merge_runs`` for the rules."""
+    def run(types: pa.Array, surfaces: pa.Array) -> pa.Array:
+        return by_stretch(lambda *c: _merged(*c, mode, outside, suffixes), sizes_of(types), types, surfaces)
+
+    return F.arrow_udf(run, "types array<string>, surfaces array<string>")(types, surfaces)

@@ -1,12 +1,15 @@
 """Functions on Arrow batches against plain loops, in stretches of any length."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
 
+from spanloom import vocab
 from spanloom.functions import batches
 from spanloom.operators import offsets
+from spanloom.plans import corpus, queries
 
 WORDS = ["a", "bb", "ยาน้ำ", "x😀y", "mg", "O", "é"]
 GAPS = [" ", "  ", "\n", " ", "\x1d", " ", "　", "\t"]
@@ -52,3 +55,31 @@ def test_utf16_offsets_meet_one_index_per_note(spark):
     want = [(1, i, i, min(i + 7, len(text))) for i in range(len(text))] + rows[-3:]
     assert got.columns == spans.columns and got.schema == spans.schema
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_tags_are_found_by_hashing(spark, sf_dir):
+    """Token rows are not sorted to find the last tag: their place is a number, and null ids come first."""
+    plan = _plan(queries.pairs_by_token(spark, sf_dir))
+    assert not re.search(r"SortAggregate\(key=\[token[^\]]*, side", plan)
+
+
+def test_lines_stay_in_the_batch(spark, sf_dir):
+    """One pass through Arrow makes the lines of a note and drops their repeats."""
+    plan = _plan(corpus.prepared_docs(*queries._corpus(spark, sf_dir)))
+    assert len(re.findall(r"ArrowEvalPython", plan)) == 2  # the places of the words, for the spans, is the other
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 20])
+def test_merged_runs_of_missing_types(monkeypatch, stretch):
+    monkeypatch.setattr(batches, "STRETCH", stretch)
+    types = pa.array([["B-TIM", "I-TIM", "O", "B-MEAS", "I-MEAS"], None, [], ["EAS", "B-MEAS", None, "I-PRO"]], pa.list_(pa.string()))
+    words = pa.array([["a", "b", "c", "d", None], None, [], ["a", "b", "c", "d"]], pa.list_(pa.string()))
+    got = batches.by_stretch(lambda *c: batches._merged(*c, "suffix", "O", vocab.RUN_SUFFIXES), batches.sizes_of(types), types, words)
+    assert got.to_pylist() == [
+        {"types": ["TIM", None, "O", "EAS", None], "surfaces": ["a b", None, "c", "d", None]},
+        {"types": None, "surfaces": None}, {"types": [], "surfaces": []},
+        {"types": ["EAS", "EAS", None, None], "surfaces": ["a", "b", None, None]}]
