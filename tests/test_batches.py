@@ -83,3 +83,8 @@ def test_merged_runs_of_missing_types(monkeypatch, stretch):
         {"types": ["TIM", None, "O", "EAS", None], "surfaces": ["a b", None, "c", "d", None]},
         {"types": None, "surfaces": None}, {"types": [], "surfaces": []},
         {"types": ["EAS", "EAS", None, None], "surfaces": ["a", "b", None, None]}]
+
+
+def test_a_pair_is_graded_once(spark, sf_dir):
+    """Texts are compared for overlap in two places of the plan at most, both ways each, not once per mode."""
+    assert _plan(queries.graded_pairs(spark, sf_dir)).count("Contains(") <= 4
