@@ -71,8 +71,9 @@ def _batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def tag_sentences(sentences: DataFrame, load: Callable[[], Tagger], batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """``doc_id, sent_id, prediction ARRAY<MAP<token, tag>>`` from a caller's tagger.
+def tag_arrays(sentences: DataFrame, load: Callable[[], Tagger], batch_tokens: int = BATCH_TOKENS,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, sent_id``, the columns ``keep``, ``tokens`` and, from a caller's tagger, ``tags``.
 
     ``load()`` runs once per worker process, see ``model_in_worker``, and returns ``fn(sentences) -> tags per
     sentence``, one tag per token of ``tokens``; another number of tags is an error.  A call gets sentences of
@@ -93,9 +94,14 @@ def tag_sentences(sentences: DataFrame, load: Callable[[], Tagger], batch_tokens
             yield pa.record_batch([*batch.columns, pa.array(tags, pa.list_(pa.string()))], names=[*batch.schema.names, "tags"])
 
     fields = {f.name: f.dataType.simpleString() for f in sentences.schema}
-    schema = ", ".join(f"{k} {fields[k]}" for k in _KEYS) + ", tokens array<string>, tags array<string>"
-    return (sentences.select(*_KEYS, "tokens").mapInArrow(run, schema)
-            .select(*_KEYS, F.zip_with("tokens", "tags", lambda w, t: F.create_map(w, t)).alias("prediction")))
+    schema = ", ".join(f"{k} {fields[k]}" for k in (*_KEYS, *keep)) + ", tokens array<string>, tags array<string>"
+    return sentences.select(*_KEYS, *keep, "tokens").mapInArrow(run, schema)
+
+
+def tag_sentences(sentences: DataFrame, load: Callable[[], Tagger], batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """``doc_id, sent_id, prediction ARRAY<MAP<token, tag>>`` from a caller's tagger; see ``tag_arrays``."""
+    return tag_arrays(sentences, load, batch_tokens).select(
+        *_KEYS, F.zip_with("tokens", "tags", lambda w, t: F.create_map(w, t)).alias("prediction"))
 
 
 def flatten_predictions(predictions: DataFrame) -> DataFrame:

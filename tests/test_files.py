@@ -198,6 +198,18 @@ def test_token_files_read_in_blocks(spark, tmp_path, block_size, monkeypatch, si
     assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 3
 
 
+def test_token_files_are_parsed_once(spark, tmp_path):
+    """Lines go through Arrow when the sentences are staged; what comes after reads those, and no row is joined to itself."""
+    (tmp_path / "t.conll").write_bytes(b"a B-SUB\xff\nb\n\n \r\nc O\n")
+    rows = readers.read_sentences(spark, str(tmp_path / "t.conll"))
+    tagged = scoring.tagged_by(rows, lambda: lambda s: [["O"] * len(t) for t in s])
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (rows, tagged)]
+    assert "MapInArrow" not in plans[0] and "FileScan text" not in plans[0]
+    assert "FileScan text" not in plans[1] and "SortMergeJoin" not in plans[1] and plans[1].count("MapInArrow") == 1
+    assert sorted((r.sent_id, r.tokens, r.gold, r.pred) for r in tagged.collect()) == [
+        (0, ["a", "b"], ["B-SUB\ufffd", None], ["O", "O"]), (1, ["c"], ["O"], ["O"])]
+
+
 @pytest.mark.parametrize("size,broadcast", [(33, True), (200, False), (1 << 20, True)])
 def test_nested_json_read_in_blocks(spark, tmp_path, block_size, monkeypatch, size, broadcast):
     rnd = random.Random(size)
