@@ -148,20 +148,20 @@ def class_scores(counts: DataFrame, labels: tuple[str, ...] | None = None,
     """
     hit = F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
-    sides = F.array(
+    sides = [
         F.struct(F.col("true").alias("tag"), hit.alias("tp"), zero.alias("predicted"),
                  F.col("n").alias("support")),
         F.struct(F.col("pred").alias("tag"), zero.alias("tp"), F.col("n").alias("predicted"),
-                 zero.alias("support")))
-    rows = counts.select(*by, F.inline(sides)).where(F.col("tag").isNotNull())
+                 zero.alias("support"))]
+    if labels is not None and by:  # every value of ``by`` gets every label, without counting a second time
+        sides += [F.struct(F.lit(x).alias("tag"), *[zero.alias(c) for c in ("tp", "predicted", "support")]) for x in labels]
+    rows = counts.select(*by, F.inline(F.array(*sides))).where(F.col("tag").isNotNull())
     if labels is not None:
-        listed = counts.sparkSession.range(1).select(
-            F.explode(vocab.literal_array(labels)).alias("tag"),
-            zero.alias("tp"), zero.alias("predicted"), zero.alias("support"))
-        if by:  # every value of ``by`` gets every label
-            listed = counts.select(*by).distinct().select(*by, F.explode(vocab.literal_array(labels)).alias("tag"),
-                                                          *[zero.alias(c) for c in ("tp", "predicted", "support")])
-        rows = rows.where(F.col("tag").isin(*labels)).unionByName(listed)
+        rows = rows.where(F.col("tag").isin(*labels))
+        if not by:
+            rows = rows.unionByName(counts.sparkSession.range(1).select(
+                F.explode(vocab.literal_array(labels)).alias("tag"),
+                zero.alias("tp"), zero.alias("predicted"), zero.alias("support")))
     sums = rows.groupBy(*by, "tag").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")])
     scored = (sums.withColumn("precision", _ratio(F.col("tp"), F.col("predicted")))
               .withColumn("recall", _ratio(F.col("tp"), F.col("support"))))

@@ -9,7 +9,7 @@ import pytest
 from spanloom import vocab
 from spanloom.functions import batches
 from spanloom.operators import offsets
-from spanloom.plans import corpus, queries
+from spanloom.plans import corpus, fixtures, queries
 
 WORDS = ["a", "bb", "ยาน้ำ", "x😀y", "mg", "O", "é"]
 GAPS = [" ", "  ", "\n", " ", "\x1d", " ", "　", "\t"]
@@ -88,3 +88,20 @@ def test_merged_runs_of_missing_types(monkeypatch, stretch):
 def test_a_pair_is_graded_once(spark, sf_dir):
     """Texts are compared for overlap in two places of the plan at most, both ways each, not once per mode."""
     assert _plan(queries.graded_pairs(spark, sf_dir)).count("Contains(") <= 4
+
+
+@pytest.mark.parametrize("variant", [0, 2])
+def test_tags_of_sentences_are_those_of_their_tokens(spark, variant):
+    """The formulas on batches agree with those on rows, for missing and negative ids too."""
+    docs = spark.createDataFrame([(i, t) for i, t in zip([*range(-30, 20), None, None, 7, 10 ** 12], [" ".join("ab" * 70), *_texts(3), *_texts(4)])],
+                                 "doc_id bigint, text string")
+    rows = fixtures.tagged(docs, variant)
+    assert not re.search(r"transform\(|aggregate\(", _plan(rows))
+    got = [(r.doc_id, r.sent_id, i, *x) for r in rows.collect() for i, x in enumerate(zip(r.tokens, r.gold, r.pred))]
+    want = [tuple(r) for r in fixtures.tagged_tokens(docs, variant).collect()]
+    assert len(got) > 1000 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_classes_are_counted_once_for_all_models(spark, sf_dir):
+    plan = _plan(queries.model_class_scores(spark, sf_dir))
+    assert plan.count("FileScan parquet") == 1
