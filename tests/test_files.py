@@ -153,6 +153,10 @@ def test_token_file_is_tagged_and_scored(spark, tmp_path):
     assert {r.label: (r.tp, r.support) for r in spans.collect()} == {"SUB": (1, 1), "TIM": (0, 1), "Overall": (1, 2)}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def _plain_sentences(path):
     out, sentence = [], []
     with open(path, encoding="utf-8", newline="\n") as lines_:
@@ -270,6 +274,30 @@ def test_spans_with_utf16_offsets_are_read(spark, tmp_path):
     assert [r.surface for r in bio.span_texts(notes, spans).collect()] == ["aspirin"]
 
 
+def test_annotations_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The files below the root are no file index of the driver; elements are those that Spark's XML reader finds."""
+    element = "custom:CustomMCN"
+    content = (f'<a xmlns:xmi="x">\n<{element} xmi:id="1" begin="0"\n end="5" Concept="a &gt; b > c/>"/><{element}Other xmi:id="9"/>'
+               f"<!-- <{element} xmi:id='8'/> --><{element} xmi:id='2' begin='3' end='4' Concept=''>t<b/></{element}>"
+               f'<{element} begin="1"/><{element}/>\n<{element} xmi:id="3" Concept=" ä \'q\' "></{element}></a>')
+    for folder in ("n 1", "n2/deep", ".hidden", "_off"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / readers.SPAN_FILE).write_text(content, encoding="utf-8")
+    (tmp_path / "n2" / "other.xmi").write_text(content)
+    rows = readers.read_spans(spark, str(tmp_path))
+    assert "FileScan" not in _plan(rows) and "Scan xml" not in _plan(rows)
+    plain = (spark.read.format("xml").option("rowTag", element).option("recursiveFileLookup", "true").option("pathGlobFilter", readers.SPAN_FILE)
+             .schema("`_xmi:id` bigint, _begin int, _end int, _Concept string").load(str(tmp_path)).collect())
+    assert len(plain) == 10 and {r.doc_id for r in rows.collect()} == {"n1", "deep"}
+    assert sorted(map(repr, map(tuple, rows.drop("doc_id").collect()))) == sorted(map(repr, map(tuple, plain)))
+    (tmp_path / "n2" / "deep" / readers.SPAN_FILE).unlink()
+    (tmp_path / "n 1" / readers.SPAN_FILE).write_text(f'<a><{element} xmi:id="1"/><{element} xmi:id="2" Concept="b')
+    assert [r.ann_id for r in readers.read_spans(spark, str(tmp_path)).collect()] == [1, None]
+    (tmp_path / "n 1" / readers.SPAN_FILE).write_text(f'<a><{element} xmi:id="x"/></a>')
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        readers.read_spans(spark, str(tmp_path)).collect()
+
+
 def test_listing_is_made_by_tasks(spark, tmp_path):
     for d in ("a/x", "a/empty", "b b/y z", "c+d"):
         (tmp_path / d).mkdir(parents=True)
