@@ -133,6 +133,19 @@ def words_of(text: Column) -> Column:
     return F.arrow_udf(run, "array<string>").asNondeterministic()(text)
 
 
+def _word_count(texts: pa.Array) -> pa.Array:
+    found = Words(texts)
+    return pa.array(np.diff(np.searchsorted(found.begin, found.at)).astype(np.int32))
+
+
+def word_count(text: Column) -> Column:
+    """The number of words, 0 for null; called nondeterministic like ``word_places``."""
+    def run(texts: pa.Array) -> pa.Array:
+        return by_stretch(_word_count, sizes_of(texts), texts)
+
+    return F.arrow_udf(run, "int").asNondeterministic()(text)
+
+
 def _lines(texts: pa.Array, begins: pa.Array, ends: pa.Array, labels: pa.Array, outside: str) -> pa.Array:
     """Gap, span, gap, span, …, tail of each text, and the words in each of them."""
     found = Words(texts)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from spanloom import vocab
 from spanloom.functions.arrays import explode_at, inline_rows, running_total
-from spanloom.functions.batches import lines_of
-from spanloom.functions.text import cut, is_number, pieces, substring_span, word_pieces, words
-from spanloom.operators.ordered import chunk_of, running_before, value_before
+from spanloom.functions.batches import lines_of, word_count, words_of
+from spanloom.functions.text import cut, is_number, pieces, substring_span, word_pieces
+from spanloom.operators.ordered import CHUNK_LINES, chunk_of, running_before, value_before
 
 PIECE_CHARS = 1 << 12  # characters of a note in one row of ``note_pieces``, and of a cell
 _CHARS_PER_CHUNK = 1 << 16
@@ -142,7 +142,7 @@ def bio_lines_pieces(pieces: DataFrame, labelled: DataFrame, chars: int = PIECE_
     Neither a text nor the spans of a note ever are one row.  The axis of a note is divided into cells of
     ``chars`` characters; pieces and segments meet in the cells they touch, and a pair that meets in several
     counts in the first it shares.  Pieces end between words, so each pair's words are whole; how many lines
-    come before them follows from narrow rows of counts: words per segment, then words per piece inside it.
+    come before them follows from narrow rows of counts, words per segment and piece, summed in chunks of segments.
     """
     segs = _ordered_segments(pieces, labelled, annotated_only)
     long = F.length("text")
@@ -152,22 +152,31 @@ def bio_lines_pieces(pieces: DataFrame, labelled: DataFrame, chars: int = PIECE_
     first = F.greatest(F.floor(F.col("b") / chars), F.floor(F.col("begin") / chars))
     inside = substring_span(F.col("text"), F.greatest(F.col("b") - F.col("begin"), F.lit(0)),
                             F.least(F.col("e"), F.col("_end")) - F.col("begin"))
-    met = (touched.join(parts, ["doc_id", "_cell"])
-           .where((F.col("_cell") == first) & (F.col("b") < F.col("_end")) & (F.col("e") > F.col("begin")))
-           .select("doc_id", "seg", "part", "piece", "label", words(inside).alias("tokens"))
-           .where(F.size("tokens") > 0))
-
     key = ["doc_id", "seg", "part"]
-    counts = met.select(*key, "piece", F.size("tokens").alias("_n"))
-    before = Window.partitionBy(*key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    inner = counts.select(*key, "piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_inner"))
-    totals = counts.groupBy(*key).agg(F.sum("_n").alias("_n"))
-    outer = running_before(totals, "doc_id", chunk_of(F.col("seg")), ["seg", "part"], F.col("_n"), "_outer").drop("_n")
-    numbered = met.join(inner.join(outer, key), [*key, "piece"])
+    pairs = (touched.join(parts, ["doc_id", "_cell"])
+             .where((F.col("_cell") == first) & (F.col("b") < F.col("_end")) & (F.col("e") > F.col("begin"))))
+    met = pairs.select(*key, "piece", "label", words_of(inside).alias("tokens")).where(F.size("tokens") > 0)
+    counts = pairs.select(*key, "piece", word_count(inside).alias("_n")).where("_n > 0")
+    placed = counts.withColumn("_chunk", chunk_of(F.col("seg"), CHUNK_LINES))
+    at = Window.partitionBy("doc_id", "_chunk")
+
+    def words_before(window: Window) -> Column:
+        return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    inner = placed.withColumn("_local", words_before(at.orderBy("seg", "part", "piece"))).withColumn(
+        "_inner", words_before(Window.partitionBy("doc_id", "_chunk", "seg", "part").orderBy("piece")))
+    # Only notes with so many spans have a second chunk; for the others nothing is summed a second time.
+    many = (labelled.where(F.col("begin").isNotNull() & F.col("end").isNotNull()).groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("_spans")).where(F.col("_spans") >= CHUNK_LINES).select("doc_id"))
+    totals = placed.join(many, "doc_id", "left_semi").groupBy("doc_id", "_chunk").agg(F.sum("_n").alias("_n"))
+    base = totals.select("doc_id", "_chunk", words_before(Window.partitionBy("doc_id").orderBy("_chunk")).alias("_base"))
+    outer = (inner.join(base, ["doc_id", "_chunk"], "left")
+             .select(*key, "piece", "_inner", (F.col("_local") + F.coalesce("_base", F.lit(0))).alias("_outer")))
+    numbered = met.join(outer, [*key, "piece"])
     tag = F.when(F.col("label").isNull(), F.lit(vocab.OUTSIDE)).otherwise(
         F.concat(F.when(F.col("_inner") + F.col("_pos") == 0, F.lit("B-")).otherwise(F.lit("I-")), F.col("label")))
     return (explode_at(numbered, ["doc_id", "_inner", "_outer", "label"], "tokens", "_pos", "token")
-            .select("doc_id", (F.col("_outer") + F.col("_inner") + F.col("_pos") + 1).cast("int").alias("line_no"),
+            .select("doc_id", (F.col("_outer") + F.col("_pos") + 1).cast("int").alias("line_no"),
                     "token", tag.alias("tag")))
 
 

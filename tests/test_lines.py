@@ -93,6 +93,15 @@ def test_notes_in_pieces_give_the_same_lines(corpus, chars):
     assert whole == {d: t for d, t in corpus[0] if t}
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 1 << 16])
+def test_lines_are_numbered_over_chunks_of_spans(corpus, monkeypatch, chunk):
+    """Words are found in batches, and numbered by chunks of a few spans as by one chunk."""
+    monkeypatch.setattr(bio, "CHUNK_LINES", chunk)
+    rows = bio.bio_lines_pieces(bio.note_pieces(corpus[2], 7), corpus[3], 7)
+    assert "\\S+" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert _by_doc(rows) == _expected(corpus)
+
+
 def test_only_pieces_stand_beside_spans(spark):
     """No row of the way from a long note to its lines holds more text than a piece."""
     note = " ".join(f"w{i}" for i in range(9000))
