@@ -240,3 +240,16 @@ def test_runs_of_flat_rows_equal_those_in_the_row(spark, mode, lines):
     want = entity_eval.explode_runs(docs.select("doc_id", "sent_id", merged.alias("runs")))
     got = entity_eval.merge_runs_flat(flat, mode, lines)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_short_sentences_are_not_summarised(spark):
+    """Sentences of one chunk need nothing from the chunks before; rows without a sentence or a place are left out."""
+    flat = spark.createDataFrame([(d, 0, i, t, f"w{i}") for d in (1, 2) for i, t in enumerate(["B-SUB", "I-SUB", "O", "B-TIM"])]
+                                 + [(None, 0, 0, "O", "x"), (1, None, 0, "O", "x"), (1, 0, None, "O", "x")],
+                                 "doc_id bigint, sent_id int, pos int, entity_type string, surface_string string")
+    for lines, summarised in ((4, False), (2, True)):
+        rows = entity_eval.merge_runs_flat(flat, "bio", lines)
+        assert sorted(map(tuple, rows.collect()), key=repr) == sorted(
+            (d, 0, *x) for d in (1, 2) for x in ((0, "SUB", "w0 w1"), (1, None, None), (2, "O", "w2"), (3, "TIM", "w3")))
+        final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert ("min_by" in final) == summarised
