@@ -4,6 +4,7 @@ import json
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,18 @@ def test_nested_json_read_in_blocks(spark, tmp_path, block_size, monkeypatch, si
     assert got == {(p.name, i): s for p in tmp_path.iterdir() for i, s in enumerate(json.loads(p.read_text(encoding="utf-8")))}
 
 
+def test_nested_json_is_read_twice_at_most(spark, tmp_path):
+    """Once for the blocks, once for the texts, which are staged; both ways to find the marks of a record agree."""
+    (tmp_path / "a.json").write_text('[[["O","a]"]],[["B-TIM","ü["]]]', encoding="utf-8")
+    rows = readers.read_entity_json(spark, str(tmp_path))
+    assert "MapInArrow" not in _plan(rows) and "FileScan text" not in _plan(rows)
+    assert [tuple(e) for r in rows.orderBy("sent_id").collect() for e in r.entities] == [("O", "a]"), ("B-TIM", "ü[")]
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice('["é, x') for _ in range(rnd.randrange(9))) for _ in range(300)]
+    found, looped = (blocks._marks(pa.array(x)) for x in (texts, [*texts, "\\\\"]))
+    assert all((a == b[:-1]).all() for a, b in zip(found, looped))
+
+
 def test_nested_json_is_written_one_list_per_file(spark, tmp_path):
     kind = "doc_id bigint, sent_id int, entities array<struct<entity_type:string,surface_string:string>>"
     rows = [(d, s, [("O", f"w{d}]"), ("B-TIM", None)][:s]) for d in range(20) for s in range(3)]
