@@ -431,6 +431,23 @@ def test_losses_equal_brute_force(spark, monkeypatch, model_rows, min_words, min
             assert got[i][side] == pytest.approx(sum(losses) / len(losses))
 
 
+def test_models_in_blocks_score_as_one(spark, monkeypatch):
+    """Models too large to broadcast at once: the documents meet them block by block, no pair of words is a row."""
+    texts = [" ".join(f"w{(i * j) % 23}" for j in range(i % 40)) for i in range(60)]
+    rows = [(i // 2 if i % 7 else None, t, i % 3 == 0) for i, t in enumerate(texts)] + [(5, None, False), (9, texts[9], False), (9, texts[9], False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, is_target boolean").repartition(3)
+
+    def scores(model):
+        return sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score or 0) for r in lm.cross_entropy(spark, docs, model).collect())
+
+    want = scores(lm.train(docs))
+    monkeypatch.setattr(lm, "MODEL_ROWS", 0)
+    monkeypatch.setattr(lm, "BLOCK_ROWS", 20)
+    got = scores(lm.train(docs))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
 def test_target_documents_score_lower(spark):
     got = QUERIES["op9_lm_scoring"](spark, MID_DIR).toPandas().merge(_pandas(spark, "labels"), on="doc_id")
     assert got[got.quality == 1].score.mean() < got[got.quality == 0].score.mean()
