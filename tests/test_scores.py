@@ -253,3 +253,19 @@ def test_short_sentences_are_not_summarised(spark):
             (d, 0, *x) for d in (1, 2) for x in ((0, "SUB", "w0 w1"), (1, None, None), (2, "O", "w2"), (3, "TIM", "w3")))
         final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert ("min_by" in final) == summarised
+
+
+@pytest.mark.parametrize("mode", ["suffix", "bio"])
+def test_scattered_rows_of_a_sentence_move_once(spark, mode):
+    """Rows in any order, some without a type: sentences that fit a row are merged whole, without a window over their rows."""
+    rnd = random.Random(3)
+    kinds = ["O", "B-TIM", "I-TIM", "B-RTIM", "I-MEAS", "B-SUB", "I-SUB", None]
+    docs = {(f"d{s % 5}", s): [rnd.choice(kinds) for _ in range(rnd.randrange(1, 20)) for _ in range(rnd.randrange(1, 4))] for s in range(40)}
+    rows = [(*k, i, t, f"w{i}") for k, tags in docs.items() for i, t in enumerate(tags)]
+    rnd.shuffle(rows)
+    schema = "doc_id string, sent_id int, pos int, entity_type string, surface_string string"
+    got = entity_eval.merge_runs_flat(spark.createDataFrame(rows, schema).repartition(5), mode)
+    scanned = entity_eval._merge_scanned(spark.createDataFrame(rows, schema), mode, 1 << 16)
+    found = got.collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, scanned.collect()), key=repr)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
