@@ -9,10 +9,11 @@ from spanloom import vocab
 from spanloom.functions.arrays import explode_at, inline_rows, running_total
 from spanloom.functions.batches import lines_of, word_count, words_of
 from spanloom.functions.text import cut, is_number, pieces, substring_span, word_pieces
-from spanloom.operators.ordered import CHUNK_LINES, chunk_of, running_before, value_before
+from spanloom.operators.ordered import CHUNK_LINES, chunk_of, running_before, split_rows, value_before
 
 PIECE_CHARS = 1 << 12  # characters of a note in one row of ``note_pieces``, and of a cell
 _CHARS_PER_CHUNK = 1 << 16
+ROW_CHARS, ROW_SPANS = 1 << 20, 1 << 16  # of notes that are tagged in their row
 
 
 def label_spans(spans: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -180,12 +181,23 @@ def bio_lines_pieces(pieces: DataFrame, labelled: DataFrame, chars: int = PIECE_
                     "token", tag.alias("tag")))
 
 
-def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame, annotated_only: bool = True) -> DataFrame:
+def bio_lines_unbounded(notes: DataFrame, labelled: DataFrame, annotated_only: bool = True,
+                        chars: int = ROW_CHARS, spans: int = ROW_SPANS) -> DataFrame:
     """The lines of ``bio_docs`` as flat rows, for notes of any size with any number of spans.
 
-    By default only notes that have spans are returned.
+    Notes of at most ``chars`` characters and ``spans`` spans are tagged in their row; only larger ones, and such
+    as share an id, are cut into pieces.  By default only notes that have spans are returned.
     """
-    return bio_lines_pieces(note_pieces(notes), labelled, annotated_only=annotated_only)
+    sizes = notes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.length("text")).alias("_chars"))
+    counts = labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_spans"))
+    large = (sizes.where((F.col("_n") > 1) | (F.col("_chars") > chars)).select("doc_id")
+             .unionByName(counts.where(F.col("_spans") > spans).select("doc_id")))
+    (long, short), (many, few) = (split_rows(rows.where(F.col("doc_id").isNotNull()), large, "doc_id") for rows in (notes, labelled))
+    if annotated_only:
+        annotated = few.where(F.col("begin").isNotNull() & F.col("end").isNotNull()).select("doc_id").distinct()
+        short = short.join(annotated, "doc_id", "left_semi")
+    pieced = bio_lines_pieces(note_pieces(long), many, annotated_only=annotated_only)
+    return bio_lines(short, few).unionByName(pieced)
 
 
 def bio_lines(notes: DataFrame, labelled: DataFrame) -> DataFrame:

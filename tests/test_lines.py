@@ -84,6 +84,18 @@ def test_ungathered_notes_give_the_same_lines(corpus):
     assert _by_doc(bio.bio_lines_unbounded(corpus[2], corpus[3])) == {d: x for d, x in expected.items() if d in with_spans}
 
 
+@pytest.mark.parametrize("annotated_only", [True, False])
+@pytest.mark.parametrize("chars,spans", [(0, 0), (40, 3), (1 << 20, 1 << 16)])
+def test_only_large_notes_are_cut_up(corpus, chars, spans, annotated_only):
+    """All, some and no notes in pieces: the same lines, and without a window over spans when no note is large."""
+    kept = {r.doc_id for r in corpus[3].collect()} if annotated_only else {d for d, _ in corpus[0]}
+    rows = bio.bio_lines_unbounded(corpus[2], corpus[3], annotated_only, chars, spans)
+    assert _by_doc(rows) == {d: x for d, x in _expected(corpus).items() if d in kept}
+    if spans > 3:
+        rows.collect()
+        assert "Window" not in rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 @pytest.mark.parametrize("chars", [1, 7, 64])
 def test_notes_in_pieces_give_the_same_lines(corpus, chars):
     pieces = bio.note_pieces(corpus[2], chars)
