@@ -426,3 +426,19 @@ def test_contents_are_read_by_several_tasks(spark, tmp_path):
     notes = readers.read_notes(spark, str(tmp_path))
     assert notes.rdd.getNumPartitions() == 8
     assert {r.doc_id: r.text for r in notes.collect()} == {f"n{i}": f"note {i}" for i in range(40)}
+
+
+def test_writing_leaves_no_shuffle_and_deals_packed_rows(spark, tmp_path):
+    """A table in buckets: rows move packed, whatever their size, one file a bucket, and the shuffle is gone when it is written."""
+    rows = spark.range(4000).select((F.col("id") % 97).alias("doc_id"), F.col("id").cast("int").alias("sent_id"), F.array(*[
+        F.struct(F.lit("B-MED").alias("entity_type"), F.concat(F.lit(f"w{i} "), "id").alias("surface_string")) for i in range(40)]).alias("entities"))
+    from spanloom.session import shuffles_removed
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    with shuffles_removed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == was
+    for buckets in (3, 64):  # packed as Parquet, and as Arrow
+        table = tables.write_bucketed(rows, tables.fresh_name("packed"), buckets, path=str(tmp_path / str(buckets)))
+        assert table.count() == 4000 and table.exceptAll(rows).isEmpty()
+        assert len(list((tmp_path / str(buckets)).glob("*.parquet"))) == buckets
