@@ -44,7 +44,7 @@ def check(spark: SparkSession, notes: DataFrame, spans: DataFrame) -> DataFrame:
     entities = sentences.select("doc_id", "sent_id", as_entities(
         F.col("tokens"), F.col("tags")).alias("entities"))
     json = staging_path(spark, "entities")
-    sinks.write_entity_lines(entities, json)
+    sinks.write_entity_lines(entities, json, "gzip")
 
     counts = profile.tag_counts(explode_sentences(rows))
     csv, tsv = staging_path(spark, "counts-csv"), staging_path(spark, "counts-tsv")
@@ -52,7 +52,7 @@ def check(spark: SparkSession, notes: DataFrame, spans: DataFrame) -> DataFrame:
     sinks.write_table(counts, tsv, "\t")
     table = "tag string, n bigint"
     parquet = staging_path(spark, "sentences-parquet")
-    rows.write.parquet(parquet)
+    rows.write.option("compression", "zstd").parquet(parquet)
 
     return reduce(DataFrame.unionByName, (
         _compare("sentence text", sentences, read, "tokens", "tags"),
